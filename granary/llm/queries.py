@@ -20,3 +20,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(id AS BIGINT) AS turn, IF(id = 0, 'user', 'assistant') AS role, '" + said + "' AS text FROM range(2)"
     )
     return chat.digests(turns.unionByName(more))
+
+
+@REGISTRY.query("op8_quality_rules", oracles.QUALITY_RULES)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import quality_rules
+
+    return quality_rules.digest(table(spark, sf_dir, "documents"))
