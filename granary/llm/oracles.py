@@ -39,7 +39,7 @@ WITH d AS (
   SELECT doc_id, n_words, coalesce(wc, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_exclaims,
     CAST(n_words < 10 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 20 * n_words AS BIGINT) + 4 * CAST(100 * n_symbols > 30 * n_words AS BIGINT)
     + 8 * CAST(100 * n_upper > 50 * coalesce(wc, 0) AS BIGINT) + 16 * CAST(100 * n_exclaims > 30 * n_words AS BIGINT)
-    + 32 * CAST(100 * n_dup_lines > 30 * n_lines AS BIGINT) + 64 * CAST(coalesce(wc, 0) > 25 * n_words AS BIGINT) AS failed
+    + 32 * CAST(100 * n_dup_lines > 50 * n_lines AS BIGINT) + 64 * CAST(coalesce(wc, 0) > 25 * n_words AS BIGINT) AS failed
   FROM m
 )
 SELECT *, failed & 3 != 0 AS base_failed, failed = 0 AS kept FROM f

@@ -22,7 +22,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("symbols", "100 * m.n_symbols > 30 * m.n_words"),
     ("shouting", "100 * m.n_upper > 50 * m.word_chars"),
     ("exclamations", "100 * m.n_exclaims > 30 * m.n_words"),
-    ("duplicate_lines", "100 * m.n_dup_lines > 30 * m.n_lines"),
+    ("duplicate_lines", "100 * m.n_dup_lines > 50 * m.n_lines"),
     ("long_words", "m.word_chars > 25 * m.n_words"),
 )
 BIT = {name: i for i, (name, _) in enumerate(RULES)}
