@@ -27,3 +27,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import quality_rules
 
     return quality_rules.digest(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op3_secret_scans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import secrets
+
+    return secrets.digest(table(spark, sf_dir, "documents"))
