@@ -34,3 +34,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import secrets
 
     return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op10_license_scans")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import licenses
+
+    return licenses.digest(table(spark, sf_dir, "documents"))
