@@ -41,3 +41,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import licenses
 
     return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import pieces
+
+    small_batches(spark)
+    return pieces.digest(table(spark, sf_dir, "documents"))
