@@ -49,3 +49,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import sharding
+
+    return sharding.digest(table(shared(spark), sf_dir, "documents"))
