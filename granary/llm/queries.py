@@ -56,3 +56,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm import sharding
 
     return sharding.digest(table(shared(spark), sf_dir, "documents"))
+
+
+@REGISTRY.query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import decontaminate
+
+    small_batches(spark)
+    return decontaminate.leaks(table(shared(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
