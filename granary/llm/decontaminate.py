@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import shared
 
-N, RARE, LEAST_DF, SCORE, BLOCK = 3, 4.0, 20, 0.5, 1_000_000
+N, RARE, LEAST_DF, SCORE, BLOCK = 3, 4.0, 20, 0.42, 1_000_000
 MATCH, MISMATCH, GAP, PAD = 2, -1, -1, 12
 
 #: ASCII that is no letter or digit becomes a space.
