@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,10 +150,12 @@ def _passages(docs: DataFrame, block: Items) -> DataFrame:
     """doc_id, item_id, first (its place in the text), words (ids in the block), grams (places in the item): what stands around hits."""
     lens = np.array([len(w) for w in block.words], np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("row", pa.int32()), ("item_id", pa.int64()), ("k", pa.int32()), ("first", pa.int32()), ("words", pa.list_(pa.int32())), ("grams", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 if not text:
                     continue
                 words = words_of(text)
@@ -175,13 +177,15 @@ def _passages(docs: DataFrame, block: Items) -> DataFrame:
                         if inside.start == inside.stop:
                             continue
                         lo, hi = max(0, int(at[inside.start]) - n - PAD), min(len(ids), int(at[inside.stop - 1]) + n + PAD)
-                        out.append((doc, int(block.item_id[k]), k, lo, ids[lo:hi].astype(np.int32), np.unique(place[inside]).astype(np.int32)))
+                        out.append((row, int(block.item_id[k]), k, lo, ids[lo:hi].astype(np.int32), np.unique(place[inside]).astype(np.int32)))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "k", "first", "words", "grams"])
+                found = [pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
+                ids = batch.column("doc_id").take(found[0])
+                yield pa.RecordBatch.from_arrays([ids, *found[1:]], ["doc_id", *schema.names[1:]])
 
     rows = docs.select(F.col("doc_id"), F.col("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, item_id long, k int, first int, words array<int>, grams array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, item_id long, k int, first int, words array<int>, grams array<int>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
@@ -211,22 +215,26 @@ def _leaks(docs: DataFrame, block: Items, least: float) -> DataFrame:
     seeds = rare.groupBy("k").agg(F.collect_set("place").alias("seeds"))  # a row per item of the block: bounded with it
     likely = passages.join(F.broadcast(seeds), "k").where(F.arrays_overlap("grams", "seeds")).drop("seeds")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("row", pa.int32()), ("score", pa.float64()), ("n_equal", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, group in batch.groupby("k", sort=False):
-                item = block.words[int(k)]
-                rows = list(zip(group["doc_id"], group["item_id"], group["first"], group["words"], strict=True))
+            k_of, first = batch.column("k").to_numpy(), batch.column("first").to_numpy()
+            words, out = batch.column("words"), []
+            for k in np.unique(k_of).tolist():
+                rows = np.flatnonzero(k_of == k)
                 for at in range(0, len(rows), 512):
-                    some = rows[at : at + 512]
-                    for (doc, item_id, first, _), (s, n, begin, end) in zip(some, align(item, [np.asarray(r[3], np.int64) for r in some]), strict=True):
+                    some = rows[at : at + 512].tolist()
+                    for row, (s, n, begin, end) in zip(some, align(block.words[k], [words[i].values.to_numpy().astype(np.int64) for i in some]), strict=True):
                         if s >= least:
-                            out.append((doc, item_id, s, n, first + begin, first + end - 1))
+                            out.append((row, s, n, first[row] + begin, first[row] + end - 1))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "n_equal", "first_word", "last_word"])
+                found = [pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
+                kept = [batch.column(c).take(found[0]) for c in ("doc_id", "item_id")]
+                yield pa.RecordBatch.from_arrays([*kept, *found[1:]], ["doc_id", "item_id", *schema.names[1:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return likely.drop("grams").mapInPandas(run, f"doc_id {kind}, item_id long, score double, n_equal int, first_word int, last_word int")
+    return likely.drop("grams").mapInArrow(run, f"doc_id {kind}, item_id long, score double, n_equal int, first_word int, last_word int")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:

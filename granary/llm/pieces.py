@@ -18,7 +18,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -332,10 +332,10 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, ids (array of int) and decoded: what the ids say again."""
     where = path or model_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(where)
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             at = 0
             while at < len(texts):
                 size, to = 0, at
@@ -343,12 +343,13 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                     size += len(texts[to])
                     to += 1
                 ids, begin = model.encode(texts[at:to])
-                parts = np.split(ids, begin[1:-1])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at:to].to_numpy(), "ids": parts, "decoded": model.decode(ids, begin)})
+                lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids, pa.int32()))
+                decoded = pa.array(model.decode(ids, begin), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), lists, decoded], ["doc_id", "ids", "decoded"])
                 at = to
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

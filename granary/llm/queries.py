@@ -64,3 +64,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     return decontaminate.leaks(table(shared(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@REGISTRY.query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import quality_mil
+
+    small_batches(spark)
+    return quality_mil.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
