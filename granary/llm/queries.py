@@ -72,3 +72,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     return quality_mil.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@REGISTRY.query("op5_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import jaccard_join
+
+    small_batches(spark)
+    return jaccard_join.join_components(table(shared(spark), sf_dir, "documents"))
