@@ -80,3 +80,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     return jaccard_join.join_components(table(shared(spark), sf_dir, "documents"))
+
+
+@REGISTRY.query("op9_lm_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm import lm_scoring
+
+    small_batches(spark)
+    return lm_scoring.score(table(shared(spark), sf_dir, "documents"))
