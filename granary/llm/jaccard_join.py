@@ -36,7 +36,7 @@ from granary.llm.common import shared
 WORDS, REGION, LEAF, PIVOTS = 5, 4000, 48, 8
 #: A shingle is frequent from this share of all rows on: there are at most mean set size / share of them, so they can be sent along.
 FREQUENT, BATCH_SHARE, BATCH_LEAST = 0.005, 0.02, 4
-SMALL, FINE, COARSE_OF = 64, 256, 384
+LEAST_BUCKETS = 64
 EPS = 0.25
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
@@ -78,7 +78,10 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    size = FINE if len(s) > COARSE_OF else SMALL
+    """Counts of shingles by bucket, a power of two of buckets, with four to eight shingles in each of a large set's."""
+    size = LEAST_BUCKETS
+    while size * 8 < len(s):
+        size *= 2
     return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 65535).astype(np.uint16).tobytes()
 
 
@@ -210,25 +213,37 @@ def _regions(members: DataFrame, parts: int) -> DataFrame:
     return found.distinct()
 
 
-def _unpack(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts in SMALL buckets of all, in FINE ones of those that have them, and which have."""
-    fine = np.array([len(x) > 2 * SMALL for x in sketches])
-    big = np.zeros((len(sketches), FINE), np.int32)
-    small = np.zeros((len(sketches), SMALL), np.int32)
-    for i, x in enumerate(sketches):
-        v = np.frombuffer(x, np.uint16)
-        if fine[i]:
-            big[i] = v
-            small[i] = v.reshape(-1, SMALL).sum(axis=0)
-        else:
-            small[i] = v
-    return small, big, fine
+class _Sketches:
+    """The sketches of a region's members, at their own number of buckets and at half of it: sets whose sizes are near enough to
+    be linked differ by one doubling at most, and buckets are folded to compare them."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.size = np.array([len(x) // 2 for x in raw])
+        self.rows: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero((self.size == size) | (self.size == 2 * size))
+            counts = [np.frombuffer(raw[i], np.uint16).astype(np.int32) for i in own.tolist()]
+            self.rows[size] = np.stack([c if len(c) == size else c[:size] + c[size:] for c in counts])
+            self.place[size] = np.full(len(raw), -1)
+            self.place[size][own] = np.arange(len(own))
+
+    def near(self, x: int, others: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which of others differ from x by no more than so much, as far as sketches tell."""
+        ok = np.zeros(len(others), bool)
+        common = np.minimum(self.size[others], self.size[x])
+        for size in np.unique(common).tolist():
+            k = np.flatnonzero((common == size) & (self.place[size][others] >= 0))
+            if self.place[size][x] >= 0 and len(k):
+                rows = self.rows[size]
+                ok[k] = np.abs(rows[self.place[size][others[k]]] - rows[self.place[size][x]]).sum(axis=1) <= most[k]
+        return ok
 
 
 def _connected(n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
     """For each member the first one of its group: what sketches and sizes allow to be close is connected. Each member is held
     only against those not yet reached, so that a group of near copies costs one look at each."""
-    small, big, fine = _unpack(sketches)
+    counts = _Sketches(sketches)
     label = np.full(len(n), -1, np.int64)
     left = np.argsort(n, kind="stable")
     while len(left):
@@ -237,16 +252,12 @@ def _connected(n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
         queue = [root]
         while queue and len(left):
             x = queue.pop()
-            lo, hi = np.searchsorted(n[left], [-(-3 * int(n[x]) // 4), 4 * int(n[x]) // 3], side="left")
+            lo = int(np.searchsorted(n[left], -(-3 * int(n[x]) // 4), side="left"))
             hi = int(np.searchsorted(n[left], 4 * int(n[x]) // 3, side="right"))
             near = left[lo:hi]
             if not len(near):
                 continue
-            most = (n[near] + n[x]) // 7
-            ok = np.abs(small[near] - small[x]).sum(axis=1) <= most
-            if fine[x] and ok.any():
-                k = np.flatnonzero(ok & fine[near])
-                ok[k] = np.abs(big[near[k]] - big[x]).sum(axis=1) <= most[k]
+            ok = counts.near(x, near, (n[near] + n[x]) // 7)
             hit = near[ok]
             if len(hit):
                 label[hit] = root
@@ -322,12 +333,14 @@ class Region:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sets = sets
         self.n = np.array([len(s) for s in sets], np.int64)
+        self.at = np.cumsum(self.n) - self.n
+        self.flat = np.concatenate(sets)
         self.union = _Union(len(sets))
 
     def distances(self, pivot: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact Jaccard distances of members to a set, and who is linked with it."""
         n = self.n[members]
-        flat = np.concatenate([self.sets[i] for i in members.tolist()]) if len(members) else np.zeros(0, np.uint64)
+        flat = self.flat[np.repeat(self.at[members] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
         owner = np.repeat(np.arange(len(members)), n)
         common = np.bincount(owner[pivot[at] == flat], minlength=len(members))
@@ -342,51 +355,67 @@ class Region:
             if len(region) < 2:
                 continue
             if len(region) <= LEAF:
-                self._leaf(region)
+                self._leaf(region, np.zeros((0, len(region))))
                 continue
             # Pivots: the first member, then each time the one furthest from those before.
             pivots, d, linked = [int(region[0])], [], []
-            for _ in range(PIVOTS):
+            while True:
                 dist, link = self.distances(self.sets[pivots[-1]], region)
                 d.append(dist)
                 linked.append(link)
                 for x in region[link].tolist():
                     self.union.join(pivots[-1], x)
                 far = np.min(d, axis=0)
-                if far.max() <= EPS or len(d) == PIVOTS:
+                if len(d) == PIVOTS or far.max() <= EPS:
                     break
                 pivots.append(int(region[int(far.argmax())]))
-            pivots = pivots[: len(d)]
             d_all, link_all = np.array(d), np.array(linked)
             home, nearest = d_all.argmin(axis=0), d_all.min(axis=0)
             # A pivot's links are all known now, so pivots go.
             rest = ~np.isin(region, pivots)
+            subs = []
             for k in range(len(pivots)):
                 inside = rest & ((home == k) | (d_all[k] <= nearest + 2 * EPS + 1e-9))
                 outer = inside & ~link_all[k]
-                if not outer.any():
-                    continue  # all are linked with this pivot
-                reach = d_all[k][outer].min() - EPS - 1e-9
-                sub = region[outer | (inside & link_all[k] & (d_all[k] >= reach))]
-                if len(sub) > 0.8 * len(region):
-                    self._leaf(sub)
-                else:
-                    stack.append(sub)
-
-    def _leaf(self, region: np.ndarray) -> None:
-        """All against all, but for what is connected already: each member is held against those of other components."""
+                if outer.any():  # else all are linked with this pivot
+                    reach = d_all[k][outer].min() - EPS - 1e-9
+                    subs.append(outer | (inside & link_all[k] & (d_all[k] >= reach)))
+            # Where the windows replicate so much that nothing is gained, the region is compared in full.
+            if sum(int(s.sum()) ** 2 for s in subs) < 0.5 * len(region) ** 2:
+                stack.extend(region[s] for s in subs)
+            else:
+                any_ = np.any(subs, axis=0)
+                self._leaf(region[any_], d_all[:, any_])
+
+    def _leaf(self, region: np.ndarray, d: np.ndarray) -> None:
+        """All against all, but for what is connected already or what the triangle inequality over distances d to pivots excludes:
+        from each member the search goes on over those not yet reached only, so that near copies cost one look each."""
+        # Members of one component are one start: all of it is held against the rest.
         root = np.array([self.union.find(x) for x in region.tolist()])
-        order = np.argsort(self.n[region], kind="stable")
-        region, root, n = region[order], root[order], self.n[region][order]
-        for i in range(len(region) - 1):
-            hi = int(np.searchsorted(n, 4 * int(n[i]) // 3, side="right"))
-            mine = self.union.find(int(region[i]))
-            others = [j for j in range(i + 1, hi) if self.union.find(int(region[j])) != mine]
-            if others:
-                who = region[others]
-                _, link = self.distances(self.sets[int(region[i])], who)
-                for x in who[link].tolist():
-                    self.union.join(int(region[i]), x)
+        order = np.lexsort((self.n[region], root))
+        region, root, d = region[order], root[order], d[:, order]
+        n = self.n[region]
+        left = np.ones(len(region), bool)
+        for first in np.flatnonzero(np.append(True, root[1:] != root[:-1])).tolist():
+            if not left[first]:
+                continue
+            queue = np.flatnonzero((root == root[first]) & left).tolist()
+            left[queue] = False
+            while queue:
+                i = queue.pop()
+                near = left & (4 * n >= 3 * n[i]) & (3 * n <= 4 * n[i])
+                for row in d:
+                    near &= np.abs(row - row[i]) <= EPS + 1e-9
+                who = np.flatnonzero(near)
+                if not len(who):
+                    continue
+                _, link = self.distances(self.sets[int(region[i])], region[who])
+                for j in who[link].tolist():
+                    if left[j]:
+                        self.union.join(int(region[i]), int(region[j]))
+                        same = np.flatnonzero((root == root[j]) & left)  # what is connected with it comes along
+                        left[same] = False
+                        queue.extend(same.tolist())
 
 
 def _join_groups(rows: DataFrame, parts: int) -> DataFrame:
@@ -441,6 +470,12 @@ def _split_once(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs."""
+    rows = _components_of(docs, doc_id, text, region)
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _components_of(docs: DataFrame, doc_id: str, text: str, region: int) -> DataFrame:
+    """doc_id, th (hash of the text), n, component_id, and what names the component even where ids are null: root and own."""
     spark = shared(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
@@ -491,14 +526,18 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = classes.join(roots, F.col("ka") == F.col("node"), "left").select("ka", "kb", "least", F.coalesce("root", "ka").alias("root"), F.when(F.col("root").isNull(), F.col("kb")).alias("own"))
     # A component's name is its least id; a set without links is a component of its own.
     names = linked.where("own IS NULL").groupBy("root").agg(F.min("least").alias("name"))
-    named = linked.join(names, "root", "left").select("ka", "kb", F.when(F.col("own").isNull(), F.col("name")).otherwise(F.col("least")).alias("component_id"))
-    out = rows.select("doc_id", "ka", "kb", "n").join(named, ["ka", "kb"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = linked.join(names, "root", "left").select("ka", "kb", "root", "own", F.when(F.col("own").isNull(), F.col("name")).otherwise(F.col("least")).alias("component_id"))
+    out = rows.select("doc_id", "th", "ka", "kb", "n").join(named, ["ka", "kb"], "left")
+    return out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).drop("ka", "kb")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of linked documents: the first id's (of equal ids, the least text)."""
-    found = join_components(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    numbered = docs.join(first.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    return numbered.dropDuplicates(["doc_id"])
+    """docs with one row of each group of linked documents: that of the least id (of equal ids, the least hash of the text).
+    Texts without words are linked with nothing and stay; rows equal in id and text stay once."""
+    key = lambda d: F.md5(F.concat_ws(":", F.coalesce(d.cast("string"), F.lit("-")), F.col("th").cast("string")))
+    found = _components_of(docs, "doc_id", "text", REGION)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
+    first = found.where("n > 0").groupBy("root", "own").agg(F.min(order).alias("x")).select("x.doc_id", "x.th")
+    stay = first.union(found.where("n = 0").select("doc_id", "th")).select(key(F.col("doc_id")).alias("_key")).distinct()
+    keyed = docs.withColumn("_key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"))))
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
