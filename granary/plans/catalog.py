@@ -1,7 +1,321 @@
-"""All queries outside the llm subpackage."""
+"""All queries outside the llm subpackage, each with its oracle in DuckDB SQL."""
 
 from __future__ import annotations
 
-from granary.plans.registry import Registry
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from granary.functions import text as X
+from granary.operators import fingerprints, gates, labels, metrics, packing, retrieval, sampling
+from granary.plans.registry import Registry, table
 
 REGISTRY = Registry()
+query = REGISTRY.query
+
+
+# ---- text functions and keys
+
+
+@query(
+    "content_keys",
+    r"""SELECT doc_id, sha1(trim(regexp_replace(replace(text, '　', ' '), '[ \t\r\f\v]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(30) || lang || chr(30)) AS content_sha1,
+  source || '__docs:' || doc_id AS uid, substr(sha1('stage4/train' || chr(0) || doc_id), 1, 16) AS hkey FROM documents""",
+)
+def content_keys(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents")
+    return t.select(
+        "doc_id",
+        X.joined_sha1(X.norm_ws(F.col("text")), F.col("lang")).alias("content_sha1"),
+        X.record_uid(F.col("source"), F.lit("raw/docs.jsonl"), F.col("doc_id")).alias("uid"),
+        X.hash_order("stage4/train", F.col("doc_id").cast("string")).alias("hkey"),
+    )
+
+
+@query("quality_filter_chain", """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(trim(text)) = 0 THEN 'empty_output' WHEN length(text) < 200 THEN 'short_output'
+  WHEN length(source) < 4 THEN 'short_input' WHEN NOT regexp_matches(source || text, 'the') THEN 'no_match' ELSE 'kept' END AS reason FROM documents) GROUP BY reason""")
+def quality_filter_chain(spark: SparkSession, d: str) -> DataFrame:
+    reason = labels.drop_reason(F.col("text"), F.col("source"), 200, 4, "the")
+    return table(spark, d, "documents").select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scrub_and_anonymise", """SELECT conv_id, turn, regexp_replace(text, 'que|the', '[x]', 'gi') AS scrubbed, 'SYS-' || upper(substr(sha256('42:' || role), 1, 4)) AS anon FROM conversations""")
+def scrub_and_anonymise(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", X.scrub(F.col("text"), ["the", "que"], "[x]").alias("scrubbed"), X.anonymous_id(F.col("role"), 42).alias("anon"))
+
+
+@query("choice_letters", """SELECT o_orderkey, list_sort(list_distinct(regexp_extract_all(o_orderstatus || ',' || CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'F' END, '[A-F]'))) AS letters
+  FROM orders WHERE o_orderstatus = 'F'""")
+def choice_letters(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat("o_orderstatus", F.lit(","), F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("F"))
+    return table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", X.choice_letters(text).alias("letters"))
+
+
+@query("tolerant_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def tolerant_json(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.concat(F.lit("Here:\n```json\n"), F.replace("props", F.lit("}"), F.lit(",}")), F.lit("\n```"))
+    return table(spark, d, "events").select("event_id", F.variant_get(X.tolerant_json(reply), "$.k", "long").alias("k"))
+
+
+# ---- fingerprints and joins
+
+
+@query("simhash_documents")
+def simhash_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", fingerprints.simhash(F.col("text")).alias("hash"))
+
+
+@query("near_dup_bench_join")
+def near_dup_bench_join(spark: SparkSession, d: str) -> DataFrame:
+    def hashed(rows: DataFrame, key: str) -> DataFrame:
+        normal = rows.select(key, X.norm_text(F.col("text")).alias("norm")).where(F.length("norm") >= 8)
+        return normal.select(key, fingerprints.simhash(F.col("norm")).alias("hash"))
+
+    docs, items = hashed(table(spark, d, "documents"), "doc_id"), hashed(table(spark, d, "benchmark"), "item_id")
+    return fingerprints.near_pairs(docs, items, "doc_id", "item_id")
+
+
+@query("exact_dedup_keep_first", """SELECT doc_id, sha1(text) AS key FROM documents QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY source, doc_id) = 1""")
+def exact_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.keep_first(table(spark, d, "documents").select(F.sha1("text").alias("key"), "doc_id", "source"), "key", "source", "doc_id").select("doc_id", "key")
+
+
+@query("duplicate_stats", """WITH g AS (SELECT sha1(text) k, count(*) n, count(DISTINCT source) s FROM documents GROUP BY 1)
+SELECT count(*) AS n_unique, count(*) FILTER (n > 1) AS dup_groups, CAST(sum(n - 1) AS BIGINT) AS dup_rows, count(*) FILTER (n > 1 AND s > 1) AS cross_source, count(*) FILTER (n > 1 AND s = 1) AS same_source FROM g""")
+def duplicate_stats(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.duplicate_stats(table(spark, d, "documents"), F.sha1("text"), F.col("source"))
+
+
+@query("anti_join_removal", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def anti_join_removal(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.remove(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").where("quality = 0"), "doc_id")
+
+
+@query("char_jaccard_join", """WITH s AS (SELECT p_partkey id, list_distinct(string_split(p_name, '')) x FROM part WHERE p_partkey <= 400)
+SELECT a.id AS l, b.id AS r, len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) AS jaccard FROM s a, s b
+WHERE len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) > 0.85""")
+def char_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("id"), fingerprints.char_set(F.col("p_name")).alias("items"))
+    return fingerprints.jaccard_above(s, s, 0.85)
+
+
+# ---- vectors and ranking
+
+
+@query("vector_top_k", """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) q FROM embeddings WHERE vec_id % 50 = 0), s AS (
+  SELECT query_id, vec_id AS doc_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), q) / sqrt(list_dot_product(q, q) * list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS score FROM embeddings, q)
+SELECT * , row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
+def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), retrieval.normalised(F.col("embedding")).alias("v"))
+    q = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    scored = v.crossJoin(F.broadcast(q)).select("query_id", "doc_id", F.round(X.dot(F.col("v"), F.col("q")), 6).alias("score"))
+    return retrieval.top_k(scored, 10)
+
+
+BM25 = """WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') w FROM documents), z AS (SELECT count(*) n, avg(greatest(len(w), 1)) a FROM t),
+tf AS (SELECT doc_id, l, term, count(*) f FROM (SELECT doc_id, len(w) l, unnest(w) term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+i AS (SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * l / a)) AS weight FROM tf JOIN df USING (term), z),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS term FROM benchmark),
+s AS (SELECT query_id, doc_id, round(sum(weight), 5) AS score FROM q JOIN i USING (term) GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""
+
+
+@query("bm25_search", BM25)
+def bm25_search(spark: SparkSession, d: str) -> DataFrame:
+    index = retrieval.postings(table(spark, d, "documents").withColumn("w", retrieval.tokens(F.col("text"))), "doc_id", "w")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term"))
+    return retrieval.top_k(q.join(index, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 5).alias("score")), 10)
+
+
+LISTS = """l AS (SELECT o_custkey AS query_id, 'dense' AS source, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 10
+  UNION ALL SELECT o_custkey, 'bm25', o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders QUALIFY rank <= 10)"""
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    by = lambda *order: Window.partitionBy("o_custkey").orderBy(*order, "o_orderkey")
+    pick = lambda name, w: o.select(F.col("o_custkey").alias("query_id"), F.lit(name).alias("source"), F.col("o_orderkey").alias("doc_id"), F.row_number().over(w).alias("rank")).where("rank <= 10")
+    return pick("dense", by(F.col("o_totalprice").desc())).unionByName(pick("bm25", by(F.col("o_orderdate"))))
+
+
+@query("weighted_rank_fusion", f"WITH {LISTS}, s AS (SELECT query_id, doc_id, sum(CASE source WHEN 'dense' THEN 1.0 ELSE 0.7 END / (10 + rank)) AS score, min(CASE source WHEN 'dense' THEN 0 ELSE 100 END + rank) AS seen FROM l GROUP BY 1, 2) "
+       "SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen) AS rank FROM s")
+def weighted_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
+    fused = retrieval.fuse(_lists(spark, d), {"dense": 1.0, "bm25": 0.7})
+    return fused.withColumn("score", F.round("score", 9))
+
+
+@query("ranking_metrics", f"""WITH {LISTS}, g AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id FROM orders WHERE o_orderpriority LIKE '1%'), n AS (SELECT query_id, count(*) g FROM g GROUP BY 1),
+f AS (SELECT source, l.query_id, count(*) FILTER (rank <= 5) f5, count(*) FILTER (rank <= 10) f10, min(rank) first FROM l JOIN g USING (query_id, doc_id) GROUP BY 1, 2),
+a AS (SELECT source, query_id, g, coalesce(f5, 0) f5, coalesce(f10, 0) f10, first FROM (SELECT DISTINCT source, query_id FROM l) JOIN n USING (query_id) LEFT JOIN f USING (source, query_id))
+SELECT source AS config, count(*) AS n, sum(f5) / sum(g) AS recall5, sum(f10) / sum(g) AS recall10, avg(CASE WHEN f5 > 0 THEN 1.0 ELSE 0 END) AS hit5, avg(CASE WHEN f10 > 0 THEN 1.0 ELSE 0 END) AS hit10,
+  round(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END), 9) AS mrr10 FROM a GROUP BY 1""")
+def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
+    gold = table(spark, d, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"))
+    return metrics.ranking_metrics(_lists(spark, d).withColumnRenamed("source", "config"), gold).withColumn("mrr10", F.round("mrr10", 9))
+
+
+EDGES = """e AS (SELECT l_orderkey AS s, l_partkey + 10000000 AS t, CASE WHEN l_linenumber = 1 THEN 'NEXT' ELSE 'CITES' END AS kind FROM lineitem)"""
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("start"), (F.col("l_partkey") + 10_000_000).alias("end"), F.when(F.col("l_linenumber") == 1, "NEXT").otherwise("CITES").alias("kind")
+    )
+
+
+@query("graph_expansion", f"WITH {LISTS}, {EDGES}, x AS (SELECT query_id, t AS doc_id, round(max(CASE kind WHEN 'NEXT' THEN 1.0 ELSE 0.5 END / (1 + (rank - 1) / 10.0)), 9) AS score FROM l JOIN e ON doc_id = s WHERE source = 'dense' AND rank <= 10 GROUP BY 1, 2) "
+       "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 60")
+def graph_expansion(spark: SparkSession, d: str) -> DataFrame:
+    ranks = _lists(spark, d).where("source = 'dense'").drop("source")
+    return retrieval.expand(ranks, _edges(spark, d), {"NEXT": 1.0, "CITES": 0.5}).withColumn("score", F.round("score", 9))
+
+
+@query("hotness", """WITH c AS (SELECT l_partkey k, count(*) c FROM lineitem GROUP BY 1), n AS (SELECT p_partkey AS doc_id, coalesce(c, 0) AS c, p_size / 50.0 AS r FROM part LEFT JOIN c ON p_partkey = k)
+SELECT doc_id, c, round(0.85 * ln(1 + c) / ln(1 + max(c) OVER ()) + 0.15 * r, 6) AS hotness FROM n""")
+def hotness(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_size") / 50.0).alias("rank_norm"))
+    return retrieval.hotness(nodes, table(spark, d, "lineitem").select(F.col("l_partkey").alias("end")))
+
+
+# ---- statistics
+
+
+@query("nearest_rank_lengths", """WITH s AS (SELECT lang, list_sort(list(n_chars)) x FROM documents GROUP BY 1)
+SELECT lang, x[1 + least(len(x) - 1, CAST(floor(len(x) * 0.5) AS INT))] AS p50, x[1 + least(len(x) - 1, CAST(floor(len(x) * 0.9) AS INT))] AS p90 FROM s""")
+def nearest_rank_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.nearest_rank(table(spark, d, "documents"), ["lang"], "n_chars", {"p50": 0.5, "p90": 0.9})
+
+
+@query("rank_correlations", """WITH r AS (SELECT l_returnflag AS g, l_quantity x, l_discount y, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 rx,
+  rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2.0 ry FROM lineitem)
+SELECT g, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY g""")
+def rank_correlations(spark: SparkSession, d: str) -> DataFrame:
+    c = metrics.correlations(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "g"), ["g"], "l_quantity", "l_discount")
+    return c.select("g", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@query("score_summary", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stdev, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
+def score_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = metrics.summary(table(spark, d, "events"), ["event_type"], "value")
+    return s.withColumn("mean", F.round("mean", 6)).withColumn("stdev", F.round("stdev", 6))
+
+
+@query("bootstrap_interval")
+def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.bootstrap(table(spark, d, "supplier").select(F.lit("all").alias("system"), F.col("s_acctbal").alias("score")), "system", "score", iterations=500)
+
+
+@query("paired_win_tie_loss", """SELECT round(avg(l_quantity - l_linenumber), 6) AS diff, count(*) FILTER (l_quantity - l_linenumber > 1e-9) AS win, count(*) FILTER (abs(l_quantity - l_linenumber) <= 1e-9) AS tie,
+  count(*) FILTER (l_quantity - l_linenumber < -1e-9) AS loss FROM lineitem""")
+def paired_win_tie_loss(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.paired_counts(table(spark, d, "lineitem"), "l_quantity", "l_linenumber").withColumn("diff", F.round("diff", 6))
+
+
+@query("auc", """WITH x AS (SELECT o_totalprice s, o_orderpriority LIKE '1%' p FROM orders), g AS (SELECT s, count(*) FILTER (p) p, count(*) FILTER (NOT p) n FROM x GROUP BY 1)
+SELECT round(sum(p * b) / (sum(p) * sum(n)), 9) AS auc FROM (SELECT p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM g)""")
+def auc(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.auc(table(spark, d, "orders").withColumn("pos", F.col("o_orderpriority").like("1%")), "o_totalprice", "pos").select(F.round("auc", 9).alias("auc"))
+
+
+@query("rouge_l_answers")
+def rouge_l_answers(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return c.withColumn("before", F.lag("text").over(w)).where("before IS NOT NULL").select("conv_id", "turn", F.round(metrics.rouge_l(F.col("text"), F.col("before")), 4).alias("rouge_l"))
+
+
+@query("multilabel_scores")
+def multilabel_scores(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(
+        F.array(F.col("p_size") > 25, F.col("p_retailprice") > 1000, F.length("p_name") > 15).alias("truth"), F.array(F.col("p_size") / 50, F.col("p_retailprice") / 2000, F.lit(0.7)).alias("score")
+    )
+    return metrics.multilabel(p, ["a", "b", "c"])
+
+
+@query("rubric_rollup", """WITH t AS (SELECT l_returnflag AS split, l_orderkey AS c, sum(CASE WHEN l_discount >= 0.05 THEN l_quantity ELSE 0 END) total, sum(l_quantity) m FROM lineitem GROUP BY 1, 2)
+SELECT split, count(DISTINCT c) AS n_cases, round(avg(total), 6) AS mean_total, round(avg(CASE WHEN m > 0 THEN 100.0 * total / m END), 6) AS pct FROM t GROUP BY ROLLUP (split)""")
+def rubric_rollup(spark: SparkSession, d: str) -> DataFrame:
+    judged = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("split"), F.col("l_orderkey").alias("case_id"), F.lit("j").alias("judge"), F.col("l_quantity").alias("point"), (F.col("l_discount") >= 0.05).alias("met")
+    )
+    r = metrics.rubric_rollup(metrics.rubric_totals(judged))
+    return r.withColumn("mean_total", F.round("mean_total", 6)).withColumn("pct", F.round("pct", 6))
+
+
+@query("min_max_columns", """SELECT s_suppkey, round(CASE WHEN max(s_acctbal) OVER w = min(s_acctbal) OVER w THEN 1.0 ELSE (s_acctbal - min(s_acctbal) OVER w) / (max(s_acctbal) OVER w - min(s_acctbal) OVER w) END, 9) AS scaled
+  FROM supplier WINDOW w AS (PARTITION BY s_nationkey)""")
+def min_max_columns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select("s_suppkey", F.round(metrics.min_max("s_acctbal", ["s_nationkey"]), 9).alias("scaled"))
+
+
+# ---- samples, labels, gates, packing
+
+
+@query("stratified_pick", """WITH q AS (SELECT lang, count(*) // 4 AS quota FROM documents GROUP BY 1)
+SELECT doc_id, lang FROM documents JOIN q USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY substr(sha1('s' || chr(0) || doc_id), 1, 16)) <= quota""")
+def stratified_pick(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", "lang")
+    quota = t.groupBy("lang").agg(F.floor(F.count(F.lit(1)) / 4).alias("quota"))
+    return sampling.pick_per_stratum(t, ["lang"], quota, "s", "doc_id")
+
+
+@query("quota_allocation")
+def quota_allocation(spark: SparkSession, d: str) -> DataFrame:
+    n = {r["source"]: r["count"] for r in table(spark, d, "documents").groupBy("source").count().collect()}  # one row per source
+    got, _ = sampling.allocate(n, sum(n.values()) // 2, floor=5)
+    return spark.createDataFrame(sorted(got.items()), "source string, quota long")
+
+
+@query("build_splits", """WITH r AS (SELECT doc_id FROM documents ORDER BY substr(sha1('router' || chr(0) || doc_id), 1, 16) LIMIT 20), x AS (SELECT doc_id, lang, doc_id IN (SELECT doc_id FROM r) AS router FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, router ORDER BY substr(sha1('dev' || chr(0) || doc_id), 1, 16)) k FROM x)
+SELECT doc_id, lang, CASE WHEN router THEN 'router' WHEN k <= 5 THEN 'dev' WHEN k <= 10 THEN 'val' WHEN k <= 15 THEN 'test' ELSE 'train' END AS split FROM k""")
+def build_splits(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.build_splits(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 5, 5, 5, 20)
+
+
+@query("split_disjointness", """WITH x AS (SELECT l_suppkey k, l_returnflag s FROM lineitem GROUP BY ALL) SELECT a.s AS a, b.s AS b, count(*) AS shared FROM x a JOIN x b USING (k) WHERE a.s < b.s GROUP BY 1, 2""")
+def split_disjointness(spark: SparkSession, d: str) -> DataFrame:
+    return gates.disjoint(table(spark, d, "lineitem"), "l_returnflag", "l_suppkey")
+
+
+@query("quality_gates", """SELECT 'ids unique' AS check, 0 AS expected, count(doc_id) - count(DISTINCT doc_id) AS actual, count(doc_id) = count(DISTINCT doc_id) AS ok FROM documents
+UNION ALL SELECT 'texts present', 0, count(*) FILTER (text IS NULL), count(*) FILTER (text IS NULL) = 0 FROM documents""")
+def quality_gates(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents")
+    return gates.all_checks(gates.unique("ids unique", t, "doc_id"), gates.check("texts present", t, F.count_if(F.col("text").isNull())))
+
+
+@query("weighted_vote", """WITH s AS (SELECT l_orderkey u, l_returnflag d, sum(l_quantity) a FROM lineitem GROUP BY 1, 2), m AS (SELECT u, max(a) m FROM s GROUP BY 1)
+SELECT u AS uid, arg_max(d, a * 10 - CASE d WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS domain, list(d ORDER BY CASE d WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) FILTER (a >= 0.6 * m) AS domains FROM s JOIN m USING (u) GROUP BY 1""")
+def weighted_vote(spark: SparkSession, d: str) -> DataFrame:
+    signals = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("uid"), F.col("l_returnflag").alias("domain"), F.col("l_linestatus").alias("signal"), F.col("l_linenumber").alias("signal_ord"), F.col("l_quantity").alias("amount")
+    )
+    return labels.vote(signals, ["A", "N", "R"]).select("uid", "domain", "domains")
+
+
+@query("token_batches")
+def token_batches(spark: SparkSession, d: str) -> DataFrame:
+    return packing.token_batches(table(spark, d, "documents"), "doc_id", "n_chars", 20_000, 16, shards=4)
+
+
+# ---- relational queries, as plain SQL that both engines read
+
+REGISTRY.sql("pricing_summary", """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
+  round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+REGISTRY.sql("counts_by_keys", "SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source))")
+REGISTRY.sql("top_n_counter", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
+REGISTRY.sql("length_histogram", """SELECT CASE WHEN n_chars < 500 THEN '0' WHEN n_chars < 2000 THEN '500' WHEN n_chars < 8000 THEN '2000' ELSE '8000' END AS bucket, count(*) AS n, min(n_chars) AS lo, max(n_chars) AS hi FROM documents GROUP BY 1""")
+REGISTRY.sql("lookup_join_coalesce", "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR(9)), 'unknown') AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'unknown') AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+REGISTRY.sql("set_algebra", """SELECT count(*) AS n, sum(CASE WHEN a = 1 AND b = 1 THEN 1 ELSE 0 END) AS in_both, sum(CASE WHEN a = 1 AND b = 0 THEN 1 ELSE 0 END) AS only_docs, sum(CASE WHEN a = 0 AND b = 1 THEN 1 ELSE 0 END) AS only_labels
+  FROM (SELECT doc_id, max(a) AS a, max(b) AS b FROM (SELECT doc_id, 1 AS a, 0 AS b FROM documents UNION ALL SELECT doc_id, 0, 1 FROM labels WHERE toxic = 1) GROUP BY doc_id)""")
+REGISTRY.sql("lead_edges", "SELECT conv_id, turn AS start_turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS end_turn FROM conversations")
+REGISTRY.sql("version_numbers", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS version FROM lineitem")
+REGISTRY.sql("star_links", "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS hub FROM documents")
+REGISTRY.sql("degrees", "SELECT l_partkey, count(*) AS in_degree, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_partkey")
+REGISTRY.sql("confusion_matrix", "SELECT quality, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS clean FROM labels GROUP BY quality")
+REGISTRY.sql("interval_join", """SELECT o.o_orderkey, count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL 60 DAYS GROUP BY o.o_orderkey""")
+REGISTRY.sql("chat_turn_classes", "SELECT kind, count(*) AS n FROM (SELECT conv_id, CASE WHEN sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 0 THEN 'none' WHEN sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 1 THEN 'single' ELSE 'multi' END AS kind FROM conversations GROUP BY conv_id) GROUP BY kind")
+REGISTRY.sql("revenue_by_nation", """SELECT n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name""")
+REGISTRY.sql("hourly_events", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
