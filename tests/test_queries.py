@@ -22,7 +22,7 @@ def plain(x):
         x = x.tolist()
     if isinstance(x, list | tuple):
         return [plain(y) for y in x]
-    if x is None or x != x:
+    if x is None or type(x).__name__ == "NAType" or x != x:
         return None
     if isinstance(x, bool):
         return x
