@@ -278,7 +278,7 @@ def split_disjointness(spark: SparkSession, d: str) -> DataFrame:
     return gates.disjoint(table(spark, d, "lineitem"), "l_returnflag", "l_suppkey")
 
 
-@query("quality_gates", """SELECT 'ids unique' AS check, 0 AS expected, count(doc_id) - count(DISTINCT doc_id) AS actual, count(doc_id) = count(DISTINCT doc_id) AS ok FROM documents
+@query("quality_gates", """SELECT 'ids unique' AS check, CAST(0 AS BIGINT) AS expected, count(doc_id) - count(DISTINCT doc_id) AS actual, count(doc_id) = count(DISTINCT doc_id) AS ok FROM documents
 UNION ALL SELECT 'texts present', 0, count(*) FILTER (text IS NULL), count(*) FILTER (text IS NULL) = 0 FROM documents""")
 def quality_gates(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
@@ -307,15 +307,109 @@ REGISTRY.sql("counts_by_keys", "SELECT lang, source, count(*) AS n FROM document
 REGISTRY.sql("top_n_counter", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
 REGISTRY.sql("length_histogram", """SELECT CASE WHEN n_chars < 500 THEN '0' WHEN n_chars < 2000 THEN '500' WHEN n_chars < 8000 THEN '2000' ELSE '8000' END AS bucket, count(*) AS n, min(n_chars) AS lo, max(n_chars) AS hi FROM documents GROUP BY 1""")
 REGISTRY.sql("lookup_join_coalesce", "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR(9)), 'unknown') AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'unknown') AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-REGISTRY.sql("set_algebra", """SELECT count(*) AS n, sum(CASE WHEN a = 1 AND b = 1 THEN 1 ELSE 0 END) AS in_both, sum(CASE WHEN a = 1 AND b = 0 THEN 1 ELSE 0 END) AS only_docs, sum(CASE WHEN a = 0 AND b = 1 THEN 1 ELSE 0 END) AS only_labels
+REGISTRY.sql("set_algebra", """SELECT count(*) AS n, CAST(sum(CASE WHEN a = 1 AND b = 1 THEN 1 ELSE 0 END) AS BIGINT) AS in_both, CAST(sum(CASE WHEN a = 1 AND b = 0 THEN 1 ELSE 0 END) AS BIGINT) AS only_docs, CAST(sum(CASE WHEN a = 0 AND b = 1 THEN 1 ELSE 0 END) AS BIGINT) AS only_labels
   FROM (SELECT doc_id, max(a) AS a, max(b) AS b FROM (SELECT doc_id, 1 AS a, 0 AS b FROM documents UNION ALL SELECT doc_id, 0, 1 FROM labels WHERE toxic = 1) GROUP BY doc_id)""")
 REGISTRY.sql("lead_edges", "SELECT conv_id, turn AS start_turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS end_turn FROM conversations")
-REGISTRY.sql("version_numbers", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS version FROM lineitem")
+REGISTRY.sql("version_numbers", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS BIGINT) AS version FROM lineitem")
 REGISTRY.sql("star_links", "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS hub FROM documents")
 REGISTRY.sql("degrees", "SELECT l_partkey, count(*) AS in_degree, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_partkey")
-REGISTRY.sql("confusion_matrix", "SELECT quality, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS clean FROM labels GROUP BY quality")
+REGISTRY.sql("confusion_matrix", "SELECT quality, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic, CAST(sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS BIGINT) AS clean FROM labels GROUP BY quality")
 REGISTRY.sql("interval_join", """SELECT o.o_orderkey, count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL 60 DAYS GROUP BY o.o_orderkey""")
 REGISTRY.sql("chat_turn_classes", "SELECT kind, count(*) AS n FROM (SELECT conv_id, CASE WHEN sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 0 THEN 'none' WHEN sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 1 THEN 'single' ELSE 'multi' END AS kind FROM conversations GROUP BY conv_id) GROUP BY kind")
 REGISTRY.sql("revenue_by_nation", """SELECT n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name""")
 REGISTRY.sql("hourly_events", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+
+
+# ---- further operators on the star schema and the text tables
+
+
+@query("table_line_strip", r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT contains(x, '|')) x FROM documents WHERE length(text) > 1000),
+  t AS (SELECT doc_id, substr(array_to_string(x, chr(10)), 1, 2000) AS t FROM l) SELECT doc_id, length(t) AS n_kept, sha1(t) AS sha FROM t WHERE length(t) >= 200""")
+def table_line_strip(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~F.contains(x, F.lit("|")))
+    t = table(spark, d, "documents").where(F.length("text") > 1000).select("doc_id", F.substring(F.array_join(lines, "\n"), 1, 2000).alias("t"))
+    return t.where(F.length("t") >= 200).select("doc_id", F.length("t").cast("long").alias("n_kept"), F.sha1("t").alias("sha"))
+
+
+@query("last_user_message", """WITH a AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT c.conv_id, count(*) AS n_before, arg_max(text, turn) AS asked FROM conversations c JOIN a USING (conv_id) WHERE turn < t GROUP BY 1""")
+def last_user_message(spark: SparkSession, d: str) -> DataFrame:
+    """The messages before the last assistant turn: how many, and the last of them."""
+    c = table(spark, d, "conversations")
+    last = c.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("t"))
+    return c.join(last, "conv_id").where("turn < t").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_before"), F.max_by("text", "turn").alias("asked"))
+
+
+@query("loose_and_exact_keys", """SELECT source, count(*) AS n, count(DISTINCT sha1(text)) AS n_exact, count(DISTINCT sha1(lower(regexp_replace(text, '[^a-zA-Z]', '', 'g')))) AS n_loose FROM documents GROUP BY 1""")
+def loose_and_exact_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(F.sha1("text")).alias("n_exact"), F.countDistinct(F.sha1(F.lower(F.regexp_replace("text", "[^a-zA-Z]", "")))).alias("n_loose")
+    )
+
+
+@query("leak_levels", """WITH t AS (SELECT DISTINCT l_partkey p, l_suppkey s FROM lineitem WHERE l_orderkey % 2 = 0), e AS (SELECT l_orderkey, l_linenumber, l_partkey p, l_suppkey s FROM lineitem WHERE l_orderkey % 10 = 1)
+SELECT l_orderkey, l_linenumber, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.p = e.p AND t.s = e.s) THEN 'both' WHEN EXISTS (SELECT 1 FROM t WHERE t.p = e.p) THEN 'question' WHEN EXISTS (SELECT 1 FROM t WHERE t.s = e.s) THEN 'answer' ELSE 'clean' END AS level FROM e""")
+def leak_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation rows by what of them the training rows hold: the pair, its first part, or its second."""
+    rows = table(spark, d, "lineitem")
+    known, eval_ = rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 10 = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    flagged = eval_
+    for name, key in (("both", ["l_partkey", "l_suppkey"]), ("question", ["l_partkey"]), ("answer", ["l_suppkey"])):
+        flagged = flagged.join(known.select(*key).distinct().withColumn(name, F.lit(1)), key, "left")
+    level = F.when(F.col("both") == 1, "both").when(F.col("question") == 1, "question").when(F.col("answer") == 1, "answer").otherwise("clean")
+    return flagged.select("l_orderkey", "l_linenumber", level.alias("level"))
+
+
+@query("dense_ceiling", """WITH r AS (SELECT o_custkey q, o_orderkey doc, o_orderpriority LIKE '1%' AS gold, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) k FROM orders)
+SELECT q AS query_id, min(CASE WHEN gold THEN k END) AS first_gold, count(*) FILTER (gold AND k <= 3) AS at3, count(*) FILTER (gold) AS n_gold FROM r GROUP BY 1""")
+def dense_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    gold = F.col("o_orderpriority").like("1%")
+    ranked = table(spark, d, "orders").withColumn("k", F.row_number().over(w))
+    return ranked.groupBy(F.col("o_custkey").alias("query_id")).agg(
+        F.min(F.when(gold, F.col("k"))).cast("long").alias("first_gold"), F.count_if(gold & (F.col("k") <= 3)).alias("at3"), F.count_if(gold).alias("n_gold")
+    )
+
+
+@query("fusion_sweep", f"""WITH {LISTS}, p AS (SELECT k, w FROM (VALUES (5), (10), (60)) a(k), (VALUES (0.5), (0.7), (1.0)) b(w)), g AS (SELECT o_orderkey AS doc_id FROM orders WHERE o_orderpriority LIKE '1%'),
+s AS (SELECT k, w, query_id, doc_id, round(sum(CASE source WHEN 'dense' THEN 1.0 ELSE w END / (k + rank)), 9) AS s FROM l, p GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, w, query_id ORDER BY s DESC, doc_id) AS i FROM s)
+SELECT k, CAST(w AS DOUBLE) AS w, count(*) FILTER (i <= 3 AND doc_id IN (SELECT doc_id FROM g)) AS hits FROM r GROUP BY 1, 2""")
+def fusion_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """A grid of fusion parameters over the same candidates: one join with the parameters, one pass for all of them."""
+    grid = spark.createDataFrame([(k, w) for k in (5, 10, 60) for w in (0.5, 0.7, 1.0)], "k int, w double")
+    weight = F.when(F.col("source") == "dense", 1.0).otherwise(F.col("w"))
+    scored = _lists(spark, d).crossJoin(F.broadcast(grid)).groupBy("k", "w", "query_id", "doc_id").agg(F.round(F.sum(weight / (F.col("k") + F.col("rank"))), 9).alias("s"))
+    i = F.row_number().over(Window.partitionBy("k", "w", "query_id").orderBy(F.col("s").desc(), "doc_id"))
+    gold = table(spark, d, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("gold"))
+    best = scored.withColumn("i", i).where("i <= 3").join(gold, "doc_id", "left")
+    return best.groupBy("k", "w").agg(F.count("gold").alias("hits"))
+
+
+@query("stratified_holdout", """WITH c AS (SELECT doc_id, quality || '-' || toxic AS combo, count(*) OVER (PARTITION BY quality, toxic) n FROM labels), s AS (SELECT doc_id, CASE WHEN n < 20 THEN '__other__' ELSE combo END AS stratum FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY substr(sha1('dev' || chr(0) || doc_id), 1, 16)) k, count(*) OVER (PARTITION BY stratum) n FROM s)
+SELECT doc_id, stratum, n >= 2 AND k <= greatest(1, n // 10) AS dev FROM r""")
+def stratified_holdout(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of each combination of labels by hash, one at least of two or more; rare combinations are one stratum."""
+    combo = Window.partitionBy("quality", "toxic")
+    s = table(spark, d, "labels").withColumn("n", F.count(F.lit(1)).over(combo))
+    s = s.select("doc_id", F.when(F.col("n") < 20, "__other__").otherwise(F.concat_ws("-", F.col("quality").cast("string"), F.col("toxic").cast("string"))).alias("stratum"))
+    w = Window.partitionBy("stratum")
+    n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(X.hash_order("dev", F.col("doc_id").cast("string"))))
+    return s.select("doc_id", "stratum", n.alias("n"), k.alias("k")).select("doc_id", "stratum", ((F.col("n") >= 2) & (F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10)))).alias("dev"))
+
+
+@query("trace_rollup", """SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks, list_sort(list(value))[1 + count(*) // 2] AS p50 FROM events GROUP BY 1""")
+def trace_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and the upper median per key."""
+    e = table(spark, d, "events")
+    middle = metrics.nearest_rank(e, ["user_id"], "value", {"p50": 0.5})
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "click").alias("clicks")).join(middle, "user_id")
+
+
+REGISTRY.sql("nested_key_profile", "SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN props LIKE '%\"k\"%' THEN 1 ELSE 0 END) AS BIGINT) AS with_k, CAST(min(length(props)) AS BIGINT) AS shortest, CAST(max(length(props)) AS BIGINT) AS longest FROM events GROUP BY event_type")
+REGISTRY.sql("backfill_attribute", "SELECT c.c_custkey, coalesce(CASE WHEN c.c_acctbal > 0 THEN c.c_mktsegment END, n.n_name) AS segment FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey")
+REGISTRY.sql("cross_tab_share", "SELECT lang, source, count(*) AS n, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS pct FROM documents GROUP BY lang, source")
+REGISTRY.sql("winner_on_two_axes", "SELECT n_name, total, n FROM (SELECT n.n_name, round(sum(s.s_acctbal), 2) AS total, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, round(sum(s.s_acctbal), 2) DESC, n.n_name) AS k FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name) t WHERE k = 1")
+REGISTRY.sql("scoped_id_collisions", "SELECT turn, count(*) AS n, count(DISTINCT conv_id) AS ids FROM conversations GROUP BY turn HAVING count(*) > 1")
+REGISTRY.sql("label_sets_by_source", "SELECT d.source, count(*) AS n, avg(CAST(l.quality AS DOUBLE)) AS good, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unlabelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
