@@ -413,3 +413,51 @@ REGISTRY.sql("cross_tab_share", "SELECT lang, source, count(*) AS n, round(CAST(
 REGISTRY.sql("winner_on_two_axes", "SELECT n_name, total, n FROM (SELECT n.n_name, round(sum(s.s_acctbal), 2) AS total, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, round(sum(s.s_acctbal), 2) DESC, n.n_name) AS k FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name) t WHERE k = 1")
 REGISTRY.sql("scoped_id_collisions", "SELECT turn, count(*) AS n, count(DISTINCT conv_id) AS ids FROM conversations GROUP BY turn HAVING count(*) > 1")
 REGISTRY.sql("label_sets_by_source", "SELECT d.source, count(*) AS n, avg(CAST(l.quality AS DOUBLE)) AS good, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unlabelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
+
+
+@query("source_selection", """SELECT s_suppkey, CASE WHEN s_nationkey > 20 THEN 'grade' WHEN s_acctbal < 0 THEN 'usage' WHEN s_suppkey % 7 = 0 THEN 'skipped' END AS reason FROM supplier""")
+def source_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The first rule that rejects a source; null where it is taken."""
+    rules = [("grade", "s_nationkey > 20"), ("usage", "s_acctbal < 0"), ("skipped", "s_suppkey % 7 = 0")]
+    reason = F.expr("CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in rules) + " END")
+    return table(spark, d, "supplier").select("s_suppkey", reason.alias("reason"))
+
+
+@query("target_gaps", """WITH t(lang, target) AS (VALUES ('en', 100), ('fr', 200), ('xx', 5)), h AS (SELECT lang, count(*) n FROM documents GROUP BY 1)
+SELECT t.lang, CAST(target AS BIGINT) AS target, coalesce(n, 0) AS have, CAST(greatest(0, target - coalesce(n, 0)) AS BIGINT) AS gap, coalesce(n, 0) / target AS ratio FROM t LEFT JOIN h USING (lang)""")
+def target_gaps(spark: SparkSession, d: str) -> DataFrame:
+    targets = spark.createDataFrame([("en", 100), ("fr", 200), ("xx", 5)], "lang string, target long")
+    have = table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return targets.join(have, "lang", "left").select("lang", "target", n.alias("have"), F.greatest(F.lit(0).cast("long"), F.col("target") - n).alias("gap"), (n / F.col("target")).alias("ratio"))
+
+
+@query("vector_threshold_join", """WITH q AS (SELECT vec_id q, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id, round(list_cosine_similarity(e, CAST(embedding AS DOUBLE[])), 6) AS cosine FROM q, embeddings WHERE vec_id <> q)
+SELECT q AS query_id, arg_max(vec_id, cosine * 1e9 - vec_id * 1e-6) AS doc_id, max(cosine) AS cosine FROM s GROUP BY 1 HAVING max(cosine) > 0.2""")
+def vector_threshold_join(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest other vector of each query above a cosine. The queries are the stated set, sent along as one block."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), retrieval.normalised(F.col("embedding")).alias("v"))
+    q = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    near = v.crossJoin(F.broadcast(q)).where("doc_id <> query_id").select("query_id", "doc_id", F.round(X.dot(F.col("v"), F.col("q")), 6).alias("cosine"))
+    best = near.groupBy("query_id").agg(F.max(F.struct("cosine", -F.col("doc_id"))).alias("x"), F.max("cosine").alias("cosine"))
+    return best.where("cosine > 0.2").select("query_id", (-F.col("x.col2")).alias("doc_id"), "cosine")
+
+
+@query("utilisation_mean", """SELECT label, i - 1 AS place, round(avg(embedding[i]), 6) AS mean FROM embeddings, range(1, 5) r(i) GROUP BY 1, 2""")
+def utilisation_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Element-wise means of vectors, here of their first four places."""
+    return table(spark, d, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 4)).alias("place", "x")).groupBy("label", F.col("place").cast("long").alias("place")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query("page_facts", """SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<p')) AS paragraphs FROM pages""")
+def page_facts(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), n("<a ").alias("links"), n("<p").alias("paragraphs"))
+
+
+@query("judge_agreement", """WITH j AS (SELECT l_orderkey c, l_linenumber j, l_quantity s FROM lineitem WHERE l_linenumber <= 3) SELECT a.j AS a, b.j AS b, count(*) AS n, round(corr(a.s, b.s), 6) AS pearson FROM j a JOIN j b USING (c) WHERE a.j < b.j GROUP BY 1, 2""")
+def judge_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of each pair of judges over the cases that both judged; a case has few judges."""
+    j = table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("c"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("s"))
+    pairs = j.alias("a").join(j.alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.j") < F.col("b.j")))
+    return pairs.groupBy(F.col("a.j").alias("a"), F.col("b.j").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("a.s", "b.s"), 6).alias("pearson"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +30,11 @@ class Registry:
 
     def sql(self, name: str, text: str, oracle: str | None = None) -> None:
         """A query given as Spark SQL over the tables; oracle: the same in DuckDB, by default the very text."""
-        import re
-
         used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+        named = re.sub(r"\b(" + "|".join(used) + r")\b(?!\.)", lambda m: "{" + m[1] + "}", text)
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return spark.sql(text, **{}) if not used else spark.sql(
-                re.sub(r"\b(" + "|".join(used) + r")\b(?!\.)", lambda m: "{" + m[1] + "}", text),
-                **{t: table(spark, sf_dir, t) for t in used},
-            )
+            return spark.sql(named, **{t: table(spark, sf_dir, t) for t in used})
 
         self.query(name, oracle or text)(run)
 
