@@ -1,8 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The test items' word n-grams are looked up in every text. A hit is a seed if its n-gram is rare: found in at most `RARE` times
-as many rows of the corpus as the item's median n-gram (a leaked item raises all its n-grams alike, so that at least half of
-them always remain), or in at most `LEAST_DF`. The passage around an item's hits is aligned with the item, word by word, by local alignment with
+The test items' word n-grams are looked up in every text, and all of them are seeds, however often the corpus holds them: copies
+of a part of an item make just its n-grams frequent. The passage around an item's hits is left out only if it shares too few words
+with the item for any alignment to reach the score (no alignment has more equal words than both have in common), so that no leak
+is lost. The others are aligned with the item, word by word, by local alignment with
 match, mismatch and gap scores; what reaches `SCORE` of a full match is a leak, so that copies that were edited, cut or put
 into other words in part are found.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import shared
 
-N, RARE, LEAST_DF, SCORE, BLOCK = 3, 4.0, 20, 0.42, 1_000_000
+N, SCORE, BLOCK = 3, 0.42, 1_000_000
 MATCH, MISMATCH, GAP, PAD = 2, -1, -1, 12
 
 #: ASCII that is no letter or digit becomes a space.
@@ -60,6 +61,7 @@ class Items:
             for at in range(max(len(w) - n + 1, 1 if len(w) else 0)):
                 grams.setdefault(tuple(w[at : at + n].tolist()), []).append((k, at))
         self.base = len(self.ids) + 1
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         # Keys by length; items of fewer than n words have one shorter n-gram.
         self.tables = []
         for size in sorted({len(g) for g in grams}):
@@ -77,6 +79,14 @@ class Items:
                 key ^= key >> np.uint64(29)
         return key
 
+    def most(self, k: int, ids: np.ndarray) -> float:
+        """No alignment of an item of at least one word with a passage scores more, as a share of a full match: the words that
+        both hold, each as often as both hold it."""
+        own, count = self.bags[k]
+        slot = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+        both = np.minimum(np.bincount(slot[own[slot] == ids], minlength=len(own)), count).sum()
+        return float(MATCH * both) / (MATCH * len(self.words[k]))
+
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For a row of word ids: places, items and places in the item of all n-grams found."""
         found = []
@@ -146,11 +156,11 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> list[tuple[float, int
     return [(float(s) / full, int(m), int(b), int(e)) for s, m, b, e in best]
 
 
-def _passages(docs: DataFrame, block: Items) -> DataFrame:
-    """doc_id, item_id, first (its place in the text), words (ids in the block), grams (places in the item): what stands around hits."""
+def _passages(docs: DataFrame, block: Items, least: float) -> DataFrame:
+    """doc_id, item_id, first (its place in the text), words (ids in the block): what stands around hits and can reach the score."""
     lens = np.array([len(w) for w in block.words], np.int64)
 
-    schema = pa.schema([("row", pa.int32()), ("item_id", pa.int64()), ("k", pa.int32()), ("first", pa.int32()), ("words", pa.list_(pa.int32())), ("grams", pa.list_(pa.int32()))])
+    schema = pa.schema([("row", pa.int32()), ("item_id", pa.int64()), ("k", pa.int32()), ("first", pa.int32()), ("words", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +170,11 @@ def _passages(docs: DataFrame, block: Items) -> DataFrame:
                     continue
                 words = words_of(text)
                 ids = np.fromiter(map(block.ids.__getitem__, words), np.int64, len(words))
-                at, item, place = block.hits(ids)
+                at, item, _ = block.hits(ids)
                 if not len(at):
                     continue
                 order = np.lexsort((at, item))
-                at, item, place = at[order], item[order], place[order]
+                at, item = at[order], item[order]
                 # Hits of one item that lie further apart than it is long are passages of their own; so are long chains.
                 apart = (np.diff(item) != 0) | (np.diff(at) > lens[item[1:]] + PAD)
                 cuts = np.append(0, np.flatnonzero(apart) + 1).tolist() + [len(at)]
@@ -177,7 +187,8 @@ def _passages(docs: DataFrame, block: Items) -> DataFrame:
                         if inside.start == inside.stop:
                             continue
                         lo, hi = max(0, int(at[inside.start]) - n - PAD), min(len(ids), int(at[inside.stop - 1]) + n + PAD)
-                        out.append((row, int(block.item_id[k]), k, lo, ids[lo:hi].astype(np.int32), np.unique(place[inside]).astype(np.int32)))
+                        if block.most(k, ids[lo:hi]) >= least:
+                            out.append((row, int(block.item_id[k]), k, lo, ids[lo:hi].astype(np.int32)))
             if out:
                 found = [pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
                 ids = batch.column("doc_id").take(found[0])
@@ -185,7 +196,7 @@ def _passages(docs: DataFrame, block: Items) -> DataFrame:
 
     rows = docs.select(F.col("doc_id"), F.col("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, item_id long, k int, first int, words array<int>, grams array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, item_id long, k int, first int, words array<int>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
@@ -207,14 +218,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFr
 
 
 def _leaks(docs: DataFrame, block: Items, least: float) -> DataFrame:
-    passages = _passages(docs, block).checkpoint()
-    # How many rows hold each n-gram of an item; a row with several passages counts more than once, as often for all of them.
-    df = passages.select("k", F.explode("grams").alias("place")).groupBy("k", "place").count()
-    spread = df.groupBy("k").agg(F.percentile("count", F.lit(0.5)).alias("median"))
-    rare = df.join(spread, "k").where(F.col("count") <= F.greatest(F.col("median") * RARE, F.lit(float(LEAST_DF))))
-    seeds = rare.groupBy("k").agg(F.collect_set("place").alias("seeds"))  # a row per item of the block: bounded with it
-    likely = passages.join(F.broadcast(seeds), "k").where(F.arrays_overlap("grams", "seeds")).drop("seeds")
-
     schema = pa.schema([("row", pa.int32()), ("score", pa.float64()), ("n_equal", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +237,7 @@ def _leaks(docs: DataFrame, block: Items, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, *found[1:]], ["doc_id", "item_id", *schema.names[1:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return likely.drop("grams").mapInArrow(run, f"doc_id {kind}, item_id long, score double, n_equal int, first_word int, last_word int")
+    return _passages(docs, block, least).mapInArrow(run, f"doc_id {kind}, item_id long, score double, n_equal int, first_word int, last_word int")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:

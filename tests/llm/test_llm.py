@@ -267,6 +267,24 @@ def test_leaks(spark, docs, small):
     assert decontaminate.drop_leaks(docs, items).columns == docs.columns
 
 
+def test_leaks_of_parts_that_are_frequent(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = " ".join(["lead", *item[:18], "tail"])  # 45 % of the item
+    texts = [edited] * 1000 + [" ".join(item)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], round(x["score"], 6), x["n_equal"], x["first_word"], x["last_word"]) for x in got) == [*((i, 0.45, 18, 1, 18) for i in range(1000)), (1000, 1.0, 40, 0, 39)]
+
+
+def test_leaks_left_out_cannot_reach_the_score():
+    r = random.Random(8)
+    for _ in range(200):
+        words = [f"w{r.randrange(8)}" for _ in range(r.randrange(1, 20))]
+        block = decontaminate.Items([(1, " ".join(words))])
+        passage = np.array([r.randrange(block.base) for _ in range(r.randrange(1, 40))])
+        assert decontaminate.align(block.words[0], [passage])[0][0] <= block.most(0, passage)
+
+
 def test_rules_ablation(docs):
     led = quality_rules.ledger(docs).cache()
     got = {r["rule"]: r for r in quality_rules.ablate(led, "v1").collect()}
