@@ -3,7 +3,9 @@
 Base kinds are found by pattern. Candidates for the method are maximal runs of one character class (`CLASSES`) that are long
 enough; a window slides over each, its counts per character are kept up by adding the character that enters and taking off the
 one that leaves, and the entropy follows from the two counts that change. Windows at or over the class's limit are merged to
-spans. A span that the allow list knows (`ALLOWED`), or that lies in a base span, is suppressed.
+spans. What the allow list knows, or what lies in a base span, is suppressed: a candidate of a known form (`FORM`), a span in
+which no window is without a known word (`WORDS`) in or near it, and one that is mostly a lower-case path (`PATH`), so that what
+a long key holds by chance does not hide it.
 
 Spans are in code points, end exclusive. Cases: a null or empty text has none; matches of one kind do not overlap, those of two
 kinds may; repeated rows are rows like others; an empty table gives none; of the input only the id and the text are read, so
@@ -26,13 +28,14 @@ ASSIGN_LEAST, ACCESS, HEX = 12, r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 CLASSES: tuple[tuple[str, str, int, float], ...] = (
     ("entropy_hex", r"(?<![0-9A-Za-z])[0-9A-F]{24,}(?![0-9A-Za-z])", 24, 2.9),
     ("entropy_base64", r"(?<![A-Za-z0-9+/_-])(?=[a-z+/_-]*[A-Z0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}", 24, 3.9),
+    # Without lower-case letters (of base32, 99 % of random keys of 32 characters and more reach the limit), and without digits.
+    ("entropy_upper", r"(?<![A-Za-z0-9+/_-])(?=[A-F0-9+/_-]*[G-Z])[A-Z0-9+/_-]{24,}+(?![a-z])", 24, 3.7),
+    ("entropy_mixed", r"(?<![A-Za-z0-9+/_-])(?=[a-z+/_-]*[A-Z])(?=[A-Z+/_-]*[a-z])[A-Za-z+/_-]{24,}+(?![0-9])", 24, 3.9),
 )
-#: Texts that look random and are known not to be secrets: identifiers in UUID form, alphabets, examples.
-ALLOWED = (
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)abcdefghij|0123456789|example|placeholder|sample|dummy|changeme",
-    r"^/|//|(/[a-z_-]+){3}",
-)
+#: Texts that look random and are known not to be secrets: identifiers in UUID form, alphabets, examples, paths.
+FORM = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+WORDS = "abcdefghij|0123456789|example|placeholder|sample|dummy|changeme"
+PATH = r"/[a-z_-]+(?=/|$)|^[a-z_-]+(?=/)"
 SPAN = "array<struct<kind:string,start:int,until:int>>"
 
 
@@ -112,10 +115,17 @@ def entropy_windows(value: Column, window: int, least: float) -> Column:
     return let(codes, lambda all_: F.aggregate(all_, start, lambda s, c: step(all_, s, c))["out"])
 
 
+def _known(value: Column, window: int) -> Column:
+    """Whether a span is an example (with a known word and what stands up to a window from it taken out, no window is left), or a path for the most part."""
+    near = F.regexp_replace(value, f"(?i)(?:.{{0,{window}}}(?:{WORDS}))+.{{0,{window}}}", " ")
+    return ~near.rlike(f"[^ ]{{{window}}}") | (2 * F.length(F.regexp_replace(value, PATH, "")) < F.length(value))
+
+
 def _high(kind: str, window: int, least: float) -> Callable[[Column], Column]:
-    """From a candidate (value, start) to its spans of high entropy in the text."""
+    """From a candidate (value, start) to its spans of high entropy in the text, without those that the allow list knows."""
+    value = lambda m, w: F.substring(m["value"], w["start"] + 1, w["until"] - w["start"])
     return lambda m: F.transform(
-        entropy_windows(m["value"], window, least),
+        F.filter(entropy_windows(m["value"], window, least), lambda w: ~_known(value(m, w), window)),
         lambda w: F.struct(F.lit(kind).alias("kind"), (m["start"] + w["start"]).alias("start"), (m["start"] + w["until"]).alias("until")),
     )
 
@@ -126,11 +136,8 @@ def entropy_spans(text: Column, base: Column) -> Column:
     for kind, pattern, window, least in CLASSES:
 
         def wanted(m: Column) -> Column:
-            known = F.lit(False)
-            for p in ALLOWED:
-                known = known | m["value"].rlike(p)
             within = F.exists(base, lambda b: (b["start"] <= m["start"]) & (b["until"] >= m["start"] + F.length(m["value"])))
-            return ~known & ~within
+            return ~m["value"].rlike(FORM) & ~within
 
         found.append(F.when(text.rlike(pattern), F.flatten(F.transform(F.filter(located(text, pattern), wanted), _high(kind, window, least)))).otherwise(_none()))
     return F.concat(*found)

@@ -116,6 +116,21 @@ def test_secrets_entropy(spark):
     assert clean["text"] == "say [assign]' end" and clean["n_chars"] == 7
 
 
+def test_secrets_of_any_length_and_case(spark):
+    r, letters = random.Random(11), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    made = lambda of, n: "".join(r.choice(of) for _ in range(n))
+    base64 = letters + letters.lower() + "0123456789+/"
+    blob = made(base64, 1000) + "//" + made(base64, 1000) + "Sample" + made(base64, 1000)
+    keys = [blob, "/" + made(base64, 60), made(letters + "234567", 64), made(letters + letters.lower(), 64)]
+    plain = ["/usr/lib/python3/dist-packages/some_folder/other-folder", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "SOME_CONSTANT_OF_SOME_LENGTH", "Donaudampfschifffahrtsgesellschaft", "0123456789ABCDEF" * 3]
+    docs = spark.createDataFrame([(i, f"see {v} end") for i, v in enumerate(keys + plain)], "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan(docs).collect()}
+    covered = [sum(s["until"] - s["start"] for s in got[i]) / len(v) for i, v in enumerate(keys)]
+    assert all(c > 0.9 for c in covered), covered
+    assert [s["kind"] for i in (2, 3) for s in got[i]] == ["entropy_upper", "entropy_mixed"]
+    assert not any(got[len(keys) + i] for i in range(len(plain)))
+
+
 def test_sharding(docs, rows):
     got = sharding.assign(docs, 8).toPandas()
     assert len(got) == len(rows)
