@@ -334,6 +334,26 @@ def test_lm(docs, rows):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got.collect())
 
 
+def test_lm_trains_on_every_document(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["river", "stone", "green", "light", "water"]) for _ in range(40)) for _ in range(400)]
+    made = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).checkpoint()
+    n_ids, average = [], lm_scoring._averaged
+
+    def counted(trained):
+        trained = trained.checkpoint()
+        n_ids.append(sum(x["n"] for x in trained.collect()))
+        return average(trained)
+
+    monkeypatch.setattr(lm_scoring, "_averaged", counted)
+    path = lm_scoring.subwords.model_path()
+    model = lm_scoring.train(made, lm_scoring.count_words(made), len(texts), path)
+    words = lm_scoring.Words(path, model)
+    index = words.index([w for t in texts for w in lm_scoring.words_of(t)])
+    assert n_ids == [int(words.pieces(index)[1].sum()) + len(texts)]  # every id and every end
+    assert model.p["O"].any()
+
+
 def test_lm_sums_to_one_and_learns():
     r, size = np.random.default_rng(0), 40
     uni = r.integers(1, 20, size).astype(float)
