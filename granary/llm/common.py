@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from pathlib import Path
 from tempfile import gettempdir
@@ -28,14 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> SparkSession:
-    """Sees to a checkpoint folder: the cluster's shared one, or where none is set (tests) a local one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(str(Path(gettempdir()) / "granary-checkpoints"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """Sees to a checkpoint folder: the one that the session names, or where none is set a local one, which only a local master may have."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or str(Path(gettempdir()) / "granary-checkpoints"))
     return spark
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keeps Arrow batches small, for texts of any length: the rows of one batch sit in a Python worker together."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that are written to be read again."""
+    return shared(spark).sparkContext.getCheckpointDir()
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """A column name that no column has."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
+    """Keeps Arrow batches small, by rows and by bytes: what is in one batch sits in a Python worker together."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

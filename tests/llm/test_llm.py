@@ -334,46 +334,109 @@ def test_lm(docs, rows):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got.collect())
 
 
-def test_lm_trains_on_every_document(spark, monkeypatch):
-    r = random.Random(5)
-    texts = [" ".join(r.choice(["river", "stone", "green", "light", "water"]) for _ in range(40)) for _ in range(400)]
-    made = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).checkpoint()
-    n_ids, average = [], lm_scoring._averaged
+def attended(model, first, last):
+    """log10 of the class probabilities of each next word of one text, word by word in plain loops."""
+    p, B, d, out = model.p, lm_scoring.BLOCK, lm_scoring.WIDTH, []
+    x = [p["E"][model.start] * 2, *(p["E"][model.cluster[f]] + p["E"][lm_scoring.CLUSTERS + 1 + model.last[e]] for f, e in zip(first, last, strict=True))]
+    for t in range(len(x)):
+        begin = max(0, (t // B - 1) * B)
+        q = x[t] @ p["Q"]
+        s = np.array([q @ (x[j] @ p["K"]) / math.sqrt(d) + p["B"][0][t - j] for j in range(begin, t + 1)])
+        w = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        u = np.tanh(sum(a * (x[j] @ p["V"]) for a, j in zip(w, range(begin, t + 1), strict=True)) @ p["H"] + x[t] @ p["X"])
+        z = (u @ p["O"] + model.prior).astype(float)
+        out.append((z - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10))
+    return out
+
+
+def test_lm_against_plain_loops(spark, monkeypatch):
+    r = random.Random(7)
+    words = ["river", "stone", "Green", "light", "water", "schön", "▁x", "a▁", "zzzzqq"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(30))) for _ in range(60)] + [None, "", "one\tnew  wordlet", "one"]
+    docs = spark.createDataFrame([(i % 40, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_scoring, "KNOWN", 4)  # most words are joined
+    path = lm_scoring.subwords.model_path()
+    corpus = lm_scoring.Corpus(docs, "doc_id", "text", path)
+    model = lm_scoring.train(corpus.rows.where("NOT held").select("ids"), corpus.model())
+    assert model.p["O"].any()
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    split = lambda t: (t or "").encode().lower().split()
+    pairs = [(i % 40, t) for i, t in enumerate(texts)]
+    c = Counter(w for i, t in pairs if not held(i) for w in split(t))
+    ids_of = lambda w: model_pieces.merge(["▁" + w.decode()])[0].tolist()
+    model_pieces = lm_scoring.subwords.load(path)
+    cls = lambda w: model.cls[ids_of(w)[0]]
+    total, kinds = Counter(), Counter()
+    for w, n in c.items():
+        total[cls(w)] += n
+        kinds[cls(w)] += 1
+    want = []
+    for i, t in pairs:
+        w = split(t)
+        lp = attended(model, [ids_of(x)[0] for x in w], [ids_of(x)[-1] for x in w])
+        s = sum(lp[k][cls(x)] + math.log10((c[x] + 0.1) / (total[cls(x)] + 0.1 * (kinds[cls(x)] + 1))) for k, x in enumerate(w)) + lp[len(w)][0]
+        want.append((i, len(w) + 1, s))
+    got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in lm_scoring.apply(corpus, model).collect())
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-3
+
+
+def test_lm_trains_on_every_document_and_attention_earns(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    corpus = lm_scoring.Corpus(docs, "doc_id", "text", lm_scoring.subwords.model_path())
+    n_words, average = [], lm_scoring._averaged
 
     def counted(trained):
         trained = trained.checkpoint()
-        n_ids.append(sum(x["n"] for x in trained.collect()))
+        n_words.append(sum(x["n"] for x in trained.collect()))
         return average(trained)
 
     monkeypatch.setattr(lm_scoring, "_averaged", counted)
-    path = lm_scoring.subwords.model_path()
-    model = lm_scoring.train(made, lm_scoring.count_words(made), len(texts), path)
-    words = lm_scoring.Words(path, model)
-    index = words.index([w for t in texts for w in lm_scoring.words_of(t)])
-    assert n_ids == [int(words.pieces(index)[1].sum()) + len(texts)]  # every id and every end
-    assert model.p["O"].any()
+    mean = lambda m: lm_scoring.apply(corpus, m).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).head()
+    without, base = mean(corpus.model())
+    learned, _ = mean(lm_scoring.train(corpus.rows.where("NOT held").select("ids"), corpus.model()))
+    assert n_words == [corpus.n]  # every word and every end
+    assert learned > base + 0.15 and learned > without + 0.15
+
+
+def lm_model(r):
+    size = 60
+    begins = np.where(np.arange(size) < 45, r.integers(1, 20, size), 0)
+    return lm_scoring.Model(r.integers(0, 128, size), begins, np.minimum(begins, 3), r.random((size, 2 * lm_scoring.PROFILE)), 7)
 
 
 def test_lm_sums_to_one_and_learns():
-    r, size = np.random.default_rng(0), 40
-    uni = r.integers(1, 20, size).astype(float)
-    initial = np.where(np.arange(size) < 15, uni, 0)
-    key = np.unique(r.integers(0, size, 200) * 100 + r.integers(15, size, 200))
-    prev, ids = key // 100, key % 100
-    ended = np.full(size, lm_scoring.ENDED)
-    m = lm_scoring.Model(size, uni, initial, np.append(prev, np.arange(size)), np.append(ids, ended), np.append(r.integers(1, 9, len(prev)), np.full(size, 3)), 7.0)
-    texts = [r.integers(0, size, n) for n in (3, 20, 0, 8)]
-    begin = np.append(0, np.cumsum([len(t) for t in texts]))
-    ctx, state, nxt, first = m.blocks(np.concatenate(texts), np.concatenate(texts), begin)
+    r = np.random.default_rng(0)
+    m = lm_model(r)
+    n = np.array([3, 20, 0, 8])
+    first = r.integers(0, 45, n.sum())
+    ctx, nxt, is_first, at = m.blocks(first, first, n)
+    assert (nxt.ravel()[at + n] == 0).all() and (nxt >= 0).sum() == n.sum() + len(n)
     m.p["O"] = r.standard_normal(m.p["O"].shape).astype(np.float32)
-    total = 0.0
-    for y in [*range(size), m.end]:
-        other = nxt.copy()
-        other[1, 4] = y
-        total += math.exp(m.log_class(ctx, state, other, first)[1, 4] + (0 if y == m.end else m.within(ctx[1:2, 4], state[1:2, 4], np.array([y]))[0]))
+    total = sum(10 ** m.log_class(ctx, np.where(np.arange(nxt.size).reshape(nxt.shape) == 12, y, nxt), is_first)[1, 4] for y in range(m.k))
     assert abs(total - 1) < 1e-4
-    before = m.log_class(ctx, state, nxt, first).sum()
+    before = m.log_class(ctx, nxt, is_first).sum()
     trainer = lm_scoring.Trainer(m)
     for _ in range(30):
-        trainer.feed(ctx, state, nxt, first)
-    assert m.log_class(ctx, state, nxt, first).sum() > before
+        trainer.feed(ctx, nxt, is_first)
+    assert m.log_class(ctx, nxt, is_first).sum() > before
+
+
+def test_lm_gradient():
+    r = np.random.default_rng(1)
+    m = lm_model(r)
+    n = np.array([5, 30, 9])
+    first = r.integers(0, 45, n.sum())
+    ctx, nxt, is_first, _ = m.blocks(first, first, n)
+    m.p = {k: r.standard_normal(v.shape) * 0.3 for k, v in m.p.items()}
+    live = nxt[1:] >= 0
+    loss = lambda: -(m.log_class(ctx, nxt, is_first)[1:][live]).mean() * math.log(10)
+    for k, g in m.gradient(ctx, nxt, is_first).items():
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, e = m.p[k][i], 1e-5
+        m.p[k][i] = old + e
+        hi = loss()
+        m.p[k][i] = old - e
+        lo = loss()
+        m.p[k][i] = old
+        assert abs((hi - lo) / (2 * e) - g[i]) < 1e-4 * max(1, abs(g[i])), k
