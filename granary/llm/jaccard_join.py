@@ -11,8 +11,11 @@ everywhere. So there are two levels of pivots.
    close; what may be close is connected, and the connected groups go on.
 2. In a group pivots are documents. Distances to them are exact; a document within the radius of a pivot is linked with it, the
    pairs of what is linked to one pivot need no further look, and triangle windows decide what must still meet: regions by
-   nearest pivot, boundary documents replicated, joined recursively, down to small regions that are compared in full. Groups of
-   more than `REGION` documents are first split so by Spark, level by level, smaller ones within a task.
+   nearest pivot, boundary documents replicated, joined recursively. Only where the windows gain nothing (the squares of the regions'
+   sizes do not halve) is a region compared in full, without what is connected already or what the distances exclude. Groups, and
+   regions of one shingle, of more than `REGION` members are split so by Spark first, level by level, in even pieces of which each
+   meets the pivots; as the squares halve, there are at most 2 log2(members / REGION) levels, and a group whose squares do not halve
+   is compared in pairs of blocks of half of `REGION`. Smaller groups are split within a task.
 
 Documents with equal sets are one member throughout, so that copies cost nothing. Results are the connected components.
 
@@ -23,7 +26,7 @@ gives no rows; of the input only id and text are read. Shingles are 64-bit hashe
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import shared
+from granary.llm.common import free_name, shared
 
-WORDS, REGION, LEAF, PIVOTS = 5, 4000, 48, 8
+WORDS, REGION, PIVOTS, CANDIDATES = 5, 4000, 8, 32
+#: Buckets over which rows of one key are spread, and the share of all edges from which on a node counts as a hub.
+SPREAD, HUB, HUB_LEAST = 32, 0.001, 200
 #: A shingle is frequent from this share of all rows on: there are at most mean set size / share of them, so they can be sent along.
 FREQUENT, BATCH_SHARE, BATCH_LEAST = 0.005, 0.02, 4
 LEAST_BUCKETS = 64
@@ -187,7 +192,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _regions(members: DataFrame, parts: int) -> DataFrame:
-    """(region, ka) of regions with two members or more; those with the same members have one name."""
+    """(region, ka, size) of regions with two members or more; those with the same members have one name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -207,9 +212,9 @@ def _regions(members: DataFrame, parts: int) -> DataFrame:
                 keep[np.flatnonzero(keep)[~np.array(fresh)]] = False
             pick = np.repeat(keep, size)
             if pick.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[pick]), pa.array(ka[pick])], ["region", "ka"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (np.repeat(name, size), ka, np.repeat(size, size))], ["region", "ka", "size"])
 
-    found = members.repartition(parts, "s").sortWithinPartitions("s", "ka").mapInArrow(run, "region long, ka long")
+    found = members.repartition(parts, "s").sortWithinPartitions("s", "ka").mapInArrow(run, "region long, ka long, size long")
     return found.distinct()
 
 
@@ -296,13 +301,14 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
     keeps more than one pointer, and every pass sums up before it shuffles."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     while True:
+        hub = max(HUB_LEAST, int(HUB * edges.count()))
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("d"))
         # Large star: the larger neighbours of a node are joined to the least of its neighbourhood.
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(both, least, hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().checkpoint()
         # Small star: a node and its smaller neighbours are joined to the least of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("d"))
+        small = _with_least(large, low, hub).select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         now = small.checkpoint()
         same = edges.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(edges, ["a", "b"], "left_anti").isEmpty()
         edges = now
@@ -311,6 +317,14 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """edges with m of their node a. Hubs, of which there are few (each has a stated share of all edges), are sent along, so that
+    their edges stay where they are; all others are joined."""
+    hubs = F.broadcast(least.where(F.col("d") > hub).select("a", "m"))
+    rest = edges.join(F.broadcast(least.where(F.col("d") > hub).select("a")), "a", "left_anti")
+    return edges.join(hubs, "a").select("a", "b", "m").union(rest.join(least.where(F.col("d") <= hub).select("a", "m"), "a").select("a", "b", "m"))
+
+
 class _Union:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -336,6 +350,7 @@ class Region:
         self.at = np.cumsum(self.n) - self.n
         self.flat = np.concatenate(sets)
         self.union = _Union(len(sets))
+        self.by_pivot = self.in_full = 0  # regions that pivots decided, and such that were compared in full
 
     def distances(self, pivot: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact Jaccard distances of members to a set, and who is linked with it."""
@@ -354,9 +369,6 @@ class Region:
             region = stack.pop()
             if len(region) < 2:
                 continue
-            if len(region) <= LEAF:
-                self._leaf(region, np.zeros((0, len(region))))
-                continue
             # Pivots: the first member, then each time the one furthest from those before.
             pivots, d, linked = [int(region[0])], [], []
             while True:
@@ -382,8 +394,10 @@ class Region:
                     subs.append(outer | (inside & link_all[k] & (d_all[k] >= reach)))
             # Where the windows replicate so much that nothing is gained, the region is compared in full.
             if sum(int(s.sum()) ** 2 for s in subs) < 0.5 * len(region) ** 2:
+                self.by_pivot += 1
                 stack.extend(region[s] for s in subs)
             else:
+                self.in_full += 1
                 any_ = np.any(subs, axis=0)
                 self._leaf(region[any_], d_all[:, any_])
 
@@ -440,32 +454,82 @@ def _join_groups(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "grp").sortWithinPartitions("grp", "ka").mapInArrow(run, "a long, b long")
 
 
-def _split_once(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """One level of pivots over large groups (grp, ka, bag): links with pivots as (a, b), and the regions to join further."""
-    chosen = rows.groupBy("grp").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("ka", F.lit(level)), F.lit(64)) == 0, F.col("ka")))), 1, PIVOTS).alias("some"), F.min("ka").alias("least"))
-    pivot_of = chosen.select("grp", F.posexplode(F.when(F.size("some") > 0, F.col("some")).otherwise(F.array("least"))).alias("k", "ka"))
-    pivots = rows.join(pivot_of, ["grp", "ka"]).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("k", "ka", "bag"))).alias("pivots"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                x = Region([np.frombuffer(row["bag"], np.uint64)])
-                d = [(p["k"], p["ka"], *x.distances(np.frombuffer(p["bag"], np.uint64), np.arange(1))) for p in row["pivots"]]
-                near = min(float(v[0]) for _, _, v, _ in d)
-                is_pivot = any(p == row["ka"] for _, p, _, _ in d)
-                for k, p, v, link in d:
-                    out.append((row["grp"], row["ka"], k, p, float(v[0]), bool(link[0]), not is_pivot and float(v[0]) <= near + 2 * EPS + 1e-9))
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["grp", "ka", "k", "p", "d", "link", "inside"])
-
-    measured = rows.join(pivots, "grp").mapInArrow(run, "grp long, ka long, k long, p long, d double, link boolean, inside boolean").checkpoint()
+def _spread(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """rows (with ka) joined to a small table with a row for each key; a key's rows are spread over buckets, as one may have many."""
+    bucket = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    return rows.withColumn("_b", F.pmod(F.xxhash64("ka"), F.lit(SPREAD)).cast("int")).join(table.withColumn("_b", bucket), [*key, "_b"]).drop("_b")
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group's candidates (grp, ka, bag) the pivots, with a number k: the first, then each time the one furthest from those before."""
+    for batch in _runs(batches, "grp"):
+        grp = batch.column("grp").to_numpy()
+        start = np.flatnonzero(np.append(True, grp[1:] != grp[:-1])).tolist() + [len(grp)]
+        rows, number = [], []
+        for lo, hi in zip(start[:-1], start[1:], strict=True):
+            region = Region([np.frombuffer(batch.column("bag")[i].as_py(), np.uint64) for i in range(lo, hi)])
+            far, chosen = np.full(hi - lo, 2.0), 0
+            for k in range(min(PIVOTS, hi - lo)):
+                chosen = int(far.argmax())
+                if far[chosen] <= 0:
+                    break
+                rows.append(lo + chosen)
+                number.append(k)
+                far = np.minimum(far, region.distances(region.sets[chosen], np.arange(hi - lo))[0])
+                far[chosen] = -1
+        picked = batch.take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([picked.column("grp"), pa.array(number, pa.int32()), picked.column("ka"), picked.column("bag")], ["grp", "k", "ka", "bag"])
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From pieces of groups, each with all pivots in front (k is null for members): distances to pivots, links, and the windows."""
+    for batch in _runs(batches, "piece"):
+        piece = batch.column("piece").to_numpy()
+        start = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])).tolist() + [len(piece)]
+        for lo, hi in zip(start[:-1], start[1:], strict=True):
+            k = batch.column("k").slice(lo, hi - lo).to_pylist()
+            n = sum(x is not None for x in k)
+            if n == hi - lo:
+                continue
+            ka, grp = batch.column("ka").to_numpy()[lo:hi], batch.column("grp").to_numpy()[lo:hi]
+            sets = [np.frombuffer(batch.column("bag")[i].as_py(), np.uint64) for i in range(lo, hi)]
+            region = Region(sets[n:])
+            members = np.arange(hi - lo - n)
+            found = [region.distances(p, members) for p in sets[:n]]
+            d, link = np.array([x for x, _ in found]), np.array([x for _, x in found])
+            inside = (d <= d.min(axis=0) + 2 * EPS + 1e-9) & ~np.isin(ka[n:], ka[:n])
+            at, who = np.nonzero(link | inside)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grp[n:][who]), pa.array(ka[n:][who]), pa.array(np.array(k[:n], np.int32)[at]), pa.array(ka[:n][at]), pa.array(d[at, who]), pa.array(link[at, who]), pa.array(inside[at, who])],
+                ["grp", "ka", "k", "p", "d", "link", "inside"],
+            )
+
+
+def _split_once(rows: DataFrame, level: int, region: int, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One level of pivots over large groups (grp, ka, bag): links with pivots as (a, b), the regions to join further, and blocks of
+    what pivots cannot part, to be joined within a task."""
+    sized = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
+    hashed = F.xxhash64("ka", F.lit(level))
+    some = rows.groupBy("grp", F.pmod(hashed, F.lit(CANDIDATES)).alias("b")).agg(F.min(F.struct(hashed.alias("h"), "ka")).alias("x")).select("grp", "x.ka")
+    pivots = rows.join(some, ["grp", "ka"]).repartition(parts, "grp").sortWithinPartitions("grp", "ka").mapInArrow(_pick, "grp long, k int, ka long, bag binary").checkpoint()
+    pieces = F.ceil(F.col("m") / region).cast("long")
+    members = _spread(rows, sized, ["grp"]).select("grp", F.pmod(F.xxhash64("ka", F.lit("piece")), pieces).alias("i"), F.lit(None).cast("int").alias("k"), "ka", "bag")
+    with_all = pivots.join(sized, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("i"), "k", "ka", "bag")
+    dealt = members.union(with_all).select(F.xxhash64("grp", "i").alias("piece"), "grp", "k", "ka", "bag")
+    dealt = dealt.repartition(parts, "piece").sortWithinPartitions("piece", F.col("k").isNull(), "k", "ka")
+    measured = dealt.mapInArrow(_measure, "grp long, ka long, k int, p long, d double, link boolean, inside boolean").checkpoint()
     links = measured.where("link AND ka <> p").select(F.col("p").alias("a"), F.col("ka").alias("b"))
     outer = measured.where("inside AND NOT link").groupBy("grp", "k").agg(F.min("d").alias("least"))
-    kept = measured.where("inside").join(outer, ["grp", "k"]).where(F.expr(f"NOT link OR d >= least - {EPS} - 1e-9"))
-    regions = kept.select("grp", "ka", F.xxhash64("grp", "k", F.lit(level)).alias("next")).join(rows, ["grp", "ka"]).select(F.col("next").alias("grp"), "ka", "bag")
-    return links, regions
+    kept = _spread(measured.where("inside"), outer, ["grp", "k"]).where(F.expr(f"NOT link OR d >= least - {EPS} - 1e-9")).select("grp", "k", "ka").checkpoint()
+    squares = kept.groupBy("grp", "k").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("grp").agg(F.sum(F.col("c") * F.col("c")).alias("after"))
+    stuck = squares.join(sized, "grp").select("grp", (F.col("after") >= 0.5 * F.col("m") * F.col("m")).alias("stuck"), F.greatest(F.ceil(2 * F.col("m") / region), F.lit(1)).cast("long").alias("blocks"))
+    told = _spread(kept, stuck, ["grp"])
+    further = told.where("NOT stuck").select("grp", "ka", F.xxhash64("grp", "k", F.lit(level)).alias("next"))
+    i, j = F.pmod(F.xxhash64("ka", F.lit("block")), F.col("blocks")), F.col("j")
+    block = told.where("stuck").select("grp", "ka", "blocks").distinct().select("grp", "ka", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    block = block.select("grp", "ka", F.xxhash64("grp", F.least("i", j), F.greatest("i", j), F.lit(level), F.lit("block")).alias("next"))
+    with_bag = lambda x: x.join(rows, ["grp", "ka"]).select(F.col("next").alias("grp"), "ka", "bag")
+    return links, with_bag(further), with_bag(block)
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region: int = REGION) -> DataFrame:
@@ -487,8 +551,10 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int) -> Data
     # One row for each different set; its key's first half names it in what follows, the second half tells twins apart.
     classes = rows.where("n > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     regions = _regions(_memberships(texts.select("text"), hot), parts)
-    edges = _candidate_edges(regions, classes.select("ka", "n", "sketch"), parts)
-    groups = components(edges)
+    regions = regions.checkpoint()
+    edges = _candidate_edges(regions.where(F.col("size") <= region).select("region", "ka"), classes.select("ka", "n", "sketch"), parts)
+    # A region of too many members for a task is a group as it stands.
+    groups = components(edges).union(regions.where(F.col("size") > region).select(F.col("ka").alias("node"), F.col("region").alias("root")))
     # The sets of what has a candidate, each once.
     wanted = classes.join(groups, F.col("ka") == F.col("node")).select("one.doc_id", "one.th", "ka", F.col("root").alias("grp"))
     joined = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("grp", "ka", "text")
@@ -504,18 +570,17 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int) -> Data
     links: list[DataFrame] = []
     if not large.isEmpty():
         sets = sets.checkpoint()
-        todo, level = sets.join(large, "grp"), 0
-        small = [sets.join(large, "grp", "left_anti")]
+        todo, level, small = _spread(sets, large, ["grp"]), 0, [sets.join(large, "grp", "left_anti")]
         while True:
-            found, next_ = _split_once(todo, level)
+            found, further, blocks = _split_once(todo, level, region, parts)
             links.append(found)
-            next_ = next_.checkpoint()
-            count = next_.groupBy("grp").count()
-            over = count.where(F.col("count") > region).select("grp")
-            small.append(next_.join(over, "grp", "left_anti"))
+            small.append(blocks)
+            further = further.checkpoint()
+            over = further.groupBy("grp").count().where(F.col("count") > region).select("grp").checkpoint()
+            small.append(further.join(over, "grp", "left_anti"))
             if over.isEmpty():
                 break
-            todo, level = next_.join(over, "grp"), level + 1
+            todo, level = _spread(further, over, ["grp"]), level + 1
         sets = small[0]
         for s in small[1:]:
             sets = sets.unionByName(s)
@@ -534,10 +599,11 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int) -> Data
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of linked documents: that of the least id (of equal ids, the least hash of the text).
     Texts without words are linked with nothing and stay; rows equal in id and text stay once."""
-    key = lambda d: F.md5(F.concat_ws(":", F.coalesce(d.cast("string"), F.lit("-")), F.col("th").cast("string")))
+    name = free_name(docs.columns, "_key")
+    key = lambda d, th: F.md5(F.concat_ws(":", F.coalesce(d.cast("string"), F.lit("-")), th.cast("string"))).alias(name)
     found = _components_of(docs, "doc_id", "text", REGION)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
     first = found.where("n > 0").groupBy("root", "own").agg(F.min(order).alias("x")).select("x.doc_id", "x.th")
-    stay = first.union(found.where("n = 0").select("doc_id", "th")).select(key(F.col("doc_id")).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"))))
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    stay = first.union(found.where("n = 0").select("doc_id", "th")).select(key(F.col("doc_id"), F.col("th"))).distinct()
+    keyed = docs.select("*", key(F.col("doc_id"), F.xxhash64("text")))
+    return keyed.join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
