@@ -1,12 +1,16 @@
 """Sharding by best-fit-decreasing bin packing: equal sizes, with equal texts together.
 
 Law `bytes`: the shards' sizes are nearly equal. A group is all rows of one text, and stays together unless it is larger than a
-shard's fair share, which no shard could hold evenly; then the hash of its ids cuts it into quarters of a share. The packing
-itself is sequential, so what it packs is bounded: a group of more than `total / (shards * GRAIN)` bytes is an item of its own
-(fewer than shards * GRAIN of them), the others are dealt by the hash of their text into shards * GRAIN bundles, each an item.
-The items, sorted by size, each enter the bin with the tightest remaining capacity that holds them, found in a balanced tree (a
-treap) of remaining capacities; the capacity is the least of a few tried at which all items fit, so that the fixed number of
-shards is filled to a minimal height. Slots are numbered in cells: a bundle, or by hash of ids a `SPLIT`-th of a share of a group.
+shard's fair share, which no shard could hold evenly; then the hash of its rows cuts it into quarters of a share. Groups, sorted by
+size, each enter the bin with the tightest remaining capacity that holds them, found in a balanced tree (a treap) of remaining
+capacities; the capacity is the least of a few tried at which all of them fit, so that the fixed number of shards is filled to a
+minimal height.
+
+Groups of one size are packed in one step: as many as fit enter the tightest bin, which is what best fit does with them one by one.
+So the driver holds sizes and their counts, not groups. Sizes are exact up to 2 ** BITS bytes and rounded up to BITS leading bits
+beyond, so that there are at most 2 ** (BITS - 1) of them for each doubling, however many groups there are. Groups of a size are
+numbered by a window, sizes that many groups have in parts by hash, and their number tells the bin. Slots are numbered in cells
+of a shard, by hash of rows.
 
 Cases: a null text has no bytes and counts as equal to an empty one; a size is never zero, as 16 is added; ties go by key, rows
 that repeat get slots of their own (order by id, and then any); more shards than groups leaves shards empty; an empty table
@@ -17,12 +21,15 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import shared
 
-GRAIN, SPLIT, EXTRA = 200, 32, 16
+BITS, EXTRA = 16, 16
+#: Parts of a size that many groups have, cells of a shard, and the share of all rows or groups from which on there are many.
+PARTS, CELLS, MANY = 64, 64, 0.001
 
 
 class Tree:
@@ -74,40 +81,46 @@ def _pop_first(node: list) -> tuple[tuple[int, int], list | None]:
     return first, node
 
 
-def best_fit_decreasing(items: list[tuple[int, str]], capacity: int, most: int | None = None) -> list[list[str]] | None:
-    """Bins of keys for items (size, key) by best fit, largest first; None where more than `most` bins are needed. An item over
-    the capacity gets a bin of its own."""
-    tree, bins = Tree(), []
-    for size, key in sorted(items, key=lambda x: (-x[0], x[1])):
-        found = tree.take(size)
-        if found is None:
-            if most is not None and len(bins) == most:
-                return None
-            bins.append([])
-            found = (max(capacity, size), len(bins) - 1)
-        bins[found[1]].append(key)
-        tree.add((found[0] - size, found[1]))
-    return bins
-
-
-def fill_evenly(items: list[tuple[int, str]], shards: int) -> list[list[str]]:
-    """Bins for a fixed number of shards: the smallest capacity at which best fit needs no more of them, by halving."""
-    total, largest = sum(s for s, _ in items), max((s for s, _ in items), default=0)
+Runs = list[tuple[int, int]]  # (bin, how many)
+
+
+def best_fit_decreasing(sizes: dict[int, int], capacity: int, most: int | None = None) -> dict[int, Runs] | None:
+    """For each size, of which so many items exist, into which bins they go: best fit, largest first; None where more than `most` bins
+    are needed. An item over the capacity gets a bin of its own."""
+    tree, n_bins, placed = Tree(), 0, {}
+    for size in sorted(sizes, reverse=True):
+        left, runs = sizes[size], []
+        while left:
+            found = tree.take(size)
+            if found is None:
+                if most is not None and n_bins == most:
+                    return None
+                found = (max(capacity, size), n_bins)
+                n_bins += 1
+            n = min(left, found[0] // size)
+            runs.append((found[1], n))
+            left -= n
+            tree.add((found[0] - n * size, found[1]))
+        placed[size] = runs
+    return placed
+
+
+def fill_evenly(sizes: dict[int, int], shards: int) -> dict[int, Runs]:
+    """Bins for a fixed number of shards: the smallest capacity at which best fit needs no more of them, by halving, to one part in 2 ** BITS."""
+    total, largest = sum(s * n for s, n in sizes.items()), max(sizes, default=0)
     low = max(-(-total // shards), largest)
-    high, best = low, best_fit_decreasing(items, low, shards)
-    step = max(1, low // 4096)
+    close = max(1, low >> BITS)
+    high, step, best = low, max(1, low // 4096), best_fit_decreasing(sizes, low, shards)
     while best is None:
         low, high, step = high, high + step, step * 2
-        best = best_fit_decreasing(items, high, shards)
-    for _ in range(10):
+        best = best_fit_decreasing(sizes, high, shards)
+    while high - low > close:
         middle = (low + high) // 2
-        if middle <= low or (found := best_fit_decreasing(items, middle, shards)) is None:
+        if (found := best_fit_decreasing(sizes, middle, shards)) is None:
             low = middle
         else:
             best, high = found, middle
-        if high - low <= 1:
-            break
-    return best + [[] for _ in range(shards - len(best))]
+    return best
 
 
 def text_size(text: Column) -> Column:
@@ -115,50 +128,74 @@ def text_size(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + EXTRA
 
 
+def size_class(size: Column) -> Column:
+    """A size with its first BITS bits, rounded up."""
+    left, right = (lambda x, by, name=name: F.call_function(name, x, by) for name in ("shiftleft", "shiftright"))
+    one = F.lit(1).cast("long")
+    return left(right(size + left(one, _shift(size)) - one, _shift(size)), _shift(size))
+
+
+def _shift(size: Column) -> Column:
+    return F.greatest(F.length(F.bin(size)) - BITS, F.lit(0))
+
+
 def assign(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (in the shard, without gaps) and group (a hash of the text)."""
     spark = shared(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_size(F.col(text)).alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("group")).checkpoint()
-    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).head()[0] or 0
-    if not total:
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_size(F.col(text)).alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("group"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    total, n_rows = rows.agg(F.sum("size"), F.count(F.lit(1))).head()
+    if not n_rows:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), "group")
     fair = max(1, total // shards)
-    own, cut = max(1, fair // GRAIN), max(1, fair // SPLIT)
-    large = groups.where(F.col("bytes") > own).withColumn("parts", F.ceil(F.col("bytes") / cut).cast("int"))
-    # Fewer than shards * GRAIN groups are large: each has more than that share of all bytes.
-    keyed = rows.join(F.broadcast(large), "group", "left")
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64("group"), F.lit(shards * GRAIN)))
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("parts"))).otherwise(0)
-    keyed = keyed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        "group",
-        F.when(F.col("parts").isNull(), bundle).otherwise(F.concat_ws("/", "group", part)).alias("cell"),
-        F.when(F.col("parts").isNull(), bundle).when(F.col("bytes") <= fair, F.col("group")).otherwise(F.concat_ws("/", "group", F.floor(part / (SPLIT // 4)))).alias("item"),
-    )
-    # At most 2 * shards * GRAIN cells, and those of large groups: shards * SPLIT and one for each.
-    cells = keyed.groupBy("cell", "item").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
-    sizes: dict[str, int] = {}
-    of_item: dict[str, list] = {}
-    for r in cells:
-        sizes[r["item"]] = sizes.get(r["item"], 0) + r["bytes"]
-        of_item.setdefault(r["item"], []).append(r)
-    placed = []
-    for shard, keys in enumerate(fill_evenly([(b, k) for k, b in sizes.items()], shards)):
-        at = 0
-        for r in sorted((r for k in keys for r in of_item[k]), key=lambda r: r["cell"]):
-            placed.append((r["cell"], shard, at))
-            at += r["n"]
-    table = spark.createDataFrame(placed, "cell string, shard int, base long")
-    in_cell = Window.partitionBy("cell").orderBy("doc_id", "text_crc32")
-    numbered = keyed.withColumn("n", F.row_number().over(in_cell).cast("long"))
-    done = numbered.join(F.broadcast(table), "cell")
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).checkpoint()
+    # Fewer than `shards` groups are over the fair share.
+    over = groups.where(F.col("bytes") > fair).select("group", F.ceil(4 * F.col("bytes") / fair).cast("int").alias("parts"))
+    row_hash = F.xxhash64("doc_id", "row")
+    keyed = rows.join(F.broadcast(over), "group", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(row_hash, F.col("parts"))).otherwise(0).cast("int")).drop("parts")
+    cut = keyed.join(F.broadcast(over.select("group")), "group", "left_semi").groupBy("group", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    units = groups.where(F.col("bytes") <= fair).select("group", F.lit(0).alias("part"), "bytes", "n").unionByName(cut).withColumn("class", size_class(F.col("bytes"))).checkpoint()
+    counts = {r["class"]: r["count"] for r in units.groupBy("class").count().collect()}  # a row for each size: bounded by BITS
+    often = sorted(c for c, n in counts.items() if n > max(100, MANY * sum(counts.values())))  # fewer than 1 / MANY sizes
+    many = units.select("*", F.when(F.col("class").isin(often), F.pmod(F.xxhash64("group", "part"), F.lit(PARTS))).otherwise(0).cast("int").alias("sub")) if often else units.withColumn("sub", F.lit(0))
+    in_sub: dict[int, list[tuple[int, int]]] = {c: [] for c in often}
+    if often:
+        for r in many.where(F.col("class").isin(often)).groupBy("class", "sub").count().orderBy("class", "sub").collect():  # PARTS rows for each of them
+            in_sub[r["class"]].append((r["sub"], r["count"]))
+    runs = [run for size, placed in fill_evenly(counts, shards).items() for run in _dealt(size, placed, in_sub.get(size, [(0, counts[size])]))]
+    table = spark.createDataFrame(pa.table(dict(zip(("class", "sub", "least", "until", "shard"), map(list, zip(*runs, strict=True)), strict=True)))).withColumn("sub", F.col("sub").cast("int")).withColumn("shard", F.col("shard").cast("int"))
+    number = F.row_number().over(Window.partitionBy("class", "sub").orderBy("group", "part")) - 1
+    placed = many.withColumn("k", number).join(table, ["class", "sub"]).where("k >= least AND k < until").select("group", "part", "n", "shard").checkpoint()
+    # Units of many rows, fewer than 1 / MANY, are sent along; the others are joined.
+    big = placed.where(F.col("n") > MANY * n_rows).select("group", "part", "shard")
+    rest = keyed.join(F.broadcast(big.select("group", "part")), ["group", "part"], "left_anti").join(placed.where(F.col("n") <= MANY * n_rows).select("group", "part", "shard"), ["group", "part"])
+    where = keyed.join(F.broadcast(big), ["group", "part"]).unionByName(rest).withColumn("cell", F.pmod(row_hash, F.lit(CELLS)).cast("int")).checkpoint()
+    bases, at = [], {}
+    for r in where.groupBy("shard", "cell").count().orderBy("shard", "cell").collect():  # shards * CELLS rows
+        bases.append((r["shard"], r["cell"], at.get(r["shard"], 0)))
+        at[r["shard"]] = at.get(r["shard"], 0) + r["count"]
+    base = spark.createDataFrame(bases, "shard int, cell int, base long")
+    n = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "row")).cast("long")
+    done = where.withColumn("n", n).join(F.broadcast(base), ["shard", "cell"])
     return done.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("n") - 1).alias("slot"), "group")
 
 
+def _dealt(size: int, placed: Runs, subs: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(size, sub, least, until, bin): which numbers of each part of a size go into which bin."""
+    out, runs = [], [list(r) for r in placed]
+    for sub, n in subs:
+        at = 0
+        while at < n:
+            taken = min(n - at, runs[0][1])
+            out.append((size, sub, at, at + taken, runs[0][0]))
+            at += taken
+            runs[0][1] -= taken
+            if not runs[0][1]:
+                runs.pop(0)
+    return out
+
+
 def digest(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is `bytes`)."""
     return assign(docs, shards).select(
