@@ -14,12 +14,13 @@ other columns may have any name. Long texts and long candidates cost time in pro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import let
+from granary.llm.common import free_name, let
 
 #: Base kinds in the order in which they are listed: pattern of all matches, and the least that a match must fulfil.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,25 +37,28 @@ CLASSES: tuple[tuple[str, str, int, float], ...] = (
 FORM = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
 WORDS = "abcdefghij|0123456789|example|placeholder|sample|dummy|changeme"
 PATH = r"/[a-z_-]+(?=/|$)|^[a-z_-]+(?=/)"
+#: Places in a block of a running sum, and windows in a stretch of a candidate.
+RUN, STRETCH = 256, 512
 SPAN = "array<struct<kind:string,start:int,until:int>>"
 
 
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """The sums (or what else joins two) of an array of ints up to and with each place. In blocks: appending copies an array, so
+    that no long one is appended to."""
+    ints = F.array().cast("array<int>")
+    more = lambda s, v: F.when(F.size(s) > 0, join(F.get(s, F.greatest(F.size(s) - 1, F.lit(0))), v)).otherwise(v)
+    upto = lambda x: F.aggregate(x, ints, lambda s, v: F.concat(s, F.array(more(s, v))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda k: upto(F.slice(values, k * RUN + 1, F.lit(RUN))))
+    both = let(blocks, lambda b: F.struct(b.alias("blocks"), upto(F.transform(b, lambda x: F.get(x, F.size(x) - 1))).alias("totals")))
+    joined = lambda x: F.flatten(F.transform(x["blocks"], lambda b, k: F.when(k == 0, b).otherwise(F.transform(b, lambda v: join(F.get(x["totals"], F.greatest(k - 1, F.lit(0))), v)))))
+    return F.when(F.size(values) > 0, let(both, joined)).otherwise(ints)
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches as an array of (value, start): what a split leaves between them tells where each begins."""
-    return let(
-        F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gaps")),
-        lambda c: F.aggregate(
-            c["m"],
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int>>").alias("out")),
-            lambda s, m: let(
-                s["at"] + F.length(F.get(c["gaps"], F.size(s["out"]))),
-                lambda start: F.struct(
-                    (start + F.length(m)).alias("at"),
-                    F.concat(s["out"], F.array(F.struct(m.alias("value"), start.alias("start")))).alias("out"),
-                ),
-            ),
-        )["out"],
-    )
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gaps"))
+    ends = lambda c: running(F.transform(c["m"], lambda m, i: F.length(F.get(c["gaps"], i)) + F.length(m)))
+    return let(found, lambda c: let(ends(c), lambda e: F.transform(c["m"], lambda m, i: F.struct(m.alias("value"), (F.get(e, i) - F.length(m)).alias("start")))))
 
 
 def _kind(found: Column, kind: str) -> Column:
@@ -75,44 +79,49 @@ def base_spans(text: Column) -> Column:
 
 
 def entropy_windows(value: Column, window: int, least: float) -> Column:
-    """Where windows of a text reach an entropy: array of (start, until), overlapping windows merged.
-
-    The state holds counts by character code, and the sum of n log2 n over them, of which only the terms of the entering and
-    the leaving character change. A window of w characters has an entropy of log2 w - sum / w bits."""
-    term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    codes = F.transform(F.split(value, ""), lambda c: F.least(F.ascii(c), F.lit(127)))
-    start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,until:int>>").alias("out")
-    )
+    """Where windows of a text of ASCII reach an entropy: array of (start, until), overlapping windows merged.
+
+    A window of w characters has an entropy of log2 w - sum / w bits, with the sum of n log2 n over the counts n of its characters.
+    When it moves, only the counts of the character that enters and of the one that leaves change, so that the sum is kept up by
+    their two steps; how many of each the w - 1 characters in between hold is all that has to be known. Long candidates are cut into
+    stretches of STRETCH windows, so that the cost is in proportion to the length."""
+    term = [n * math.log2(n) if n else 0.0 for n in range(window + 1)]
+    step = F.array(*(F.lit(term[n + 1] - term[n]) for n in range(window)))
+    most = window * (math.log2(window) - least + 1e-9)  # of the sum
+
+    def stretch(first: Column) -> Column:
+        """Spans of the windows that begin at first and up to STRETCH - 1 places on."""
+        return let(F.substring(value, first + 1, F.lit(STRETCH + window - 1)), lambda part: let(moved(part), lambda runs: F.transform(runs, lambda r: F.struct((r["start"] + first).alias("start"), (r["until"] + first).alias("until")))))
+
+    def moved(part: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,until:int>>").alias("out"))
+
+        def next_(s: Column, c: Column) -> Column:
+            full = s["i"] >= window
+            between = F.substring(part, F.greatest(s["i"] - (window - 2), F.lit(1)), F.least(s["i"], F.lit(window - 1)))
+            held = lambda m, x: F.length(m) - F.length(F.replace(m, x, F.lit("")))
+            gone = F.substring(part, s["i"] - (window - 1), F.lit(1))
+            total = let(between, lambda m: s["sum"] + F.get(step, held(m, c)) - F.when(full, F.get(step, held(m, gone))).otherwise(0.0))
+            return let(total, lambda t: F.struct(t.alias("sum"), (s["i"] + 1).alias("i"), F.when((s["i"] >= window - 1) & (t <= most), _longer(s["out"], s["i"] - (window - 1), window)).otherwise(s["out"]).alias("out")))
+
+        return F.aggregate(F.split(part, ""), start, next_)["out"]
+
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.length(value) - window, F.lit(0)), F.lit(STRETCH)), stretch)
+    return let(F.flatten(pieces), _merged)
+
+
+def _longer(spans: Column, start: Column, window: int) -> Column:
+    """Spans with a window more, which the last one takes up if they meet."""
+    last = F.get(spans, F.size(spans) - 1)
+    grown = F.concat(F.slice(spans, F.lit(1), F.greatest(F.size(spans) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (start + window).alias("until"))))
+    return F.when(last.isNotNull() & (last["until"] >= start), grown).otherwise(F.concat(spans, F.array(F.struct(start.alias("start"), (start + window).alias("until")))))
 
-    def step(all_: Column, s: Column, c: Column) -> Column:
-        leaves = F.coalesce(F.get(all_, F.when(s["i"] >= window, s["i"] - window)), F.lit(-1))
-
-        def changed(g: Column) -> Column:
-            same = g["leaves"] == c
-            n_in, n_out = F.get(s["n"], c), F.coalesce(F.get(s["n"], F.when(g["leaves"] >= 0, g["leaves"])), F.lit(0))
-            total = F.when(same, s["sum"]).otherwise(s["sum"] + term(n_in + 1) - term(n_in) + F.when(n_out > 0, term(n_out - 1) - term(n_out)).otherwise(0.0))
-            counts = F.when(same, s["n"]).otherwise(F.transform(s["n"], lambda x, k: x + F.when(k == c, 1).when(k == g["leaves"], -1).otherwise(0)))
-            hit = (s["i"] >= window - 1) & (F.log2(F.lit(float(window))) - total / window >= least - 1e-9)
-            return let(
-                F.struct(total.alias("total"), hit.alias("hit"), (s["i"] - (window - 1)).alias("a"), F.get(s["out"], F.size(s["out"]) - 1).alias("last")),
-                lambda h: F.struct(
-                    counts.alias("n"),
-                    h["total"].alias("sum"),
-                    (s["i"] + 1).alias("i"),
-                    F.when(~h["hit"], s["out"])
-                    .when(
-                        h["last"].isNotNull() & (h["last"]["until"] >= h["a"]),
-                        F.concat(F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.array(F.struct(h["last"]["start"].alias("start"), (s["i"] + 1).alias("until")))),
-                    )
-                    .otherwise(F.concat(s["out"], F.array(F.struct(h["a"].alias("start"), (s["i"] + 1).alias("until")))))
-                    .alias("out"),
-                ),
-            )
-
-        return let(F.struct(leaves.alias("leaves")), changed)
-
-    return let(codes, lambda all_: F.aggregate(all_, start, lambda s, c: step(all_, s, c))["out"])
+
+def _merged(spans: Column) -> Column:
+    """Spans in order, with those that meet made one; no span ends before one that begins before it."""
+    begins = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, F.greatest(i - 1, F.lit(0)))["until"] < s["start"]))
+    ends = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] > s["until"]))
+    return let(ends, lambda e: F.transform(begins, lambda s, i: F.struct(s["start"].alias("start"), F.get(e, i)["until"].alias("until"))))
 
 
 def _known(value: Column, window: int) -> Column:
@@ -163,27 +172,42 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of `scan` replaced in the text by [kind]; all columns stay. Overlapping spans become one."""
+def _shown(spans: Column) -> Column:
+    """Spans by start, those that overlap made one, of the first one's kind."""
+    until = running(F.transform(spans, lambda s: s["until"]), F.greatest)
+
+    def first(u: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(u, F.greatest(i - 1, F.lit(0))))
+        each = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), before(i).alias("before")))
+        return F.filter(each, lambda s: s["start"] >= s["before"])
+
+    ended = lambda f, u: F.transform(f, lambda s, i: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), F.coalesce(F.get(f, i + 1)["before"], F.array_max(u)).alias("until")))
+    return let(until, lambda u: let(first(u), lambda f: ended(f, u)))
+
 
-    def cut(t: Column, spans: Column) -> Column:
-        step = F.aggregate(
-            spans,
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-            lambda s, x: F.when(
-                x["start"] >= s["at"],
-                F.struct(
-                    x["until"].alias("at"),
-                    F.concat(s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"),
-                ),
-            ).otherwise(F.struct(F.greatest(s["at"], x["until"]).alias("at"), s["out"].alias("out"))),
-        )
-        return let(step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
+def _cut(text: Column, spans: Column) -> Column:
+    """The text with [kind] for each span. Pieces are taken from blocks, as taking one from a long text walks all of it."""
 
+    def piece(blocks: Column, at: Column, n: Column) -> Column:
+        k = lambda x: F.floor(x / STRETCH).cast("int")
+        return F.when(n > 0, F.substring(F.array_join(F.slice(blocks, k(at) + 1, k(at + n - 1) - k(at) + 1), ""), at - k(at) * STRETCH + 1, n)).otherwise("")
+
+    def pieces(blocks: Column) -> Column:
+        from_ = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, F.greatest(i - 1, F.lit(0)))["until"])
+        head = F.transform(spans, lambda s, i: let(from_(i), lambda at: F.concat(piece(blocks, at, s["start"] - at), F.lit("["), s["kind"], F.lit("]"))))
+        rest = let(F.element_at(spans, -1)["until"], lambda at: piece(blocks, at, F.length(text) - at))
+        return F.array_join(F.concat(head, F.array(rest)), "")
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), pieces)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span of `scan` replaced in the text by [kind]; all columns stay. Overlapping spans become one."""
+    name = free_name(docs.columns, "_spans")
     base = let(F.coalesce(F.col("text"), F.lit("")), lambda t: let(base_spans(t), lambda b: F.concat(b, entropy_spans(t, b))))
-    ordered = F.array_sort(F.transform(F.col("_spans"), lambda s: F.struct(s["start"].alias("start"), s["until"].alias("until"), s["kind"].alias("kind"))))
-    marked = docs.withColumn("_spans", base)
-    return marked.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(cut(F.col("text"), ordered))).drop("_spans")
+    ordered = F.array_sort(F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), s["until"].alias("until"), s["kind"].alias("kind"))))
+    clean = F.when(F.size(name) == 0, F.col("text")).otherwise(let(let(ordered, _shown), lambda s: _cut(F.col("text"), s)))
+    return docs.withColumn(name, base).withColumn("text", clean).drop(name)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -131,6 +131,74 @@ def test_secrets_of_any_length_and_case(spark):
     assert not any(got[len(keys) + i] for i in range(len(plain)))
 
 
+def test_secrets_whole_result(spark, docs):
+    """All spans and the redaction against plain Python: windows by counting, allow list, merging."""
+    r = random.Random(21)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    made = lambda n: "".join(r.choice(base64) for _ in range(n))
+    many = " ".join(f"token={made(20)} é {made(30)}" for _ in range(600))
+    texts = [many, made(5000), "x" * 3000 + made(1200) + "a" * 900 + made(40), f"api_key = '{made(40)}'" * 3, "é😀" * 900 + " " + made(64)]
+    all_ = docs.select("doc_id", "text").union(spark.createDataFrame([(70_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+
+    def high(value, n, least):
+        out = []
+        for i in range(len(value) - n + 1):
+            if -sum(c / n * math.log2(c / n) for c in Counter(value[i : i + n]).values()) >= least - 1e-9:
+                if out and out[-1][1] >= i:
+                    out[-1][1] = i + n
+                else:
+                    out.append([i, i + n])
+        return out
+
+    def known(v, n):
+        near = re.sub(f"(?i)(?:.{{0,{n}}}(?:{secrets.WORDS}))+.{{0,{n}}}", " ", v)
+        return not re.search(f"[^ ]{{{n}}}", near) or 2 * len(re.sub(secrets.PATH, "", v)) < len(v)
+
+    def spans(t):
+        base = [(m.start(), m.end(), "assign") for m in re.finditer(secrets.ASSIGN, t, re.A) if len(m[2]) >= 12]
+        base += [(m.start(), m.end(), k) for k, p in (("access", secrets.ACCESS), ("hex", secrets.HEX)) for m in re.finditer(p, t)]
+        more = []
+        for kind, pattern, n, least in secrets.CLASSES:
+            for m in re.finditer(pattern, t):
+                if not re.search(secrets.FORM, m[0]) and not any(a <= m.start() and b >= m.end() for a, b, _ in base):
+                    more += [(m.start() + a, m.start() + b, kind) for a, b in high(m[0], n, least) if not known(m[0][a:b], n)]
+        return base + more
+
+    order = ["assign", "access", "hex", *(c[0] for c in secrets.CLASSES)]
+    want, clean = [], []
+    for x in all_.collect():
+        t = x["text"] or ""
+        found = spans(t)
+        want.append((x["doc_id"], ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(found, key=lambda s: (s[0], order.index(s[2]))))))
+        at, out = 0, ""
+        for a, b, k in sorted(found):
+            if a >= at:
+                out += t[at:a] + f"[{k}]"
+            at = max(at, b)
+        clean.append((x["doc_id"], out + t[at:] if found else x["text"]))
+    assert sorted_rows(secrets.digest(all_), "doc_id", "spans") == sorted(want, key=repr)
+    assert sorted_rows(secrets.redact(all_), "doc_id", "text") == sorted(clean, key=repr)
+
+
+def test_secrets_cost_follows_length(spark):
+    """Twice the matches, or twice a key's length, takes about twice the time, not four times."""
+    import time
+
+    r = random.Random(3)
+    made = lambda n: "".join(r.choice("abcdefXYZ0123456789") for _ in range(n))
+
+    def took(text):
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        secrets.redact(d).collect()
+        return time.time() - began
+
+    for make in (lambda n: " ".join(f"token={made(20)}" for _ in range(n)), lambda n: made(20 * n)):
+        took(make(500))
+        small, large = took(make(4000)), took(make(16000))
+        assert large < 8 * small + 2, (small, large)
+
+
 def test_sharding(docs, rows):
     got = sharding.assign(docs, 8).toPandas()
     assert len(got) == len(rows)
@@ -142,26 +210,58 @@ def test_sharding(docs, rows):
     assert (whole.k[whole.b <= got["size"].sum() // 8] == 1).all()
 
 
-def test_best_fit():
-    items = [(s, f"{i}") for i, s in enumerate([7, 6, 5, 4, 3, 3, 2])]
-    bins = sharding.best_fit_decreasing(items, 10)
-    assert sorted(sum(dict((k, s) for s, k in items)[x] for x in b) for b in bins) == [10, 10, 10]
-
-    def plain(items, cap):
-        bins = []
-        for s, k in sorted(items, key=lambda x: (-x[0], x[1])):
-            fit = [(left, i) for i, (left, _) in enumerate(bins) if left >= s]
-            if fit:
-                left, i = min(fit)
-                bins[i] = (left - s, [*bins[i][1], k])
-            else:
-                bins.append((max(cap, s) - s, [k]))
-        return [b for _, b in bins]
+def plain_best_fit(sizes, cap):
+    """The bins' contents by best fit, item by item."""
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        fit = [(left, i) for i, (left, _) in enumerate(bins) if left >= s]
+        if fit:
+            left, i = min(fit)
+            bins[i] = (left - s, [*bins[i][1], s])
+        else:
+            bins.append((max(cap, s) - s, [s]))
+    return [b for _, b in bins]
+
 
+def contents(placed):
+    bins = {}
+    for size, runs in placed.items():
+        for k, n in runs:
+            bins.setdefault(k, []).extend([size] * n)
+    return [bins[k] for k in sorted(bins)]
+
+
+def test_best_fit():
+    assert [sum(b) for b in contents(sharding.best_fit_decreasing(Counter([7, 6, 5, 4, 3, 3, 2]), 10))] == [10, 10, 10]
     r = random.Random(1)
-    for _ in range(20):
-        items = [(r.randrange(1, 50), f"{i:03}") for i in range(r.randrange(1, 80))]
-        assert sharding.best_fit_decreasing(items, 60) == plain(items, 60)
+    for _ in range(60):
+        sizes = [r.randrange(1, r.choice([6, 50])) for _ in range(r.randrange(1, 80))]
+        assert contents(sharding.best_fit_decreasing(Counter(sizes), 60)) == plain_best_fit(sizes, 60)
+
+
+@pytest.mark.parametrize("many", [0.001, 0.0])
+def test_sharding_is_best_fit(spark, monkeypatch, many):
+    """Shards hold what best fit, item by item, puts together at some capacity; also where every size counts as frequent."""
+    monkeypatch.setattr(sharding, "MANY", many)
+    r = random.Random(2)
+    texts = [w * r.randrange(1, 9) for w in (f"t{i} " for i in range(700))] + ["hot " * 40] * 200 + [""] * 300 + [None] * 50 + ["big " * 9000] * 3
+    got = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 6).toPandas()
+    units = got.groupby(["group", "shard"])["size"].sum()
+    loads = sorted(units.groupby("shard").sum())
+    fair = got["size"].sum() // 6
+    whole = got.groupby("group")["size"].sum()
+    assert (units.groupby("group").size()[whole[whole <= fair].index] == 1).all()
+    if (whole <= fair).all():
+        cap = max(loads)
+        assert any(sorted(map(sum, plain_best_fit(whole.tolist(), c))) == loads for c in range(cap, cap + 2 + (cap >> 14)))
+    by = got.groupby("shard").agg(n=("slot", "size"), hi=("slot", "max"), u=("slot", "nunique"))
+    assert (by.hi + 1 == by.n).all() and (by.u == by.n).all() and len(got) == len(texts)
+
+
+def test_size_classes(spark):
+    sizes = [1, 17, 65535, 65536, 65537, 131073, (1 << 40) + 1, (1 << 40) + (1 << 25)]
+    got = [r["c"] for r in spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i int, s long").select("i", sharding.size_class(F.col("s")).alias("c")).orderBy("i").collect()]
+    assert got[:4] == sizes[:4] and all(s <= c <= s * (1 + 2**-15) for s, c in zip(sizes, got, strict=True)) and got[4] == 65538
 
 
 def grouped(rows):
@@ -206,6 +306,38 @@ def test_jaccard_join(spark, docs, rows, region):
     assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == sorted(components(rows + more), key=repr)
 
 
+def chain(n, step=2, length=20, seed=3):
+    """Texts that each link with the next only: windows over one long row of words."""
+    r = random.Random(seed)
+    words = [f"c{r.randrange(10**9)}" for _ in range(n * step + length)]
+    return [" ".join(words[i * step : i * step + length]) for i in range(n)]
+
+
+def test_jaccard_chain_and_hot_group(spark, monkeypatch):
+    """A chain of 400 and a group of 300 near copies, split by Spark: within the stated number of levels, and as all pairs have it."""
+    r, levels = random.Random(9), []
+    words = [f"h{r.randrange(10**9)}" for _ in range(80)]
+    copies = [" ".join(w if k not in (i % 80, (i * 7) % 80) else f"e{i}" for k, w in enumerate(words)) for i in range(300)]
+    texts = chain(400) + copies
+    real = jaccard_join._split_once
+    monkeypatch.setattr(jaccard_join, "_split_once", lambda rows, level, *a: (levels.append(level), real(rows, level, *a))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = jaccard_join.join_components(docs, region=50)
+    assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == sorted(components(list(enumerate(texts))), key=repr)
+    assert levels and len(levels) <= 2 * math.log2(700 / 50) + 1
+
+
+def test_pivots_decide_small_groups():
+    """Groups as the test tables hold them: of two to eighteen near copies. Pivots decide, no region is compared in full."""
+    r = random.Random(10)
+    for size in (2, 3, 8, 18):
+        base = [r.getrandbits(64) for _ in range(100)]
+        sets = [np.unique(np.array([x if r.random() > 0.02 else r.getrandbits(64) for x in base], np.uint64)) for _ in range(size)]
+        region = jaccard_join.Region(sets)
+        region.join(np.arange(size))
+        assert region.by_pivot and not region.in_full and len({region.union.find(i) for i in range(size)}) == 1
+
+
 def test_region_recursion():
     r, sets = random.Random(8), []
     for _ in range(30):
