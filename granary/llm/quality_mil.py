@@ -4,11 +4,12 @@ A text is cut into passages of `PASSAGE` words. Each passage is encoded (shares
 its words) and mapped to a vector; gated attention, learned from the documents' labels alone, weighs the passages; the weighted
 sum is scored. So a label on the document teaches which passages tell its quality.
 
-Learning takes at most `FIT_ROWS` labelled rows, those with the least hash of their text (a documented bound, with the same law
-at every size); encoding and scoring read every whole text. Only the text is an input of a score.
+Learning takes at most `FIT_ROWS` labelled ids, those with the least hash of the id, and of the text of each at most `FIT_PASSAGES`
+passages, evenly spread over all of it (a documented bound, with the same law at every size), so that what the driver gathers has a
+bound too; encoding and scoring read every whole text. Only the text is an input of a score.
 
 Cases: null and empty texts are one passage without words and get a score as others; rows that repeat get equal scores; a label
-is null: the row teaches nothing; several labels of one id: the least counts; labels of one class only, or none: every score is
+is null: the row teaches nothing; several labels of one id: the least counts; several texts of one id: that of the least hash teaches; labels of one class only, or none: every score is
 the share of good ones (one half without any); an empty table gives no rows; further columns are ignored. A worker holds one
 batch, encoded some million characters at a time.
 """
@@ -24,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm.common import free_name
+
 PASSAGE, HASHED, HIDDEN, ATTENTION = 64, 256, 32, 16
-FIT_ROWS, EPOCHS, STEPS, AT_A_TIME = 4000, 14, 900, 1_000_000
+FIT_ROWS, FIT_PASSAGES, EPOCHS, STEPS, AT_A_TIME = 4000, 64, 14, 900, 1_000_000
 THRESHOLD = 0.3
 
 # Character classes by byte: each ASCII punctuation mark has its own.
@@ -83,7 +86,7 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         distinct = np.bincount((np.unique(key) >> np.uint64(40)).astype(np.int64), minlength=total)
         x[:, CLASSES + 0], x[:, CLASSES + 1] = near(1), near(2)
         x[:, CLASSES + 2] = distinct / words
-        x[:, CLASSES + 3] = np.bincount(passage, weights=end - start, minlength=total) / words / 10
+        x[:, CLASSES + 3] = np.minimum(np.bincount(passage, weights=end - start, minlength=total) / words / 10, 10)
     n = np.repeat(n_words, n_passages)
     x[:, CLASSES + 4] = np.log1p(n) / 8
     x[:, CLASSES + 5] = n < 10
@@ -181,20 +184,22 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     """A model from labels (doc_id, label) of rows that are not held out; rows: how many at most."""
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"), 5)).groupBy("doc_id").agg(F.min(label).alias("y"))
     picked = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows)
-    # At most `rows` rows, so they are broadcast; ids that repeat among documents: any one row of an id teaches.
-    texts = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    # At most `rows` rows, so they are broadcast; of ids that repeat among documents one text is taken, before the driver sees any.
+    t = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min_by(t, F.struct(F.xxhash64(t), F.length(t))).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             all_ = batch["text"].tolist()
             for part in _pieces(all_):
                 x, begin = encode(all_[part])
-                packed = [x[a:b].astype(np.float16).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                spread = [np.unique(np.linspace(a, b - 1, min(b - a, FIT_PASSAGES)).astype(np.int64)) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                packed = [x[rows].astype(np.float16).tobytes() for rows in spread]
                 yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[part], "y": batch["y"].to_numpy()[part], "x": packed})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = texts.mapInPandas(run, f"doc_id {kind}, y int, x binary").collect()
-    got = sorted({r["doc_id"]: r for r in sorted(got, key=lambda r: (len(r["x"]), bytes(r["x"])))}.values(), key=lambda r: r["doc_id"])
+    got = sorted(got, key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["x"], np.float16).astype(np.float32).reshape(-1, WIDTH) for r in got]
     begin = np.append(0, np.cumsum([len(b) for b in bags])).astype(np.int64)
     return fit(np.concatenate(bags) if bags else np.zeros((0, WIDTH), np.float32), begin, np.array([r["y"] for r in got], np.float32))
@@ -224,5 +229,6 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier does not reject, unchanged."""
-    scored = score(docs, learn(docs.select("doc_id", "text"), labels), "_quality")
-    return scored.where(F.col("_quality") >= threshold).drop("_quality")
+    name = free_name(docs.columns, "_quality")
+    scored = score(docs, learn(docs.select("doc_id", "text"), labels), name)
+    return scored.where(F.col(name) >= threshold).drop(name)
