@@ -10,7 +10,7 @@ into other words in part are found.
 Words are runs of letters, digits and characters from U+0080 on, lower-cased. The test items are the stated query set: they are
 held against all rows in blocks of at most `BLOCK` n-grams, so that what is sent along is bounded however many there are.
 
-Cases: null and empty texts hold nothing; items with fewer than n words are one shorter n-gram; items without words match
+Cases: null and empty texts hold nothing; items without an id are reported with none; items with fewer than n words are one shorter n-gram; items without words match
 nothing; rows that repeat are reported each once per id; ties go to the first passage; empty tables give no rows; of the inputs
 only ids and texts are read, so other columns may have any name. A long text is cut to the passages around hits, of bounded length each
 (a longer chain of hits is cut into overlapping passages).
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import shared
+from granary.llm.common import free_name, shared
 
 N, SCORE, BLOCK = 3, 0.42, 1_000_000
 MATCH, MISMATCH, GAP, PAD = 2, -1, -1, 12
@@ -49,10 +49,10 @@ class _Ids(dict):
 class Items:
     """A block of test items: their words as ids from 1 on, and the n-grams of those that are long enough."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = N) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], n: int = N) -> None:
         self.ids, self.n = _Ids(), n
         self.words: list[np.ndarray] = []
-        self.item_id = np.array([i for i, _ in items], np.int64)
+        self.item_id = [i for i, _ in items]
         grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         self.short: list[int] = []
         for k, (_, text) in enumerate(items):
@@ -186,9 +186,11 @@ def _passages(docs: DataFrame, block: Items, least: float) -> DataFrame:
                         inside = slice(a + int(np.searchsorted(at[a:b], begin)), a + int(np.searchsorted(at[a:b], begin + step)))
                         if inside.start == inside.stop:
                             continue
-                        lo, hi = max(0, int(at[inside.start]) - n - PAD), min(len(ids), int(at[inside.stop - 1]) + n + PAD)
+                        # A path that reaches the score is at most 2.2 times as long as the item, so that one of two windows holds it.
+                        around = n + n // 4 + PAD
+                        lo, hi = max(0, int(at[inside.start]) - around), min(len(ids), int(at[inside.stop - 1]) + around)
                         if block.most(k, ids[lo:hi]) >= least:
-                            out.append((row, int(block.item_id[k]), k, lo, ids[lo:hi].astype(np.int32)))
+                            out.append((row, block.item_id[k], k, lo, ids[lo:hi].astype(np.int32)))
             if out:
                 found = [pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)]
                 ids = batch.column("doc_id").take(found[0])
@@ -243,5 +245,6 @@ def _leaks(docs: DataFrame, block: Items, least: float) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
     """docs without those whose text leaks an item. The key is the text's hash, so that null and repeated ids do no harm."""
     keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
-    gone = leaks(keyed, benchmark, score).select(F.col("doc_id").alias("_text_key")).distinct()
-    return docs.withColumn("_text_key", F.md5(F.coalesce("text", F.lit("")))).join(gone, "_text_key", "left_anti").drop("_text_key")
+    name = free_name(docs.columns, "_text_key")
+    gone = leaks(keyed, benchmark, score).select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, F.md5(F.coalesce("text", F.lit("")))).join(gone, name, "left_anti").drop(name)
