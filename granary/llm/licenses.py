@@ -2,15 +2,16 @@
 
 The rolling k-gram hashes of a text's words are joined to the places where they stand in the templates. Every hit votes for the
 diagonal (place in the text minus place in the template); votes are summed by diagonal, diagonals that lie within `NEAR` words
-of each other (words put in or left out shift them) are merged, and each merged band is verified: the share of the template's
-k-grams that the span holds is its score, and spans under `LEAST` are dropped. Base phrases are looked up exactly beside that.
+of each other (words put in or left out shift them) are merged. What is counted is verified: the words at each place that a hash
+has voted for are compared with the template's, and the share of the template's k-grams that a merged span holds in words is
+its score; spans under `LEAST` are dropped. Base phrases are looked up exactly beside that.
 
 Words are runs of letters a-z, digits and characters from U+0080 on, after A-Z are lower-cased. The templates are a fixed table
 of some hundred k-grams, so it is broadcast, whatever the size of the corpus.
 
 Cases: null and empty texts have no words, no places and a score of 0; repeated rows keep a result each, as the votes are
 grouped by a row key beside the id; ties go by template name; an empty table gives none; of the input only id and text are
-read. Long texts: votes are rows, so that no group meets in one task; of the words only spans with votes are looked at again.
+read. Long texts: votes are rows, so that no group meets in one task; only words that a vote points at are looked at again.
 """
 
 from __future__ import annotations
@@ -58,10 +59,11 @@ def grams(words: Column, k: int = K) -> Column:
 
 
 def template_grams(spark, k: int = K) -> DataFrame:
-    """template, label, n_grams, gram, place: one row for each place of a template."""
+    """template, label, n_grams, said (words of a gram), gram, place: one row for each place of a template."""
     rows = spark.createDataFrame(list(TEMPLATES), "template string, label string, text string").coalesce(1)
-    hashed = rows.select("template", "label", F.split("text", " ").alias("w")).select("template", "label", grams(F.col("w"), k).alias("g"))
-    return hashed.select("template", "label", F.size("g").alias("n_grams"), F.posexplode("g").alias("place", "gram"))
+    hashed = rows.select("template", "label", F.split("text", " ").alias("w")).select("template", "label", "w", grams(F.col("w"), k).alias("g"))
+    placed = hashed.select("template", "label", "w", F.size("g").alias("n_grams"), F.posexplode("g").alias("place", "gram"))
+    return placed.select("template", "label", "n_grams", F.slice("w", F.col("place") + 1, F.lit(k)).alias("said"), "place", "gram")
 
 
 def phrase_places(words: Column) -> Column:
@@ -94,10 +96,10 @@ def diagonal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Verified spans: doc_id, template, label, first_word, last_word (words from 0, last one included), score (share of the
     template's k-grams that the span holds). Documents of equal id and different text are kept apart by their text's hash."""
     spark = docs.sparkSession
-    gram_rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.posexplode(let(words_of(F.col(text)), lambda w: grams(w))).alias("at", "gram")
-    )
-    votes = gram_rows.join(F.broadcast(template_grams(spark)), "gram").select("doc_id", "row", "template", "label", "n_grams", "at", "place", (F.col("at") - F.col("place")).alias("diagonal"))
+    both = let(words_of(F.col(text)), lambda w: F.struct(w.alias("words"), grams(w).alias("grams")))
+    gram_rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), both.alias("x")).select("doc_id", "row", "x.words", F.posexplode("x.grams").alias("at", "gram"))
+    met = gram_rows.join(F.broadcast(template_grams(spark)), "gram").where(F.slice("words", F.col("at") + 1, F.lit(K)) == F.col("said"))
+    votes = met.select("doc_id", "row", "template", "label", "n_grams", "at", "place", (F.col("at") - F.col("place")).alias("diagonal"))
     key = ["doc_id", "row", "template", "label", "n_grams"]
     by_diagonal = votes.groupBy(*key, "diagonal").agg(F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))
     ordered = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
