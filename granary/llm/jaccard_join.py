@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import free_name, shared
 
-WORDS, REGION, PIVOTS, CANDIDATES = 5, 4000, 8, 32
+WORDS, REGION, PIVOTS, CANDIDATES = 5, 500, 8, 32
 #: Buckets over which rows of one key are spread, and the share of all edges from which on a node counts as a hub.
 SPREAD, HUB, HUB_LEAST = 32, 0.001, 200
 #: A shingle is frequent from this share of all rows on: there are at most mean set size / share of them, so they can be sent along.

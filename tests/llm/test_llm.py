@@ -290,7 +290,7 @@ def components(rows):
     return [(i, n, min((x for x in ids[g] if x is not None), default=None)) for (i, _), (n, g) in zip(rows, found, strict=True)]
 
 
-@pytest.mark.parametrize("region", [4000, 6])
+@pytest.mark.parametrize("region", [500, 6])
 def test_jaccard_join(spark, docs, rows, region):
     """Real documents, odd ones, and families of near copies of many distances; also with large groups split by Spark."""
     r, more = random.Random(5), []
@@ -423,6 +423,32 @@ def test_leaks_of_parts_that_are_frequent(spark):
     assert sorted((x["doc_id"], round(x["score"], 6), x["n_equal"], x["first_word"], x["last_word"]) for x in got) == [*((i, 0.45, 18, 1, 18) for i in range(1000)), (1000, 1.0, 40, 0, 39)]
 
 
+def test_leaks_whole_result(spark):
+    """Every document and item, aligned over the whole text wherever they share an n-gram."""
+    r = random.Random(12)
+    items = [(i if i else None, " ".join(f"w{r.randrange(60)}" for _ in range(n))) for i, n in enumerate([2, 3, 9, 14, 30, 60, 12, 25])]
+    texts = []
+    for k in range(120):
+        w = items[k % len(items)][1].split()
+        cut = w[: r.randrange(1, len(w) + 1)] if k % 3 else [x if r.random() > 0.2 else f"z{r.random()}" for x in w]
+        texts.append(" ".join([f"w{r.randrange(90)}" for _ in range(r.randrange(80))] + cut * r.choice([1, 1, 6]) + [f"w{r.randrange(90)}" for _ in range(r.randrange(80))]))
+    docs = [*enumerate(texts), (None, items[4][1]), (7, None), (8, "")]
+    block = decontaminate.Items(items)
+    want = []
+    for i, t in docs:
+        ids = np.array([block.ids[x] for x in decontaminate.words_of(t or "")], np.int64)
+        _, hit, _ = block.hits(ids)
+        for k in np.unique(hit).tolist():
+            s = decontaminate.align(block.words[k], [ids])[0][0]
+            if s >= decontaminate.SCORE:
+                want.append((i, items[k][0], round(s, 9)))
+    best = {}
+    for i, k, s in want:
+        best[i, k] = max(s, best.get((i, k), 0))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(best) > 50 and {(x["doc_id"], x["item_id"]): round(x["score"], 9) for x in got} == best
+
+
 def test_leaks_left_out_cannot_reach_the_score():
     r = random.Random(8)
     for _ in range(200):
@@ -453,6 +479,82 @@ def test_licenses(spark, docs, rows):
     assert r["base_labels"] == "" and r["labels"] == "mit" and 0.8 < r["score"] < 1
 
 
+def test_licenses_whole_result(spark):
+    """Labels and scores against plain Python: votes by diagonal, diagonals near each other merged, shares of k-grams."""
+    r, texts = random.Random(13), ["", None, "a b", "mit license"]
+    for _ in range(150):
+        w = [f"q{r.randrange(9)}" for _ in range(r.randrange(30))]
+        for _ in range(r.randrange(1, 3)):
+            t = r.choice(licenses.TEMPLATES)[2].split()
+            t = [x for x in t if r.random() > 0.06]
+            for _ in range(r.randrange(3)):
+                t.insert(r.randrange(len(t) + 1), "other")
+            w += t + [f"q{r.randrange(9)}" for _ in range(r.randrange(20))]
+        texts.append(" ".join(w))
+    k, want = licenses.K, []
+    for i, text in enumerate(texts):
+        w = (text or "").split()
+        found = []
+        for name, label, t in licenses.TEMPLATES:
+            t = t.split()
+            n = len(t) - k + 1
+            votes = {}
+            for at in range(len(w) - k + 1):
+                for place in range(n):
+                    if w[at : at + k] == t[place : place + k]:
+                        votes.setdefault(at - place, []).append((at, place))
+            bands, last = [], None
+            for d in sorted(votes):
+                if last is None or d - last > licenses.NEAR:
+                    bands.append([])
+                bands[-1] += votes[d]
+                last = d
+            for b in bands:
+                s = len({p for _, p in b}) / n
+                if s >= licenses.LEAST:
+                    found.append((name, label, min(a for a, _ in b), max(a for a, _ in b) + k - 1, round(s, 9)))
+        want.append((i, sorted(found)))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], sorted((s["template"], s["label"], s["first_word"], s["last_word"], round(s["score"], 9)) for s in x["spans"])) for x in got) == want
+
+
+def test_stages_keep_columns_of_any_name(spark, small):
+    """Columns whose names the operators might use stay, for texts that are null, empty, or a megabyte long, and for empty tables."""
+    names = ["_quality", "_key", "_text_key", "_spans", "score", "row", "n", "th", "ids"]
+    rows = [(1, "a fine text of some words that says nothing"), (1, None), (None, ""), (3, "word " * 200_000), (4, "x" * 1_000_000), (4, "x" * 1_000_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(n).alias(n) for n in names)).repartition(2)
+    labels, items = spark.read.parquet(f"{small}/labels.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    for stage in (lambda x: quality_mil.keep_good(x, labels), jaccard_join.keep_one, lambda x: decontaminate.drop_leaks(x, items), secrets.redact):
+        for made, some in ((stage(d), True), (stage(d.where("false")), False)):
+            assert made.columns == d.columns
+            got = made.collect()
+            assert bool(got) == some and all(r[n] == n for r in got for n in names)
+
+
+def test_operators_on_long_texts(spark):
+    long = [(1, "word " * 200_000), (2, "x" * 1_000_000), (3, "a\n" * 300_000), (4, None)]
+    d = spark.createDataFrame(long, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    for made in (secrets.digest(d), sharding.digest(d, 3), quality_rules.digest(d), licenses.digest(d), quality_mil.digest(d, labels), jaccard_join.join_components(d), lm_scoring.score(d)):
+        assert sorted(r["doc_id"] for r in made.collect()) == [1, 2, 3, 4]
+    assert all(0 <= r["score"] <= 1 for r in quality_mil.digest(d, labels).collect())
+
+
+def test_no_checkpoint_folder_on_a_cluster():
+    from granary.llm import common
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared(Session())
+
+
 def test_lm(docs, rows):
     got = lm_scoring.score(docs)
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
