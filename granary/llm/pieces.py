@@ -7,12 +7,13 @@ segments, until no pair remains. Where a merge would make a pair that must come
 only its leftmost one in this round, so that the order is the library's: best score first, then leftmost.
 
 Cases: a null text counts as empty and has no ids; characters without a piece become their UTF-8 bytes' pieces; repeated rows
-and ties are rows like others; an empty table gives none; of the input only the id and text are read. A segment's cost grows
-with its length times its rounds; a worker's memory follows one batch and a cache of a stated number of segments.
+and ties are rows like others; an empty table gives none; of the input only the id and text are read. A segment of more
+than `LONG` characters is merged by itself, in rounds that cost what they merge; a worker's memory follows one batch and a cache of a stated number of segments.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,6 +31,8 @@ SHIFT = 1 << 21
 NONE = 1 << 40
 #: Segments in a worker's cache, characters in it, and characters encoded at a time.
 CACHE, CACHE_CHARS, AT_A_TIME = 400_000, 20_000_000, 4_000_000
+#: Characters from which on a segment is merged by itself.
+LONG = 1000
 
 
 def model_path() -> str:
@@ -151,6 +154,15 @@ class Pieces:
         sym = np.where(self.char_code[at] == code, self.char_piece[at], SHIFT // 2 + code)
         past = len(self.rank) - 1
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        if long := [i for i, s in enumerate(segments) if len(s) > LONG]:
+            own = np.zeros(len(segments), bool)
+            own[long] = True
+            own = own[word]
+            at = np.cumsum([0, *(len(segments[i]) for i in long)])
+            for i, a, b in zip(long, at[:-1], at[1:], strict=True):
+                whole = self._merge_long(sym[own][a:b])
+                done.append((np.full(len(whole), i), whole))
+            sym, word = sym[~own], word[~own]
         while len(sym):
             same = word[1:] == word[:-1]
             entry = np.append(np.where(same, self._pair(sym[:-1], sym[1:]), past), past)
@@ -200,6 +212,61 @@ class Pieces:
         order = np.argsort(word, kind="stable")
         return self._finish(sym[order], np.bincount(word, minlength=len(segments)))
 
+    def _merge_long(self, sym: np.ndarray) -> np.ndarray:
+        """The symbols that are left of one long segment. The same rounds, but the places of each rank are kept in lists, and only pairs
+        next to a merge are looked up again, so that a round costs what it merges and not the segment's length."""
+        n, sym = len(sym), sym.copy()
+        nxt, prev = np.arange(1, n + 1), np.arange(-1, n)  # n: none behind; prev[n] is never read
+        entry = np.append(self._pair(sym[:-1], sym[1:]), len(self.rank) - 1)
+        rank, made, alive = self.rank[entry], self.made[entry], np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] < NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else []:
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(part)
+
+        put(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            pos = np.unique(np.concatenate(places.pop(r)))
+            pos = pos[rank[pos] == r]
+            if not len(pos):
+                continue
+            # Of hits in a row every second one overlaps the one before it.
+            first = np.append(True, nxt[pos[:-1]] != pos[1:])
+            k = np.arange(len(pos))
+            take = pos[(k - k[first][np.cumsum(first) - 1]) % 2 == 0]
+            new = made[take]
+            if len(take) > 1:
+                left, right = prev[take], nxt[nxt[take]]
+                # If a merge makes a pair that comes before the next occurrence, only the first one is merged now.
+                early = self.rank[self._pair(sym[np.maximum(left, 0)], new)] <= r
+                early &= left >= 0
+                behind = self.rank[self._pair(new, sym[np.minimum(right, n - 1)])] <= r
+                early |= behind & (right < n)
+                early[:-1] |= (right[:-1] == take[1:]) & (self.rank[self._pair(new[:-1], new[1:])] <= r)
+                if early.any():
+                    later, take, new = pos[1:], take[:1], new[:1]
+                    places[r] = [later]
+                    heapq.heappush(ranks, r)
+            gone = nxt[take]
+            sym[take], rank[gone], alive[gone] = new, NONE, False
+            nxt[take] = nxt[gone]
+            prev[nxt[take]] = take
+            again = np.unique(np.concatenate([prev[take], take]))
+            again = again[again >= 0]
+            entry = self._pair(sym[again], sym[np.minimum(nxt[again], n - 1)])
+            rank[again], made[again] = np.where(nxt[again] < n, self.rank[entry], NONE), self.made[entry]
+            put(again)
+        return sym[alive]
+
     def _finish(self, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cuts the runs of spaces that are left in front, and turns characters without a piece into bytes."""
         space, size = self.space_run[1], np.ones(len(sym), np.int64)
