@@ -12,10 +12,11 @@ everywhere. So there are two levels of pivots.
 2. In a group pivots are documents. Distances to them are exact; a document within the radius of a pivot is linked with it, the
    pairs of what is linked to one pivot need no further look, and triangle windows decide what must still meet: regions by
    nearest pivot, boundary documents replicated, joined recursively. Only where the windows gain nothing (the squares of the regions'
-   sizes do not halve) is a region compared in full, without what is connected already or what the distances exclude. Groups, and
-   regions of one shingle, of more than `REGION` members are split so by Spark first, level by level, in even pieces of which each
-   meets the pivots; as the squares halve, there are at most 2 log2(members / REGION) levels, and a group whose squares do not halve
-   is compared in pairs of blocks of half of `REGION`. Smaller groups are split within a task.
+   sizes do not halve) is a region compared in full, without what is connected already or what the distances exclude. Groups of more
+   than `GROUP` members are split so by Spark first, level by level, in even pieces of which each meets the pivots; as the squares
+   halve, there are at most 2 log2(members / GROUP) levels, and a group whose squares do not halve is compared in pairs of blocks of
+   half of `GROUP`. Smaller groups are split within a task. A region of one shingle with more than `REGION` members, too many to
+   compare sketches in a task, is connected as it stands: its members are one group, each once, and pivots part it.
 
 Documents with equal sets are one member throughout, so that copies cost nothing. Results are the connected components.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import free_name, shared
 
-WORDS, REGION, PIVOTS, CANDIDATES = 5, 500, 8, 32
+WORDS, REGION, GROUP, PIVOTS, CANDIDATES = 5, 4000, 500, 8, 32
 #: Buckets over which rows of one key are spread, and the share of all edges from which on a node counts as a hub.
 SPREAD, HUB, HUB_LEAST = 32, 0.001, 200
 #: A shingle is frequent from this share of all rows on: there are at most mean set size / share of them, so they can be sent along.
@@ -532,13 +533,13 @@ def _split_once(rows: DataFrame, level: int, region: int, parts: int) -> tuple[D
     return links, with_bag(further), with_bag(block)
 
 
-def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region: int = REGION) -> DataFrame:
+def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region: int = REGION, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs."""
-    rows = _components_of(docs, doc_id, text, region)
+    rows = _components_of(docs, doc_id, text, region, group)
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def _components_of(docs: DataFrame, doc_id: str, text: str, region: int) -> DataFrame:
+def _components_of(docs: DataFrame, doc_id: str, text: str, region: int = REGION, group: int = GROUP) -> DataFrame:
     """doc_id, th (hash of the text), n, component_id, and what names the component even where ids are null: root and own."""
     spark = shared(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -553,8 +554,9 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int) -> Data
     regions = _regions(_memberships(texts.select("text"), hot), parts)
     regions = regions.checkpoint()
     edges = _candidate_edges(regions.where(F.col("size") <= region).select("region", "ka"), classes.select("ka", "n", "sketch"), parts)
-    # A region of too many members for a task is a group as it stands.
-    groups = components(edges).union(regions.where(F.col("size") > region).select(F.col("ka").alias("node"), F.col("region").alias("root")))
+    large = regions.where(F.col("size") > region)
+    least = large.groupBy("region").agg(F.min("ka").alias("a"))
+    groups = components(edges.union(_spread(large, least, ["region"]).where("a <> ka").select("a", F.col("ka").alias("b"))))
     # The sets of what has a candidate, each once.
     wanted = classes.join(groups, F.col("ka") == F.col("node")).select("one.doc_id", "one.th", "ka", F.col("root").alias("grp"))
     joined = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("grp", "ka", "text")
@@ -565,18 +567,18 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("ka"), pa.array(made, pa.binary())], ["grp", "ka", "bag"])
 
     sized = groups.groupBy("root").count()
-    large = sized.where(F.col("count") > region).select(F.col("root").alias("grp"))
+    large = sized.where(F.col("count") > group).select(F.col("root").alias("grp"))
     sets = joined.mapInArrow(bags, "grp long, ka long, bag binary").dropDuplicates(["grp", "ka", "bag"])
     links: list[DataFrame] = []
     if not large.isEmpty():
         sets = sets.checkpoint()
         todo, level, small = _spread(sets, large, ["grp"]), 0, [sets.join(large, "grp", "left_anti")]
         while True:
-            found, further, blocks = _split_once(todo, level, region, parts)
+            found, further, blocks = _split_once(todo, level, group, parts)
             links.append(found)
             small.append(blocks)
             further = further.checkpoint()
-            over = further.groupBy("grp").count().where(F.col("count") > region).select("grp").checkpoint()
+            over = further.groupBy("grp").count().where(F.col("count") > group).select("grp").checkpoint()
             small.append(further.join(over, "grp", "left_anti"))
             if over.isEmpty():
                 break
@@ -601,7 +603,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts without words are linked with nothing and stay; rows equal in id and text stay once."""
     name = free_name(docs.columns, "_key")
     key = lambda d, th: F.md5(F.concat_ws(":", F.coalesce(d.cast("string"), F.lit("-")), th.cast("string"))).alias(name)
-    found = _components_of(docs, "doc_id", "text", REGION)
+    found = _components_of(docs, "doc_id", "text")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
     first = found.where("n > 0").groupBy("root", "own").agg(F.min(order).alias("x")).select("x.doc_id", "x.th")
     stay = first.union(found.where("n = 0").select("doc_id", "th")).select(key(F.col("doc_id"), F.col("th"))).distinct()

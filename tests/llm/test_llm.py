@@ -70,6 +70,37 @@ def test_pieces_equal_the_library():
     assert own.decode(np.array([i for x in lists for i in x], np.int64), np.append(0, np.cumsum([len(x) for x in lists]))) == [lib.decode(x) for x in lists]
 
 
+def test_long_segments_equal_the_library(monkeypatch):
+    import sentencepiece
+
+    lib, own, r = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), pieces.Pieces(pieces.model_path()), random.Random(4)
+    made = lambda of, n: "".join(r.choice(of) for _ in range(n))
+    texts = [made("ACGT", 9000), made("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 9000), "a" * 5001, "ab" * 3000, "the" * 2000, "  " + made("é中😀ab", 4000), "x " + made("aab", 3000) + " y"]
+    texts += [made(["in", "ing", "er", "a", "t"], r.randrange(1000, 1500)) for _ in range(20)]
+    ids, at = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == lib.encode(texts)
+    # All lengths by this way, too.
+    monkeypatch.setattr(pieces, "LONG", 1)
+    short = ["".join(r.choice("ab ▁é中😀  aathe") for _ in range(r.randrange(30))) for _ in range(400)]
+    ids, at = pieces.Pieces(pieces.model_path()).encode(short)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == lib.encode(short)
+
+
+def test_long_segments_cost_what_they_merge():
+    import time
+
+    own, r = pieces.Pieces(pieces.model_path()), random.Random(5)
+
+    def took(n):
+        text = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n))
+        began = time.time()
+        own.encode([text])
+        return time.time() - began
+
+    took(1000)
+    assert took(1_000_000) < 20
+
+
 def test_pieces_over_documents(docs, rows):
     import sentencepiece
 
@@ -290,8 +321,8 @@ def components(rows):
     return [(i, n, min((x for x in ids[g] if x is not None), default=None)) for (i, _), (n, g) in zip(rows, found, strict=True)]
 
 
-@pytest.mark.parametrize("region", [500, 6])
-def test_jaccard_join(spark, docs, rows, region):
+@pytest.mark.parametrize(("region", "group"), [(4000, 500), (4000, 6), (6, 6)])
+def test_jaccard_join(spark, docs, rows, region, group):
     """Real documents, odd ones, and families of near copies of many distances; also with large groups split by Spark."""
     r, more = random.Random(5), []
     for family in range(4):
@@ -302,7 +333,7 @@ def test_jaccard_join(spark, docs, rows, region):
                 w[r.randrange(60)] = f"e{r.randrange(9999)}"
             more.append((20_000 + 100 * family + i, " ".join(w[: 60 - r.randrange(8)])))
     all_ = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
-    got = jaccard_join.join_components(all_, region=region)
+    got = jaccard_join.join_components(all_, region=region, group=group)
     assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == sorted(components(rows + more), key=repr)
 
 
@@ -322,9 +353,12 @@ def test_jaccard_chain_and_hot_group(spark, monkeypatch):
     real = jaccard_join._split_once
     monkeypatch.setattr(jaccard_join, "_split_once", lambda rows, level, *a: (levels.append(level), real(rows, level, *a))[1])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = jaccard_join.join_components(docs, region=50)
-    assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == sorted(components(list(enumerate(texts))), key=repr)
-    assert levels and len(levels) <= 2 * math.log2(700 / 50) + 1
+    want = sorted(components(list(enumerate(texts))), key=repr)
+    for region in (4000, 50):
+        levels.clear()
+        got = jaccard_join.join_components(docs, region=region, group=50)
+        assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == want
+        assert levels and len(levels) <= 2 * math.log2(700 / 50) + 1
 
 
 def test_pivots_decide_small_groups():
