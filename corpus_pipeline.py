@@ -1,8 +1,11 @@
 """A pipeline over `documents`: quality classifier, near duplicates, benchmark leaks, secrets, subword ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again before the next. All but
-the last return the columns of docs. Rejected documents, all but one of each group of near duplicates, and documents that leak a
-test item go; secrets are replaced in the text by their kind, and n_chars follows.
+the last return the columns of docs, whatever their names. Rejected documents, all but one of each group of near duplicates, and
+documents that leak a test item go; secrets are replaced in the text by their kind, and n_chars follows.
+
+Cases: a null text is scored, kept and encoded as an empty one, is nobody's duplicate and holds no secret; rows equal in id and text
+stay once; an empty table gives an empty one; texts of any length are read whole. A stage's table goes once the next one is written.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, jaccard_join, pieces, quality_mil, secrets
-from granary.llm.common import shared, small_batches, table
+from granary.llm.common import shared, shared_folder, small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -71,10 +74,13 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents, each written in the shared folder and read again."""
-    shared(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    folder, docs, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        before = path
     return docs
