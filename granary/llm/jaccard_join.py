@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import free_name, shared
 
-WORDS, REGION, GROUP, PIVOTS, CANDIDATES = 5, 4000, 500, 8, 32
+WORDS, REGION, GROUP, PIVOTS, CANDIDATES = 5, 4000, 2000, 8, 32
 #: Buckets over which rows of one key are spread, and the share of all edges from which on a node counts as a hub.
 SPREAD, HUB, HUB_LEAST = 32, 0.001, 200
 #: A shingle is frequent from this share of all rows on: there are at most mean set size / share of them, so they can be sent along.
@@ -479,7 +479,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 far = np.minimum(far, region.distances(region.sets[chosen], np.arange(hi - lo))[0])
                 far[chosen] = -1
         picked = batch.take(pa.array(rows))
-        yield pa.RecordBatch.from_arrays([picked.column("grp"), pa.array(number, pa.int32()), picked.column("ka"), picked.column("bag")], ["grp", "k", "ka", "bag"])
+        yield pa.RecordBatch.from_arrays([picked.column("grp"), pa.array(number, pa.int32()), *(picked.column(c) for c in ("ka", "m", "bag"))], ["grp", "k", "ka", "m", "bag"])
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,31 +506,36 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _split_once(rows: DataFrame, level: int, region: int, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One level of pivots over large groups (grp, ka, bag): links with pivots as (a, b), the regions to join further, and blocks of
-    what pivots cannot part, to be joined within a task."""
-    sized = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("m"))
-    hashed = F.xxhash64("ka", F.lit(level))
-    some = rows.groupBy("grp", F.pmod(hashed, F.lit(CANDIDATES)).alias("b")).agg(F.min(F.struct(hashed.alias("h"), "ka")).alias("x")).select("grp", "x.ka")
-    pivots = rows.join(some, ["grp", "ka"]).repartition(parts, "grp").sortWithinPartitions("grp", "ka").mapInArrow(_pick, "grp long, k int, ka long, bag binary").checkpoint()
-    pieces = F.ceil(F.col("m") / region).cast("long")
-    members = _spread(rows, sized, ["grp"]).select("grp", F.pmod(F.xxhash64("ka", F.lit("piece")), pieces).alias("i"), F.lit(None).cast("int").alias("k"), "ka", "bag")
-    with_all = pivots.join(sized, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("i"), "k", "ka", "bag")
+def _split_once(rows: DataFrame, level: int, group: int, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One level of pivots over large groups (grp, ka, m: how many the group has, bag): links with pivots as (a, b), the regions to join
+    further, and blocks of what pivots cannot part, to be joined within a task. A row knows its group's size, so that a row's set is
+    moved twice only: to its piece, and to its regions."""
+    pieces = F.ceil(F.col("m") / group).cast("long")
+    # Candidates for pivots: so many of each group on average. A group without one, if that should happen, is compared in blocks.
+    drawn = F.pmod(F.xxhash64("ka", F.lit(level)), F.greatest(F.floor(F.col("m") / CANDIDATES), F.lit(1))) == 0
+    some = rows.where(drawn).select("grp", "ka", "m", "bag")
+    pivots = some.repartition(parts, "grp").sortWithinPartitions("grp", "ka").mapInArrow(_pick, "grp long, k int, ka long, m long, bag binary").checkpoint()
+    members = rows.select("grp", F.pmod(F.xxhash64("ka", F.lit("piece")), pieces).alias("i"), F.lit(None).cast("int").alias("k"), "ka", "bag")
+    with_all = pivots.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("i"), "k", "ka", "bag")
     dealt = members.union(with_all).select(F.xxhash64("grp", "i").alias("piece"), "grp", "k", "ka", "bag")
     dealt = dealt.repartition(parts, "piece").sortWithinPartitions("piece", F.col("k").isNull(), "k", "ka")
     measured = dealt.mapInArrow(_measure, "grp long, ka long, k int, p long, d double, link boolean, inside boolean").checkpoint()
     links = measured.where("link AND ka <> p").select(F.col("p").alias("a"), F.col("ka").alias("b"))
     outer = measured.where("inside AND NOT link").groupBy("grp", "k").agg(F.min("d").alias("least"))
     kept = _spread(measured.where("inside"), outer, ["grp", "k"]).where(F.expr(f"NOT link OR d >= least - {EPS} - 1e-9")).select("grp", "k", "ka").checkpoint()
-    squares = kept.groupBy("grp", "k").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("grp").agg(F.sum(F.col("c") * F.col("c")).alias("after"))
-    stuck = squares.join(sized, "grp").select("grp", (F.col("after") >= 0.5 * F.col("m") * F.col("m")).alias("stuck"), F.greatest(F.ceil(2 * F.col("m") / region), F.lit(1)).cast("long").alias("blocks"))
-    told = _spread(kept, stuck, ["grp"])
-    further = told.where("NOT stuck").select("grp", "ka", F.xxhash64("grp", "k", F.lit(level)).alias("next"))
+    sizes = kept.groupBy("grp", "k").agg(F.count(F.lit(1)).alias("c"))
+    whole = rows.groupBy("grp").agg(F.max("m").alias("m")).join(sizes.groupBy("grp").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("after")), "grp", "left")
+    chosen = whole.join(pivots.select("grp").distinct().withColumn("_p", F.lit(True)), "grp", "left")
+    told = chosen.select("grp", (F.col("_p").isNull() | (F.col("after") >= 0.5 * F.col("m") * F.col("m"))).alias("stuck"), F.greatest(F.ceil(2 * F.col("m") / group), F.lit(1)).cast("long").alias("blocks"))
+    known = _spread(kept, told.where("NOT stuck").select("grp").join(sizes, "grp"), ["grp", "k"])
+    further = known.select("grp", "ka", F.xxhash64("grp", "k", F.lit(level)).alias("next"), F.col("c").alias("m"), F.lit(False).alias("block"))
+    # Of a group that is stuck, what a region still holds; of one without a pivot, all.
+    left = kept.select("grp", "ka").distinct().union(rows.join(chosen.where("_p IS NULL").select("grp"), "grp", "left_semi").select("grp", "ka"))
     i, j = F.pmod(F.xxhash64("ka", F.lit("block")), F.col("blocks")), F.col("j")
-    block = told.where("stuck").select("grp", "ka", "blocks").distinct().select("grp", "ka", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    block = block.select("grp", "ka", F.xxhash64("grp", F.least("i", j), F.greatest("i", j), F.lit(level), F.lit("block")).alias("next"))
-    with_bag = lambda x: x.join(rows, ["grp", "ka"]).select(F.col("next").alias("grp"), "ka", "bag")
-    return links, with_bag(further), with_bag(block)
+    pairs = _spread(left, told.where("stuck").select("grp", "blocks"), ["grp"]).select("grp", "ka", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+    block = pairs.select("grp", "ka", F.xxhash64("grp", F.least("i", j), F.greatest("i", j), F.lit(level), F.lit("block")).alias("next"), F.lit(0).cast("long").alias("m"), F.lit(True).alias("block"))
+    placed = further.union(block).join(rows.select("grp", "ka", "bag"), ["grp", "ka"]).select(F.col("next").alias("grp"), "ka", "m", "bag", "block").checkpoint()
+    return links, placed.where("NOT block").drop("block"), placed.where("block").select("grp", "ka", "bag")
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", region: int = REGION, group: int = GROUP) -> DataFrame:
@@ -557,32 +562,28 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int = REGION
     large = regions.where(F.col("size") > region)
     least = large.groupBy("region").agg(F.min("ka").alias("a"))
     groups = components(edges.union(_spread(large, least, ["region"]).where("a <> ka").select("a", F.col("ka").alias("b"))))
-    # The sets of what has a candidate, each once.
-    wanted = classes.join(groups, F.col("ka") == F.col("node")).select("one.doc_id", "one.th", "ka", F.col("root").alias("grp"))
-    joined = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("grp", "ka", "text")
+    # The sets of what has a candidate, each once, with the size of its group.
+    sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    wanted = classes.join(_spread(groups.withColumnRenamed("node", "ka"), sized, ["root"]), "ka").select("one.doc_id", "one.th", "ka", F.col("root").alias("grp"), "m")
+    joined = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("grp", "ka", "m", "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("ka"), pa.array(made, pa.binary())], ["grp", "ka", "bag"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "ka", "m")), pa.array(made, pa.binary())], ["grp", "ka", "m", "bag"])
 
-    sized = groups.groupBy("root").count()
-    large = sized.where(F.col("count") > group).select(F.col("root").alias("grp"))
-    sets = joined.mapInArrow(bags, "grp long, ka long, bag binary").dropDuplicates(["grp", "ka", "bag"])
+    sets = joined.mapInArrow(bags, "grp long, ka long, m long, bag binary").dropDuplicates(["grp", "ka", "bag"])
     links: list[DataFrame] = []
-    if not large.isEmpty():
+    if not sized.where(F.col("m") > group).isEmpty():
         sets = sets.checkpoint()
-        todo, level, small = _spread(sets, large, ["grp"]), 0, [sets.join(large, "grp", "left_anti")]
+        todo, level, small = sets.where(F.col("m") > group), 0, [sets.where(F.col("m") <= group).select("grp", "ka", "bag")]
         while True:
             found, further, blocks = _split_once(todo, level, group, parts)
             links.append(found)
-            small.append(blocks)
-            further = further.checkpoint()
-            over = further.groupBy("grp").count().where(F.col("count") > group).select("grp").checkpoint()
-            small.append(further.join(over, "grp", "left_anti"))
-            if over.isEmpty():
+            small += [blocks, further.where(F.col("m") <= group).select("grp", "ka", "bag")]
+            todo, level = further.where(F.col("m") > group), level + 1
+            if todo.isEmpty():
                 break
-            todo, level = _spread(further, over, ["grp"]), level + 1
         sets = small[0]
         for s in small[1:]:
             sets = sets.unionByName(s)
