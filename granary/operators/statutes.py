@@ -4,68 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import chinese_number, joined_sha1
+from granary.functions.lexicon import LAW_TYPES, NUMERALS, SELF_NOUNS, STANDING, UNKNOWN
+from granary.functions.text import chinese_number, joined_sha1, no_item_reason, strip_version, strip_wrappers, without_header
 
-#: Numerals, and the least characters of an article's text.
-NUMERALS = "零〇一二两三四五六七八九十百千0-9"
-LEAST = 4
+#: The least characters of an article's text, and of a document that stands as a whole.
+LEAST, LEAST_WHOLE = 4, 60
 ITEM = "doc_id string, seq int, part string, chapter string, section string, label string, text string"
+_N = f"第[{NUMERALS}]+"
+_CONTENTS = re.compile(r"[ \t\u3000]*目[ \t\u3000]*录[ \t\u3000]*$")
+_HEADING = re.compile(rf"[ \t\u3000]*(?:{_N}([编章节])|序[ \t\u3000]*言|附[ \t\u3000]*则|目[ \t\u3000]*录)")
+_ARTICLE = re.compile(rf"[ \t\u3000]*({_N}条(?:之[〇零一二三四五六七八九十]+)?)[ \t\u3000]*(.*)$")
 
 
-def split_text(text: str) -> list[tuple[int, str | None, str | None, str | None, str, str]]:
-    """(seq, part, chapter, section, label, text) of the articles of one document, line by line: a table of contents ends at a
-    heading seen before, or at the first line that is none; headings close the open article and reset what lies below them."""
-    import re
-
-    level = {"编": 0, "章": 1, "节": 2}
-    heading = re.compile(rf"^第[{NUMERALS}]+([编章节])(?:\s|　|$)")
-    article = re.compile(rf"^(第[{NUMERALS}]+条(?:之[{NUMERALS}]+)?)[\s　]*(.*)$")
-    contents = re.compile(r"^目\s*[录次]$")
-    closing = re.compile(r"^附\s*[则录件]$")
-    path: list[str | None] = [None, None, None]
-    out: list[tuple] = []
-    label, body, toc, seen = "", [], False, set()
-
-    def flush() -> None:
-        nonlocal label, body
-        whole = "\n".join(body).strip()
-        if label and len(whole) >= LEAST:
-            out.append((len(out) + 1, path[0], path[1], path[2], label, whole))
-        label, body = "", []
-
-    for raw in text.split("\n"):
-        line = raw.strip().strip("　")
-        if not line:
-            continue
-        if contents.match(line):
-            flush()
-            toc, seen = True, set()
+def _cleaned(text: str) -> str:
+    text = re.sub(r"[ \t\u3000]+\n", "\n", re.sub(r"\\\s*\n", "", text))
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
+def _without_contents(lines: list[str]) -> Iterator[str]:
+    """The lines without tables of contents: such a one ends at a heading that it has had before, once it has had two, or at a line
+    that is no heading."""
+    listed: set[str] | None = None
+    for line in lines:
+        if _CONTENTS.match(line):
+            listed = set()
             continue
-        head = heading.match(line)
-        if toc:
-            if head and not (line in seen and len(seen) >= 2):
-                seen.add(line)
+        if listed is not None:
+            bare = re.sub(r"\s+", "", line)
+            if not bare:
                 continue
-            if closing.match(line):
+            if _HEADING.match(line) and not (len(listed) >= 2 and bare in listed):
+                listed.add(bare)
                 continue
-            toc = False
-        if head:
-            flush()
-            at = level[head[1]]
-            path[at:] = [line, *[None] * (2 - at)]
-        elif closing.match(line):
-            flush()
-        elif found := article.match(line):
-            flush()
-            label, body = found[1], [found[2]] if found[2] else []
-        elif label:
+            listed = None
+        yield line
+
+
+def split_text(text: str) -> list[tuple[int, str | None, str | None, str | None, str, str]]:
+    """(seq, part, chapter, section, label, text) of the articles of one document. An article is open from its line to the next article
+    or heading; a heading of a part, chapter or section holds until the next one of its level or above."""
+    above: list[str | None] = [None, None, None]
+    found: list[tuple[list[str | None], str, list[str]]] = []
+    body: list[str] | None = None
+    for line in _without_contents([x.rstrip() for x in text.split("\n")]):
+        if article := _ARTICLE.match(line):
+            body = [article[2]]
+            found.append((list(above), article[1], body))
+        elif heading := _HEADING.match(line):
+            body = None
+            if heading[1]:
+                level = "编章节".index(heading[1])
+                above[level:] = [re.sub(r"[ \t\u3000]+", " ", line).strip(), *[None] * (2 - level)]
+        elif body is not None and line.strip():
             body.append(line)
-    flush()
-    return out
+    whole = [(path, label, _cleaned("\n".join(lines))) for path, label, lines in found]
+    return [(i, *path, label, body) for i, (path, label, body) in enumerate(((p, x, t) for p, x, t in whole if len(t) >= LEAST), 1)]
 
 
 def split_articles(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -92,20 +91,189 @@ def versioned_ids(items: DataFrame, law: str, article: str, uid: str) -> DataFra
     return items.withColumn("_k", k).withColumn("provision_id", F.when(F.col("_k") > 1, F.concat(base, F.lit("-v"), F.col("_k"))).otherwise(base)).drop("_k")
 
 
+def self_pattern() -> str:
+    return rf"(?U)本\s*(?:{SELF_NOUNS})\s*第\s*([{NUMERALS}]+)\s*条"
+
+
+def named_pattern() -> str:
+    return rf"(?U)[《〈]\s*([^《》〈〉]{{2,80}}?)\s*[》〉]\s*第\s*([{NUMERALS}]+)\s*条"
+
+
 def citations(items: DataFrame, node: str, law: str, text: str) -> DataFrame:
     """(start, law, no, evidence, kind): named citations of other laws, and of the same law's articles."""
-    number = f"第([{NUMERALS}]+)条"
-    named = F.regexp_extract_all(text, F.lit(f"《([^《》]{{2,40}})》{number}"), F.lit(0))
-    own = F.regexp_extract_all(text, F.lit(f"本(?:法|条例|规定|办法){number}"), F.lit(0))
-    a = items.select(F.col(node).alias("start"), F.explode(F.array_distinct(named)).alias("evidence")).select(
-        "start", F.regexp_extract("evidence", "《([^《》]+)》", 1).alias("law"), chinese_number(F.regexp_extract("evidence", number, 1)).alias("no"), "evidence", F.lit("named").alias("kind")
+    of = lambda pattern: F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0)))).alias("evidence")
+    named, own = named_pattern(), self_pattern()
+    a = items.select(F.col(node).alias("start"), of(named)).select(
+        "start", F.regexp_extract("evidence", named, 1).alias("law"), chinese_number(F.regexp_extract("evidence", named, 2)).alias("no"), "evidence", F.lit("named").alias("kind")
     )
-    b = items.select(F.col(node).alias("start"), F.col(law).alias("law"), F.explode(F.array_distinct(own)).alias("evidence")).select(
-        "start", "law", chinese_number(F.regexp_extract("evidence", number, 1)).alias("no"), "evidence", F.lit("self").alias("kind")
+    b = items.select(F.col(node).alias("start"), F.col(law).alias("law"), of(own)).select(
+        "start", "law", chinese_number(F.regexp_extract("evidence", own, 1)).alias("no"), "evidence", F.lit("self").alias("kind")
     )
     return a.unionByName(b)
 
 
+def cites_edges(cites: DataFrame, provisions: DataFrame, laws: DataFrame) -> DataFrame:
+    """(start, end, kind, evidence) from citations: names resolved to laws (law_id, law_name), then law and number looked up among the
+    provisions (provision_id, law_id, article_no), of which there may be several. No edge to itself, none twice."""
+    named = cites.where("kind = 'named' AND no IS NOT NULL").withColumn("name", strip_version(strip_wrappers(F.col("law"))))
+    known = resolve_names(named.select("name").distinct(), laws)
+    of_named = named.join(known, "name").where("law_id IS NOT NULL").select("start", "law_id", "no", "evidence", "kind")
+    own = cites.where("kind = 'self' AND no IS NOT NULL").select("start", F.col("law").alias("law_id"), "no", "evidence", "kind")
+    met = of_named.unionByName(own).join(provisions.select("law_id", F.col("article_no").alias("no"), F.col("provision_id").alias("end")), ["law_id", "no"])
+    return met.where("start <> end").select("start", "end", "kind", "evidence").distinct()
+
+
+def looked_up(cites: DataFrame, provisions: DataFrame, laws: DataFrame) -> DataFrame:
+    """cites (law, no) with status and provision_id: found (the least of several), not_in_library, or law_unresolved, which is no proof
+    that a citation was made up."""
+    known = resolve_names(cites.select(strip_version(strip_wrappers(F.col("law"))).alias("name")).distinct(), laws).select("name", "law_id")
+    least = provisions.groupBy("law_id", F.col("article_no").alias("no")).agg(F.min("provision_id").alias("provision_id"))
+    met = cites.withColumn("name", strip_version(strip_wrappers(F.col("law")))).join(known, "name", "left").join(least, ["law_id", "no"], "left")
+    status = F.when(F.col("law_id").isNull(), "law_unresolved").when(F.col("provision_id").isNull(), "not_in_library").otherwise("found")
+    return met.select(*cites.columns, status.alias("status"), "provision_id")
+
+
+def verified(cites: DataFrame, provisions: DataFrame, laws: DataFrame, context: DataFrame) -> DataFrame:
+    """cites (query_id, law, no) with what the answer's context (query_id, provision_id) says: found, out_of_ctx, missing or law_unresolved."""
+    seen = context.select("query_id", "provision_id", F.lit(True).alias("_in")).distinct()
+    x = looked_up(cites, provisions, laws).join(seen, ["query_id", "provision_id"], "left")
+    verdict = F.when(F.col("status") == "law_unresolved", "law_unresolved").when(F.col("status") == "not_in_library", "missing").when(F.col("_in"), "found").otherwise("out_of_ctx")
+    return x.select(*cites.columns, verdict.alias("verdict"), "provision_id")
+
+
+def refined_queries(queries: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(query_id, query, again): a question with the citations that were not found in its context behind it; again: whether to search once more."""
+    open_ = verdicts.where("verdict <> 'found'").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("《"), "law", F.lit("》第"), F.col("no").cast("string"), F.lit("条")))), " ").alias("more"))
+    met = queries.join(open_, "query_id", "left")
+    return met.select("query_id", F.concat_ws(" ", "query", "more").alias("query"), F.col("more").isNotNull().alias("again"))
+
+
+def gold_sets(rows: DataFrame, provisions: DataFrame, laws: DataFrame) -> DataFrame:
+    """From (uid, system, output, input): gold_sys, gold_out and gold_union, sorted provisions that the two texts cite; and why a row is
+    no query (no_gold, empty_query), else null. References that the library lacks are counted."""
+    def of(text: str, name: str) -> DataFrame:
+        c = citations(rows.withColumn("_law", F.lit(None).cast("string")), "uid", "_law", text).where("kind = 'named' AND no IS NOT NULL")
+        known = resolve_names(c.select(strip_version(strip_wrappers(F.col("law"))).alias("name")).distinct(), laws).select("name", "law_id").where("law_id IS NOT NULL")
+        keys = c.select("start", strip_version(strip_wrappers(F.col("law"))).alias("name"), "no").join(known, "name").select(F.col("start").alias("uid"), "law_id", "no").distinct()
+        met = keys.join(provisions.select("law_id", F.col("article_no").alias("no"), "provision_id"), ["law_id", "no"], "left")
+        return met.groupBy("uid").agg(F.array_sort(F.collect_set("provision_id")).alias(name), F.count_if(F.col("provision_id").isNull()).alias(f"{name}_missing"))
+
+    none = F.array().cast("array<string>")
+    x = rows.join(of("system", "gold_sys"), "uid", "left").join(of("output", "gold_out"), "uid", "left")
+    x = x.select("uid", "input", *(F.coalesce(c, none).alias(c) for c in ("gold_sys", "gold_out")), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("gold_sys_missing", "gold_out_missing")))
+    x = x.withColumn("gold_union", F.array_sort(F.array_union("gold_sys", "gold_out")))
+    return x.withColumn("reason", F.when(F.size("gold_union") == 0, "no_gold").when(F.trim(F.coalesce("input", F.lit(""))) == "", "empty_query"))
+
+
+def gold_account(gold: DataFrame) -> DataFrame:
+    """One row of counts over what `gold_sets` gives."""
+    kept = F.col("reason").isNull()
+    return gold.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(kept).alias("with_gold"), F.count_if(F.col("reason") == "no_gold").alias("no_gold"), F.count_if(F.col("reason") == "empty_query").alias("empty_query"),
+        F.count_if(kept & (F.size("gold_sys") > 0)).alias("tier_a"), F.count_if(kept & (F.size("gold_out") > 0)).alias("tier_b"),
+        F.sum("gold_sys_missing").cast("long").alias("sys_missing"), F.sum("gold_out_missing").cast("long").alias("out_missing"),
+    )
+
+
+def document_ids(docs: DataFrame, law: str, uid: str, taken: DataFrame) -> DataFrame:
+    """docs with provision_id law-doc, further ones as -v2, -v3 in order of uid; numbers that an id of `taken` (provision_id) has already
+    are passed over."""
+    base = F.concat(F.col(law), F.lit("-doc"))
+    used = taken.select(F.regexp_extract("provision_id", "^(.*-doc)(?:-v([0-9]+))?$", 1).alias("_base"), F.coalesce(F.nullif(F.regexp_extract("provision_id", "^(.*-doc)(?:-v([0-9]+))?$", 2), F.lit("")), F.lit("1")).cast("int").alias("k"))
+    used = used.where("_base <> ''").groupBy("_base").agg(F.array_sort(F.collect_set("k")).alias("_used"))
+    k = F.row_number().over(Window.partitionBy(law).orderBy(uid))
+    x = docs.withColumn("_base", base).withColumn("_k", k).join(used, "_base", "left")
+    # The k-th free number: each taken one at or below it moves it up by one.
+    free = F.aggregate(F.coalesce("_used", F.array().cast("array<int>")), F.col("_k"), lambda at, u: F.when(u <= at, at + 1).otherwise(at))
+    y = x.withColumn("_free", free)
+    return y.withColumn("provision_id", F.when(F.col("_free") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-v"), F.col("_free")))).drop("_base", "_k", "_used", "_free")
+
+
+def law_nodes(items: DataFrame) -> DataFrame:
+    """From (law_id, law_type, domain, source_dataset, doc_key, raw_title) a row for each law: its type if one standard type is known,
+    its sets in order, and how many documents and provisions it has."""
+    sets = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
+    x = items.groupBy("law_id").agg(
+        sets("law_type").alias("law_type_raw"), sets("domain").alias("domains"), sets("source_dataset").alias("source_datasets"), F.countDistinct("doc_key").alias("n_docs"),
+        F.count(F.lit(1)).alias("n_provisions"), sets("raw_title").alias("raw_name_variants"),
+    )
+    std = F.filter("law_type_raw", lambda t: t.isin(*LAW_TYPES))
+    return x.withColumn("law_type_std", F.when(F.size(std) == 1, std[0]).when(F.size(std) > 1, "多类型").otherwise("未标注"))
+
+
+def law_articles(items: DataFrame, law: str, number: str) -> DataFrame:
+    """For each law its least and largest article, and the numbers in order."""
+    return items.where(F.col(number).isNotNull()).groupBy(law).agg(F.min(number).alias("least"), F.max(number).alias("largest"), F.array_sort(F.collect_set(number)).alias("numbers"))
+
+
+def standing(status: Column) -> Column:
+    return F.when(F.trim(status).isin(*STANDING), F.trim(status)).otherwise(UNKNOWN)
+
+
+def kept_types(docs: DataFrame, kind: str = "type") -> DataFrame:
+    """Documents of the types that are split into articles."""
+    return docs.where(F.trim(kind).isin(*LAW_TYPES))
+
+
+def dirty_standing(docs: DataFrame, status: str = "status") -> DataFrame:
+    """How often each standing that is not known occurs, before any document is left out."""
+    raw = F.trim(F.coalesce(status, F.lit("")))
+    return docs.where(~raw.isin(*STANDING)).groupBy(raw.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def whole_documents(docs: DataFrame, with_items: DataFrame, least: int = LEAST_WHOLE) -> DataFrame:
+    """From (doc_id, title, text) those without articles (doc_id), with the reason; those that stand as a whole (no amendments, long
+    enough without their header) with that text, else null."""
+    bare = docs.join(with_items.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("reason", no_item_reason(F.col("title"), F.col("text")))
+    body = without_header(F.col("title"), F.col("text"))
+    return bare.withColumn("_body", body).select("doc_id", "title", "reason", F.when((F.col("reason") != "AMENDMENT_INSTRUCTION") & (F.length("_body") >= least), F.col("_body")).alias("text"))
+
+
+def title_statistics(titles: DataFrame, file: str, title: str) -> DataFrame:
+    """For each file: different titles as they stand, without wrappers, and without version notes; how many are made one by either step;
+    groups of several titles that become one."""
+    x = titles.where(F.trim(F.coalesce(title, F.lit(""))) != "").select(F.col(file).alias("file"), F.trim(title).alias("raw")).withColumn("l1", strip_wrappers(F.col("raw")))
+    x = x.withColumn("l2", strip_version(F.col("l1")))
+    groups = x.groupBy("file", "l2").agg(F.countDistinct("raw").alias("n")).groupBy("file").agg(F.count_if(F.col("n") > 1).alias("merged_groups"))
+    split = x.groupBy("file", "raw").agg(F.countDistinct("l2").alias("n")).groupBy("file").agg(F.count_if(F.col("n") > 1).alias("over_split"))
+    u = x.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), *(F.countDistinct(c).alias(f"{c}_unique") for c in ("raw", "l1", "l2")))
+    made = u.select("*", (F.col("raw_unique") - F.col("l1_unique")).alias("merged_l1"), (F.col("l1_unique") - F.col("l2_unique")).alias("merged_l2"))
+    return made.join(groups, "file").join(split, "file")
+
+
+def title_overlap(titles: DataFrame, file: str, title: str) -> DataFrame:
+    """(a, b, level, shared): how many titles two files share, as they stand (raw), without wrappers (l1) and without versions (l2). A
+    title gives a row for each pair of files that have it, and files are few."""
+    raw = F.trim(F.col(title))
+    l1 = strip_wrappers(raw)
+    each = titles.select(F.col(file).alias("file"), F.explode(F.create_map(F.lit("raw"), raw, F.lit("l1"), l1, F.lit("l2"), strip_version(l1))).alias("level", "title"))
+    by = each.groupBy("level", "title").agg(F.array_sort(F.collect_set("file")).alias("f")).where(F.size("f") > 1)
+    pairs = F.flatten(F.transform("f", lambda a: F.transform(F.filter("f", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return by.select("level", F.explode(pairs).alias("p")).groupBy("p.a", "p.b", "level").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def several_versions(titles: DataFrame, title: str) -> DataFrame:
+    """Titles without version notes that stand for more than one title, and for how many."""
+    x = titles.select(F.trim(title).alias("raw")).distinct().select("raw", strip_version(strip_wrappers(F.col("raw"))).alias("canonical"))
+    return x.groupBy("canonical").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def citation_profile(items: DataFrame, text: str, laws: DataFrame) -> DataFrame:
+    """One row: texts with any, named and self citations; citations of either kind; the shares of names that a law has, and of numbers that
+    cannot be read."""
+    x = items.select(F.monotonically_increasing_id().cast("string").alias("id"), F.lit(None).cast("string").alias("law"), F.col(text).alias("text"))
+    n = lambda p: F.regexp_count(F.coalesce("text", F.lit("")), F.lit(p))
+    counted = x.select(n(named_pattern()).alias("named"), n(self_pattern()).alias("self"))
+    sums = counted.agg(
+        F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("named") + F.col("self") > 0).alias("with_any"), F.count_if(F.col("named") > 0).alias("with_named"), F.count_if(F.col("self") > 0).alias("with_self"),
+        F.sum("named").cast("long").alias("n_named"), F.sum("self").cast("long").alias("n_self"),
+    )
+    c = citations(x, "id", "law", "text").where("kind = 'named'").withColumn("name", strip_version(strip_wrappers(F.col("law"))))
+    known = resolve_names(c.select("name").distinct(), laws).select("name", "law_id")
+    share = c.join(known, "name", "left").agg(F.avg(F.col("law_id").isNotNull().cast("double")).alias("resolved_share"), F.avg(F.col("no").isNull().cast("double")).alias("unread_share"))
+    return sums.crossJoin(F.broadcast(share))  # one row each
+
+
 def resolve_names(names: DataFrame, laws: DataFrame, shortest: int = 3) -> DataFrame:
     """(name, law_id, status): an exact name wins; else the only law whose name ends with it; else ambiguous or missing. Suffixes
     are joined by equality: each law gives its suffixes, as many as its name is long, so that no theta join is needed."""
@@ -123,12 +291,13 @@ def resolve_names(names: DataFrame, laws: DataFrame, shortest: int = 3) -> DataF
 
 def derive_tasks(items: DataFrame, shortest_law: int = 4, shortest_text: int = 20) -> DataFrame:
     """From (law, label, chapter, text): recall, locate and structure tasks as (kind, ask, answer), one for each content."""
-    long_law, long_text = F.length("law") >= shortest_law, F.length("text") >= shortest_text
+    long_law, long_text = F.length("title") >= shortest_law, F.length("text") >= shortest_text
     kinds = F.array(
-        F.when(long_law & long_text, F.struct(F.lit("recall").alias("kind"), F.concat(F.lit("《"), "law", F.lit("》"), "label").alias("ask"), F.col("text").alias("answer"))),
-        F.when(long_law & long_text, F.struct(F.lit("locate").alias("kind"), F.col("text").alias("ask"), F.concat(F.lit("《"), "law", F.lit("》"), "label").alias("answer"))),
-        F.when(long_law & F.col("chapter").isNotNull(), F.struct(F.lit("structure").alias("kind"), F.concat(F.lit("《"), "law", F.lit("》"), "label").alias("ask"), F.col("chapter").alias("answer"))),
+        F.when(long_law & long_text, F.struct(F.lit("recall").alias("kind"), F.concat(F.lit("《"), "title", F.lit("》"), "label").alias("ask"), F.col("text").alias("answer"))),
+        F.when(long_law & long_text, F.struct(F.lit("locate").alias("kind"), F.col("text").alias("ask"), F.concat(F.lit("《"), "title", F.lit("》"), "label").alias("answer"))),
+        F.when(long_law & F.col("chapter").isNotNull(), F.struct(F.lit("structure").alias("kind"), F.concat(F.lit("《"), "title", F.lit("》"), "label").alias("ask"), F.col("chapter").alias("answer"))),
     )
-    rows = items.select("law", "label", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("t")).select("law", "label", "t.*")
+    named = items.withColumn("title", strip_wrappers(F.col("law"), None))
+    rows = named.select("law", "label", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("t")).select("law", "label", "t.*")
     key = joined_sha1(F.col("ask"), F.lit(""), F.col("answer"))
     return rows.withColumn("content_sha1", key).groupBy("content_sha1").agg(F.min(F.struct("law", "label", "kind", "ask", "answer")).alias("x")).select("x.*", "content_sha1")
