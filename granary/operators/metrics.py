@@ -2,41 +2,60 @@
 
 from __future__ import annotations
 
-import random
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.functions.text import choice_letters, is_choice, statute_set, strip
+from granary.operators.ranks import running
+
 
 def nearest_rank(rows: DataFrame, group: list[str], value: str, shares: dict[str, float], rule: str = "n") -> DataFrame:
     """Quantiles without interpolation. The place in sorted order, from 0: `n` floor(n * q); `capped` the same, at most n - 1;
-    `last` floor(q * (n - 1)); `round` q * (n - 1) rounded half to even. Ranks by a window; no list of values is collected."""
-    w = Window.partitionBy(*group)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    n = F.col("_n")
+    `last` floor(q * (n - 1)); `round` q * (n - 1) rounded half to even. From counts by value; no list of values is collected."""
+    n = F.col("n_all")
     place = {
         "n": lambda q: F.floor(n * q),
         "capped": lambda q: F.least(n - 1, F.floor(n * q)),
         "last": lambda q: F.floor(F.lit(q) * (n - 1)),
         "round": lambda q: F.bround(F.lit(q) * (n - 1)),
     }[rule]
-    return ranked.groupBy(*group).agg(*(F.max(F.when(F.col("_k") == F.least(n - 1, place(q)), F.col(value))).alias(name) for name, q in shares.items()))
+    upto = F.col("n_before") + F.col("n")
+    return running(rows, group, value, n=F.count(F.lit(1))).groupBy(*group).agg(*(F.min(F.when(upto > F.least(n - 1, place(q)), F.col(value))).alias(name) for name, q in shares.items()))
 
 
-def average_rank(value: str, group: list[str] | None = None) -> Column:
-    """Rank from 1, ties at their mean."""
-    w = Window.partitionBy(*(group or []))
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*(group or []), value)) - 1) / 2.0
+def percentiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles with linear interpolation between neighbours, from counts by value."""
+    counted = running(rows, group, value, n=F.count(F.lit(1)))
+    at = lambda q: F.lit(q) * (F.col("n_all") - 1)
+    has = lambda k: F.min(F.when(F.col("n_before") + F.col("n") > k, F.col(value)))
+    sides = [x for name, q in shares.items() for x in (has(F.floor(at(q))).alias(f"_{name}_lo"), has(F.ceil(at(q))).alias(f"_{name}_hi"))]
+    x = counted.groupBy(*group).agg(F.max("n_all").alias("n_all"), *sides)
+    part = lambda q: at(q) - F.floor(at(q))
+    return x.select(*group, *((F.col(f"_{name}_lo") + part(q) * (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))).alias(name) for name, q in shares.items()))
+
+
+def average_ranks(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """(group, value, rank from 1, ties at their mean), a row for each value."""
+    return running(rows, group, value, n=F.count(F.lit(1))).select(*group, value, (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(name), F.col("n_all").alias(f"{name}_n"))
 
 
 def correlations(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """pearson and spearman by group; null with fewer than two rows or without variance."""
-    ranked = rows.withColumn("_rx", average_rank(x, group)).withColumn("_ry", average_rank(y, group))
+    """pearson and spearman by group; null with fewer than two rows or without variance. Rows with both values count. Ranks are those of
+    counts by value, and pairs of values are summed up before ranks are joined to them."""
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     sure = (F.count(F.lit(1)) > 1) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return ranked.groupBy(*group).agg(F.when(sure, F.corr(x, y)).alias("pearson"), F.when(sure, F.corr("_rx", "_ry")).alias("spearman"))
+    linear = both.groupBy(*group).agg(F.when(sure, F.corr(x, y)).alias("pearson"))
+    pairs = both.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = pairs.join(average_ranks(both, group, x, "_rx"), [*group, x]).join(average_ranks(both, group, y, "_ry"), [*group, y])
+    dx, dy = F.col("_rx") - (F.col("_rx_n") + 1) / 2.0, F.col("_ry") - (F.col("_ry_n") + 1) / 2.0
+    c = F.col("_c")
+    s = ranked.groupBy(*group).agg(F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"))
+    rank = s.select(*group, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman"))
+    return linear.join(rank, group, "left")
 
 
 def summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -45,19 +64,43 @@ def summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     )
 
 
-def bootstrap(rows: DataFrame, group: str, value: str, iterations: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean of each group, one group per task (scores of a system are few)."""
+#: Shares of a Poisson law of mean one: a row is drawn once, twice, ... where its number is at or over them.
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402)
+
+
+def resampled(rows: DataFrame, group: list[str], key: str, iterations: int, seed: str, **values: Column) -> DataFrame:
+    """(group, iteration, w, sums of values) of resamples: in each iteration a row counts as often as a Poisson law has it, by the hash of
+    seed, iteration and key. So rows need not meet: every task sums up its own, and any engine draws the same."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("iteration").cast("string"), F.col("_key"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = F.aggregate(F.array(*map(F.lit, _POISSON)), F.lit(0), lambda n, least: n + (F.col("_u") >= least).cast("int"))
+    each = rows.select(*group, F.col(key).cast("string").alias("_key"), *(v.cast("double").alias(n) for n, v in values.items()))
+    each = each.select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")).withColumn("_u", number).withColumn("_w", drawn).where("_w > 0")
+    return each.groupBy(*group, "iteration").agg(F.sum("_w").alias("w"), *(F.sum(F.col("_w") * F.col(n)).alias(n) for n in values))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(float)
-        r = random.Random(seed)
-        n = len(x)
-        means = np.sort([x[[r.randrange(n) for _ in range(n)]].mean() for _ in range(iterations)])
-        lo, hi = np.quantile(means, [(1 - level) / 2, 1 - (1 - level) / 2])
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "mean": [x.mean()], "ci_lo": [lo], "ci_hi": [hi]})
 
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, value).where(F.col(value).isNotNull()).groupBy(group).applyInPandas(run, f"{group} {kind}, mean double, ci_lo double, ci_hi double")
+def bootstrap(rows: DataFrame, group: str, key: str, value: str, iterations: int = 10_000, level: float = 0.95, seed: str = "42") -> DataFrame:
+    """(group, mean, ci_lo, ci_hi): percentile interval of the mean, over resamples."""
+    some = rows.where(F.col(value).isNotNull())
+    means = resampled(some, [group], key, iterations, seed, total=F.col(value)).select(group, (F.col("total") / F.col("w")).alias("m"))
+    side = (1 - level) / 2
+    interval = percentiles(means, [group], "m", {"ci_lo": side, "ci_hi": 1 - side})
+    return some.groupBy(group).agg(F.avg(value).alias("mean")).join(interval, group)
+
+
+def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, iterations: int = 10_000, level: float = 0.95, seed: str = "42") -> DataFrame:
+    """One row: the mean gain of b over a, its interval, the share of resamples of centred gains that are as far out (p), wins, ties and losses."""
+    some = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, (F.col(b) - F.col(a)).alias("d"))
+    counts = paired_counts(some.withColumn("_0", F.lit(0.0)), "d", "_0")
+    drawn = resampled(some, [], key, iterations, seed, total=F.col("d")).select((F.col("total") / F.col("w")).alias("m"))
+    side = (1 - level) / 2
+    interval = percentiles(drawn, [], "m", {"ci_lo": side, "ci_hi": 1 - side})
+    far = drawn.crossJoin(F.broadcast(counts.select("diff"))).agg((F.count_if(F.abs(F.col("m") - F.col("diff")) >= F.abs("diff")) + 1).alias("far"))  # one row is sent along
+    return counts.crossJoin(F.broadcast(interval)).crossJoin(F.broadcast(far)).select(F.col("diff").alias("gain"), "ci_lo", "ci_hi", (F.col("far") / (iterations + 1)).alias("p"), "win", "tie", "loss")
+
+
+def score_summary(rows: DataFrame, group: str, key: str, value: str, iterations: int = 10_000) -> DataFrame:
+    """n, mean, stdev, least and largest, and the interval of the mean."""
+    return summary(rows, [group], value).join(bootstrap(rows, group, key, value, iterations).drop("mean"), group, "left")
 
 
 def paired_counts(rows: DataFrame, a: str, b: str, near: float = 1e-9) -> DataFrame:
@@ -66,19 +109,10 @@ def paired_counts(rows: DataFrame, a: str, b: str, near: float = 1e-9) -> DataFr
     return rows.agg(F.avg(d).alias("diff"), F.count_if(d > near).alias("win"), F.count_if(F.abs(d) <= near).alias("tie"), F.count_if(d < -near).alias("loss"))
 
 
-def paired_bootstrap_p(diffs: list[float], iterations: int = 10_000, seed: int = 42) -> float:
-    """Share of resamples of centred differences that are as far out as the observed mean."""
-    x = np.asarray(diffs, float)
-    observed, centred, r = abs(x.mean()), x - x.mean(), np.random.default_rng(seed)
-    far = sum(int((np.abs(r.choice(centred, (min(500, iterations - at), len(x))).mean(axis=1)) >= observed).sum()) for at in range(0, iterations, 500))
-    return (far + 1) / (iterations + 1)
-
-
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """Share of (positive, negative) pairs in which the positive scores more; ties count as lost. By running sums, not by pairs."""
-    by_score = rows.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = by_score.withColumn("below", below).agg(F.sum(F.col("p") * F.col("below")).alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    c = running(rows, [], score, p=F.count_if(F.col(positive)), n=F.count_if(~F.col(positive)))
+    s = c.agg(F.sum(F.col("p") * F.col("n_before")).alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select((F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
@@ -102,28 +136,73 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def rouge_l(prediction: Column, gold: Column, cap: int = 800, beta: float = 1.2) -> Column:
-    """ROUGE-L F measure by characters, of heads of `cap` characters."""
-    p, g = F.substring(prediction, 1, cap), F.substring(gold, 1, cap)
+    """ROUGE-L F measure by characters, of heads of `cap` characters without blanks around, to four places."""
+    p, g = F.substring(strip(prediction), 1, cap), F.substring(strip(gold), 1, cap)
     n = lcs_length(p, g)
     precision, recall = n / F.length(p), n / F.length(g)
-    return F.when(n > 0, (1 + beta * beta) * precision * recall / (recall + beta * beta * precision)).otherwise(0.0)
+    return F.when(n > 0, F.round((1 + beta * beta) * precision * recall / (recall + beta * beta * precision), 4)).otherwise(0.0)
+
+
+def rouge_rollup(answers: DataFrame, group: list[str], predicted: str, gold: str, cap: int = 800) -> DataFrame:
+    """Over rows with a reference: n, the mean, the upper median, and how many texts were cut."""
+    some = answers.where(strip(F.coalesce(gold, F.lit(""))) != "")
+    cut = (F.length(F.coalesce(predicted, F.lit(""))) > cap) | (F.length(gold) > cap)
+    scored = some.select(*group, rouge_l(F.coalesce(predicted, F.lit("")), F.col(gold), cap).alias("f"), cut.alias("cut"))
+    middle = nearest_rank(scored, group, "f", {"f_p50": 0.5})
+    sums = scored.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f"), 4).alias("f_mean"), F.count_if("cut").alias("n_truncated"))
+    return sums.join(middle, group) if group else sums.crossJoin(F.broadcast(middle))
+
+
+def choice_accuracy(rows: DataFrame, group: list[str], answer: str, gold: str) -> DataFrame:
+    """Of answers to choice questions (gold: one to five letters): n, exact, subset (all of gold is chosen) and unparsed. An answer
+    without a letter is wrong."""
+    letters = F.array_sort(F.array_distinct(F.filter(F.split(F.upper(strip(F.col(gold))), ""), lambda c: c != "")))
+    x = rows.where(is_choice(F.col(gold))).select(*group, choice_letters(F.col(answer)).alias("p"), letters.alias("g"))
+    some = F.size("p") > 0
+    return x.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg((some & (F.col("p") == F.col("g"))).cast("double")), 4).alias("exact"),
+        F.round(F.avg((some & (F.size(F.array_except("g", "p")) == 0)).cast("double")), 4).alias("subset"),
+        F.count_if(~some).alias("unparsed"),
+    )
 
 
-def choice_accuracy(rows: DataFrame, group: list[str], predicted: str, gold: str) -> DataFrame:
-    """Of letter sets: exact, subset (gold within predicted) and unparsed."""
-    exact = F.array_sort(predicted) == F.array_sort(gold)
-    return rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(exact.cast("double")).alias("exact"),
-        F.avg((F.size(F.array_except(gold, predicted)) == 0).cast("double")).alias("subset"),
-        F.count_if(F.size(predicted) == 0).alias("unparsed"),
+def hit_rate(rows: DataFrame, group: list[str], answer: str, gold: str) -> DataFrame:
+    """Of citations: the mean share of the reference's that an answer has, over rows whose reference has some, and how many those are."""
+    x = rows.select(*group, statute_set(F.col(answer)).alias("p"), statute_set(F.col(gold)).alias("g")).where(F.size("g") > 0)
+    return x.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size(F.array_intersect("p", "g")) / F.size("g")), 4).alias("hit_rate"), F.round(F.avg(F.size("g")), 2).alias("avg_gold")
     )
 
 
-def hit_rate(rows: DataFrame, group: list[str], predicted: str, gold: str) -> DataFrame:
-    """Mean share of gold items that are predicted, over rows with gold."""
-    some = rows.where(F.size(gold) > 0)
-    return some.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.array_intersect(predicted, gold)) / F.size(gold)).alias("hit_rate"))
+def macro_average(scores: DataFrame, tasks: list[str], row_score: str) -> DataFrame:
+    """The mean over tasks of each task's mean, every task counting the same, and how many tasks there are."""
+    by_task = scores.where(F.col(row_score).isNotNull()).groupBy(*tasks).agg(F.avg(row_score).alias("m"))
+    return by_task.agg(F.avg("m").alias("macro"), F.count(F.lit(1)).alias("n_tasks"))
+
+
+#: What answers are scored by: name to (answers, group) -> rows.
+METRICS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
+    "accuracy": lambda rows, group: choice_accuracy(rows, group, "answer", "reference"),
+    "rouge_l": lambda rows, group: rouge_rollup(rows, group, "answer", "reference"),
+    "statute_hit": lambda rows, group: hit_rate(rows, group, "answer", "reference"),
+}
+#: Metrics of a task if none are named.
+TASK_METRICS = {"lexeval": ("accuracy", "rouge_l"), "internal_test": ("rouge_l", "statute_hit"), "lexrubric": ("rouge_l", "statute_hit")}
+
+
+def score_answers(answers: DataFrame, task: str, metrics: str = "auto", group: tuple[str, ...] = ("split",)) -> dict[str, DataFrame]:
+    """The metrics of a task's answers (split, answer, reference, error): `auto`, `all`, or names with commas. Failed answers do not count."""
+    names = TASK_METRICS[task] if metrics == "auto" else tuple(METRICS) if metrics == "all" else tuple(m.strip() for m in metrics.split(","))
+    good = answers.where(F.coalesce("error", F.lit("")) == "")
+    return {name: METRICS[name](good, list(group)) for name in names}
+
+
+def agreement(judged: DataFrame, case: str, judge: str, score: str) -> DataFrame:
+    """(a, b, n, pearson, spearman) for all pairs of judges, in order of their names, over the cases that both judged. A case has few judges."""
+    j = judged.select(F.col(case).alias("c"), F.col(judge).alias("j"), F.col(score).cast("double").alias("s"))
+    pairs = j.alias("a").join(j.alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.j") < F.col("b.j"))).select(F.col("a.j").alias("a"), F.col("b.j").alias("b"), F.col("a.s").alias("x"), F.col("b.s").alias("y"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(correlations(pairs, ["a", "b"], "x", "y"), ["a", "b"])
 
 
 def rubric_totals(judged: DataFrame) -> DataFrame:
@@ -134,13 +213,29 @@ def rubric_totals(judged: DataFrame) -> DataFrame:
     )
 
 
+def rubric_dimensions(judged: DataFrame) -> DataFrame:
+    """Points per judge, case and dimension, of criteria that were met."""
+    return judged.where("met").groupBy("split", "case_id", "judge", "dimension").agg(F.sum("point").alias("total"))
+
+
 def rubric_rollup(totals: DataFrame) -> DataFrame:
-    """Mean total and share of the maximum, by split and overall."""
-    return totals.rollup("split").agg(
-        F.countDistinct("case_id").alias("n_cases"), F.avg("total").alias("mean_total"), F.avg(F.when(F.col("max_score") > 0, 100.0 * F.col("total") / F.col("max_score"))).alias("pct")
+    """Mean total and share of the maximum, by split and overall: of each case the mean over its judges."""
+    cases = totals.groupBy("split", "case_id").agg(F.avg("total").alias("total"), F.max("max_score").alias("max_score"))
+    return cases.rollup("split").agg(
+        F.count(F.lit(1)).alias("n_cases"), F.avg("total").alias("mean_total"), F.avg(F.when(F.col("max_score") > 0, 100.0 * F.col("total") / F.col("max_score"))).alias("pct")
     )
 
 
+def judge_rollup(totals: DataFrame, failed: DataFrame) -> DataFrame:
+    """(split, judge, n, mean, n_failed) by split and overall: each judge over all cases, where a total that is missing counts as 0; failed:
+    (split, case_id) of cases with an answer that could not be read."""
+    cases, judges = totals.select("split", "case_id").distinct(), totals.select("judge").distinct()
+    every = cases.withColumn("_all", F.lit(1)).join(F.broadcast(judges.agg(F.collect_set("judge").alias("j")).withColumn("_all", F.lit(1))), "_all").select("split", "case_id", F.explode("j").alias("judge"))  # judges are few
+    x = every.join(totals.select("split", "case_id", "judge", "total"), ["split", "case_id", "judge"], "left").join(failed.distinct().withColumn("_f", F.lit(1)), ["split", "case_id"], "left")
+    sets = x.groupingSets([["split", "judge"], ["judge"]], "split", "judge")
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("total", F.lit(0.0))).alias("mean"), F.count("_f").alias("n_failed"))
+
+
 def ranking_metrics(ranks: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
     """From ranks (config, query_id, doc_id, rank) and gold (query_id, doc_id): micro recall and hit rate at cuts, MRR at the last."""
     n_gold = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("g"))
@@ -157,12 +252,16 @@ def ranking_metrics(ranks: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (
     ).select("config", "n", *((F.col(f"_r{k}") / F.col("_g")).alias(f"recall{k}") for k in cuts), *(f"hit{k}" for k in cuts), f"mrr{last}")
 
 
+def guessed(score: Column, threshold: float) -> Column:
+    """Which labels are taken: those at the threshold, or where there are none the first best."""
+    return F.when(F.exists(score, lambda s: s >= threshold), F.transform(score, lambda s: s >= threshold)).otherwise(
+        F.transform(score, lambda s, i: i == F.array_position(score, F.array_max(score)) - 1)
+    )
+
+
 def multilabel(rows: DataFrame, labels: list[str], threshold: float = 0.6) -> DataFrame:
     """From arrays truth and score in the order of labels: precision, recall and F1 per label; below the threshold the best counts."""
-    best = F.array_position("score", F.array_max("score")) - 1
-    none = ~F.exists("score", lambda s: s >= threshold)
-    guess = F.when(none, F.transform("score", lambda s, i: i == best)).otherwise(F.transform("score", lambda s: s >= threshold))
-    x = rows.withColumn("_g", guess).select(F.posexplode(F.arrays_zip(F.col("truth").alias("t"), F.col("_g").alias("g"))).alias("i", "x"))
+    x = rows.withColumn("_g", guessed(F.col("score"), threshold)).select(F.posexplode(F.arrays_zip(F.col("truth").alias("t"), F.col("_g").alias("g"))).alias("i", "x"))
     c = x.groupBy("i").agg(F.count_if(F.col("x.t") & F.col("x.g")).alias("tp"), F.count_if(~F.col("x.t") & F.col("x.g")).alias("fp"), F.count_if(F.col("x.t") & ~F.col("x.g")).alias("fn"))
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp = F.col("tp")
@@ -172,6 +271,68 @@ def multilabel(rows: DataFrame, labels: list[str], threshold: float = 0.6) -> Da
     )
 
 
+def multilabel_summary(rows: DataFrame, labels: list[str], threshold: float = 0.6) -> DataFrame:
+    """One row: exact matches, share of wrong labels, F1 over all labels at once and as the mean of labels; then what a router would do: its
+    first choice right, several labels at the threshold (cross), none (low), either of them (fallback), the rest (routed) and how often
+    the first choice is right there."""
+    per = multilabel(rows, labels, threshold)
+    f1 = per.agg((2 * F.sum("tp") / F.greatest(2 * F.sum("tp") + F.sum("fp") + F.sum("fn"), F.lit(1))).alias("micro_f1"), F.avg("f1").alias("macro_f1"))
+    best = F.array_position("score", F.array_max("score"))
+    x = rows.select(
+        (F.col("truth") == guessed(F.col("score"), threshold)).alias("exact"),
+        F.size(F.filter(F.zip_with("truth", guessed(F.col("score"), threshold), lambda a, b: a != b), lambda d: d)).alias("wrong"),
+        F.element_at("truth", best.cast("int")).alias("top"),
+        F.size(F.filter("score", lambda s: s >= threshold)).alias("over"),
+    )
+    routed = F.col("over") == 1
+    share = lambda c: F.avg(c.cast("double"))
+    sums = x.agg(
+        F.count(F.lit(1)).alias("n"), share(F.col("exact")).alias("exact_match"), (F.sum("wrong") / (F.count(F.lit(1)) * len(labels))).alias("hamming_loss"), share(F.col("top")).alias("top1_acc"),
+        share(~routed).alias("fallback_rate"), share(F.col("over") >= 2).alias("cross_rate"), share(F.col("over") == 0).alias("low_rate"), share(routed).alias("routed_cov"),
+        F.coalesce(F.avg(F.when(routed, F.col("top").cast("double"))), F.lit(0.0)).alias("routed_acc"),
+    )
+    return sums.crossJoin(F.broadcast(f1))  # one row each
+
+
+def confusion(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """(truth, guess, n) of the first true label and the first best score."""
+    name = lambda i: F.element_at(F.array(*map(F.lit, labels)), F.greatest(i, F.lit(1)).cast("int"))
+    return rows.groupBy(name(F.array_position("truth", True)).alias("truth"), name(F.array_position("score", F.array_max("score"))).alias("guess")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def utilisation(rows: DataFrame, group: list[str], weights: str) -> DataFrame:
+    """(group, place, mean): element-wise means of vectors."""
+    return rows.select(*group, F.posexplode(weights).alias("place", "x")).groupBy(*group, F.col("place").cast("long").alias("place")).agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def router_heads(rows: DataFrame, features: str, labels: list[str], truth: str = "truth", iterations: int = 50) -> dict[str, object]:
+    """One head for each label: a logistic regression, or the label's share where it is always or never true."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    x = rows.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), truth)
+    shares = x.agg(*(F.avg(F.element_at(truth, i + 1).cast("double")).alias(n) for i, n in enumerate(labels))).head()
+    heads: dict[str, object] = {}
+    for i, name in enumerate(labels):
+        constant = shares[name] is None or shares[name] in (0.0, 1.0)
+        own = x.withColumn("label", F.element_at(truth, i + 1).cast("double"))
+        heads[name] = float(shares[name] or 0.0) if constant else LogisticRegression(maxIter=iterations, regParam=0.01).fit(own)
+    return heads
+
+
+def router_scores(rows: DataFrame, features: str, heads: dict[str, object]) -> DataFrame:
+    """rows with `score`, an array in the order of the heads."""
+    vector = F.col(features).cast("array<double>")
+
+    def one(head: object) -> Column:
+        if isinstance(head, float):
+            return F.lit(head)
+        z = F.aggregate(F.zip_with(vector, F.array(*(F.lit(float(c)) for c in head.coefficients)), lambda a, b: a * b), F.lit(float(head.intercept)), lambda s, v: s + v)
+        return 1 / (1 + F.exp(-z))
+
+    return rows.withColumn("score", F.array(*(one(h) for h in heads.values())))
+
+
 def min_max(value: str, group: list[str] | None = None) -> Column:
     """Scaled to 0..1 within a group; a constant is 1, a null one half."""
     w = Window.partitionBy(*(group or []))
