@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
-from granary.operators import fingerprints, gates, labels, metrics, packing, retrieval, sampling
-from granary.plans.registry import Registry, table
+from granary.operators import decontamination, fingerprints, gates, labels, metrics, packing, profiles, records, retrieval, sampling
+from granary.plans.catalog_sql import DRAWN, RESAMPLED
+from granary.plans.registry import REGISTRY, table
 
-REGISTRY = Registry()
 query = REGISTRY.query
 
 
@@ -43,13 +43,6 @@ def scrub_and_anonymise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", X.scrub(F.col("text"), ["the", "que"], "[x]").alias("scrubbed"), X.anonymous_id(F.col("role"), 42).alias("anon"))
 
 
-@query("choice_letters", """SELECT o_orderkey, list_sort(list_distinct(regexp_extract_all(o_orderstatus || ',' || CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'F' END, '[A-F]'))) AS letters
-  FROM orders WHERE o_orderstatus = 'F'""")
-def choice_letters(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat("o_orderstatus", F.lit(","), F.when(F.col("o_orderkey") % 2 == 0, "A").otherwise("F"))
-    return table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", X.choice_letters(text).alias("letters"))
-
-
 @query("tolerant_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def tolerant_json(spark: SparkSession, d: str) -> DataFrame:
     reply = F.concat(F.lit("Here:\n```json\n"), F.replace("props", F.lit("}"), F.lit(",}")), F.lit("\n```"))
@@ -66,12 +59,8 @@ def simhash_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("near_dup_bench_join")
 def near_dup_bench_join(spark: SparkSession, d: str) -> DataFrame:
-    def hashed(rows: DataFrame, key: str) -> DataFrame:
-        normal = rows.select(key, X.norm_text(F.col("text")).alias("norm")).where(F.length("norm") >= 8)
-        return normal.select(key, fingerprints.simhash(F.col("norm")).alias("hash"))
-
-    docs, items = hashed(table(spark, d, "documents"), "doc_id"), hashed(table(spark, d, "benchmark"), "item_id")
-    return fingerprints.near_pairs(docs, items, "doc_id", "item_id")
+    hashed = lambda name, key: decontamination.fingerprinted(table(spark, d, name).select(key, "text"), "text").select(key, "hash")
+    return fingerprints.near_pairs(hashed("documents", "doc_id"), hashed("benchmark", "item_id"), "doc_id", "item_id")
 
 
 @query("exact_dedup_keep_first", """SELECT doc_id, sha1(text) AS key FROM documents QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY source, doc_id) = 1""")
@@ -90,12 +79,15 @@ def anti_join_removal(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.remove(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").where("quality = 0"), "doc_id")
 
 
-@query("char_jaccard_join", """WITH s AS (SELECT p_partkey id, list_distinct(string_split(p_name, '')) x FROM part WHERE p_partkey <= 400)
-SELECT a.id AS l, b.id AS r, len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) AS jaccard FROM s a, s b
-WHERE len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) > 0.85""")
+@query("char_jaccard_join", """WITH s AS (SELECT md5(p_name) id, list_distinct(string_split(p_name, '')) x, count(*) n FROM part GROUP BY ALL),
+j AS (SELECT a.id AS l, b.id AS r, a.n * b.n AS n_rows, len(list_intersect(a.x, b.x)) AS i, len(a.x) AS la, len(b.x) AS lb FROM s a, s b)
+SELECT l, r, n_rows, i / (la + lb - i) AS jaccard FROM j WHERE i / (la + lb - i) > 0.85""")
 def char_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("id"), fingerprints.char_set(F.col("p_name")).alias("items"))
-    return fingerprints.jaccard_above(s, s, 0.85)
+    """All links between different names of all parts, and for how many pairs of parts each stands."""
+    s = table(spark, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n")).select(F.md5("p_name").alias("id"), "n", fingerprints.char_set(F.col("p_name")).alias("items"))
+    links = fingerprints.jaccard_above(s, s, 0.85)
+    n = lambda side: s.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"))
+    return links.join(n("l"), "l").join(n("r"), "r").select("l", "r", (F.col("n_l") * F.col("n_r")).alias("n_rows"), "jaccard")
 
 
 # ---- vectors and ranking
@@ -107,8 +99,7 @@ SELECT * , row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
 def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), retrieval.normalised(F.col("embedding")).alias("v"))
     q = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    scored = v.crossJoin(F.broadcast(q)).select("query_id", "doc_id", F.round(X.dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return retrieval.top_k(scored, 10)
+    return retrieval.vector_search(v, q, 10)
 
 
 BM25 = """WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') w FROM documents), z AS (SELECT count(*) n, avg(greatest(len(w), 1)) a FROM t),
@@ -121,8 +112,8 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
 
 @query("bm25_search", BM25)
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    index = retrieval.postings(table(spark, d, "documents").withColumn("w", retrieval.tokens(F.col("text"))), "doc_id", "w")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term"))
+    index = retrieval.postings(table(spark, d, "documents"), "doc_id", "text", terms=q)
     return retrieval.top_k(q.join(index, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 5).alias("score")), 10)
 
 
@@ -200,9 +191,23 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("mean", F.round("mean", 6)).withColumn("stdev", F.round("stdev", 6))
 
 
-@query("bootstrap_interval")
+@query("bootstrap_interval", f"""WITH r AS (SELECT i, s_acctbal x, {RESAMPLED.format(key="s_suppkey")} AS u FROM supplier, range(1, 10001) t(i)),
+m AS (SELECT i, sum({DRAWN} * x) / nullif(sum({DRAWN}), 0) AS m FROM r GROUP BY 1)
+SELECT 'all' AS system, round((SELECT avg(s_acctbal) FROM supplier), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi FROM m""")
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap(table(spark, d, "supplier").select(F.lit("all").alias("system"), F.col("s_acctbal").alias("score")), "system", "score", iterations=500)
+    """The interval of a mean over 10,000 resamples, which any engine draws alike."""
+    b = metrics.bootstrap(table(spark, d, "supplier").withColumn("system", F.lit("all")), "system", "s_suppkey", "s_acctbal")
+    return b.select("system", *(F.round(c, 6).alias(c) for c in ("mean", "ci_lo", "ci_hi")))
+
+
+@query("paired_bootstrap", f"""WITH p AS (SELECT s_suppkey k, s_acctbal - 100 * s_nationkey AS d FROM supplier), o AS (SELECT avg(d) AS o FROM p),
+r AS (SELECT i, d, {RESAMPLED.format(key="k")} AS u FROM p, range(1, 2001) t(i)), m AS (SELECT i, sum({DRAWN} * d) / nullif(sum({DRAWN}), 0) AS m FROM r GROUP BY 1)
+SELECT round(any_value(o), 6) AS gain, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi, (count(*) FILTER (abs(m - o) >= abs(o)) + 1) / 2001 AS p,
+  (SELECT count(*) FROM p WHERE d > 1e-9) AS win, (SELECT count(*) FROM p WHERE abs(d) <= 1e-9) AS tie, (SELECT count(*) FROM p WHERE d < -1e-9) AS loss FROM m, o""")
+def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier").withColumn("a", 100.0 * F.col("s_nationkey"))
+    b = metrics.paired_bootstrap(rows, "s_suppkey", "a", "s_acctbal", iterations=2000)
+    return b.select(*(F.round(c, 6).alias(c) for c in ("gain", "ci_lo", "ci_hi")), "p", "win", "tie", "loss")
 
 
 @query("paired_win_tie_loss", """SELECT round(avg(l_quantity - l_linenumber), 6) AS diff, count(*) FILTER (l_quantity - l_linenumber > 1e-9) AS win, count(*) FILTER (abs(l_quantity - l_linenumber) <= 1e-9) AS tie,
@@ -224,22 +229,31 @@ def rouge_l_answers(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("before", F.lag("text").over(w)).where("before IS NOT NULL").select("conv_id", "turn", F.round(metrics.rouge_l(F.col("text"), F.col("before")), 4).alias("rouge_l"))
 
 
-@query("multilabel_scores")
-def multilabel_scores(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select(
-        F.array(F.col("p_size") > 25, F.col("p_retailprice") > 1000, F.length("p_name") > 15).alias("truth"), F.array(F.col("p_size") / 50, F.col("p_retailprice") / 2000, F.lit(0.7)).alias("score")
-    )
-    return metrics.multilabel(p, ["a", "b", "c"])
+@query("rubric_rollup", """WITH t AS (SELECT l_returnflag AS split, l_orderkey AS c, l_linestatus AS j, sum(CASE WHEN l_discount >= 0.05 THEN l_quantity ELSE 0 END) total, sum(l_quantity) m FROM lineitem GROUP BY ALL),
+c AS (SELECT split, c, avg(total) total, max(m) m FROM t GROUP BY ALL)
+SELECT split, count(*) AS n_cases, round(avg(total), 6) AS mean_total, round(avg(CASE WHEN m > 0 THEN 100.0 * total / m END), 6) AS pct FROM c GROUP BY ROLLUP (split)""")
+def rubric_rollup(spark: SparkSession, d: str) -> DataFrame:
+    r = metrics.rubric_rollup(metrics.rubric_totals(_judged(spark, d)))
+    return r.withColumn("mean_total", F.round("mean_total", 6)).withColumn("pct", F.round("pct", 6))
 
 
-@query("rubric_rollup", """WITH t AS (SELECT l_returnflag AS split, l_orderkey AS c, sum(CASE WHEN l_discount >= 0.05 THEN l_quantity ELSE 0 END) total, sum(l_quantity) m FROM lineitem GROUP BY 1, 2)
-SELECT split, count(DISTINCT c) AS n_cases, round(avg(total), 6) AS mean_total, round(avg(CASE WHEN m > 0 THEN 100.0 * total / m END), 6) AS pct FROM t GROUP BY ROLLUP (split)""")
-def rubric_rollup(spark: SparkSession, d: str) -> DataFrame:
-    judged = table(spark, d, "lineitem").select(
-        F.col("l_returnflag").alias("split"), F.col("l_orderkey").alias("case_id"), F.lit("j").alias("judge"), F.col("l_quantity").alias("point"), (F.col("l_discount") >= 0.05).alias("met")
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("split"), F.col("l_orderkey").alias("case_id"), F.col("l_linestatus").alias("judge"), F.col("l_linenumber").alias("dimension"), F.col("l_quantity").alias("point"), (F.col("l_discount") >= 0.05).alias("met")
     )
-    r = metrics.rubric_rollup(metrics.rubric_totals(judged))
-    return r.withColumn("mean_total", F.round("mean_total", 6)).withColumn("pct", F.round("pct", 6))
+
+
+@query("rubric_dimensions", """SELECT l_returnflag AS split, l_orderkey AS case_id, l_linestatus AS judge, l_linenumber AS dimension, sum(l_quantity) AS total FROM lineitem WHERE l_discount >= 0.05 GROUP BY ALL""")
+def rubric_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.rubric_dimensions(_judged(spark, d))
+
+
+@query("judge_rollup", """WITH t AS (SELECT l_returnflag AS split, l_orderkey AS c, l_linestatus AS j, sum(CASE WHEN l_discount >= 0.05 THEN l_quantity ELSE 0 END) total, max(CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END) f FROM lineitem GROUP BY ALL),
+x AS (SELECT c.split, c.c, j.j, coalesce(t.total, 0) total, c.f FROM (SELECT split, c, max(f) f FROM t GROUP BY ALL) c, (SELECT DISTINCT j FROM t) j LEFT JOIN t ON t.split = c.split AND t.c = c.c AND t.j = j.j)
+SELECT split, j AS judge, count(*) AS n, round(avg(total), 6) AS mean, CAST(sum(f) AS BIGINT) AS n_failed FROM x GROUP BY GROUPING SETS ((split, j), (j))""")
+def judge_rollup(spark: SparkSession, d: str) -> DataFrame:
+    failed = table(spark, d, "lineitem").where("l_tax > 0.07").select(F.col("l_returnflag").alias("split"), F.col("l_orderkey").alias("case_id"))
+    return metrics.judge_rollup(metrics.rubric_totals(_judged(spark, d)), failed).withColumn("mean", F.round("mean", 6))
 
 
 @query("min_max_columns", """SELECT s_suppkey, round(CASE WHEN max(s_acctbal) OVER w = min(s_acctbal) OVER w THEN 1.0 ELSE (s_acctbal - min(s_acctbal) OVER w) / (max(s_acctbal) OVER w - min(s_acctbal) OVER w) END, 9) AS scaled
@@ -311,7 +325,12 @@ REGISTRY.sql("set_algebra", """SELECT count(*) AS n, CAST(sum(CASE WHEN a = 1 AN
   FROM (SELECT doc_id, max(a) AS a, max(b) AS b FROM (SELECT doc_id, 1 AS a, 0 AS b FROM documents UNION ALL SELECT doc_id, 0, 1 FROM labels WHERE toxic = 1) GROUP BY doc_id)""")
 REGISTRY.sql("lead_edges", "SELECT conv_id, turn AS start_turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS end_turn FROM conversations")
 REGISTRY.sql("version_numbers", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS BIGINT) AS version FROM lineitem")
-REGISTRY.sql("star_links", "SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS hub FROM documents")
+@query("star_links", "SELECT doc_id, hub FROM (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY md5(text)) AS hub FROM documents) WHERE doc_id <> hub AND text <> ''")
+def star_links(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents")
+    return profiles.star_links(t, "doc_id", F.when(F.col("text") != "", F.md5("text")))
+
+
 REGISTRY.sql("degrees", "SELECT l_partkey, count(*) AS in_degree, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_partkey")
 REGISTRY.sql("confusion_matrix", "SELECT quality, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS toxic, CAST(sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS BIGINT) AS clean FROM labels GROUP BY quality")
 REGISTRY.sql("interval_join", """SELECT o.o_orderkey, count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL 60 DAYS GROUP BY o.o_orderkey""")
@@ -324,12 +343,11 @@ REGISTRY.sql("hourly_events", "SELECT date_trunc('hour', ts) AS hour, event_type
 # ---- further operators on the star schema and the text tables
 
 
-@query("table_line_strip", r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT contains(x, '|')) x FROM documents WHERE length(text) > 1000),
-  t AS (SELECT doc_id, substr(array_to_string(x, chr(10)), 1, 2000) AS t FROM l) SELECT doc_id, length(t) AS n_kept, sha1(t) AS sha FROM t WHERE length(t) >= 200""")
+@query("table_line_strip", r"""WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT contains(x, '|')) x FROM documents),
+  t AS (SELECT doc_id, CASE WHEN length(text) > 1000 THEN substr(array_to_string(x, chr(10)), 1, 2000) ELSE text END AS t, length(text) > 1000 AS long FROM l) SELECT doc_id, length(t) AS n_kept, sha1(t) AS sha FROM t WHERE NOT long OR length(t) >= 200""")
 def table_line_strip(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~F.contains(x, F.lit("|")))
-    t = table(spark, d, "documents").where(F.length("text") > 1000).select("doc_id", F.substring(F.array_join(lines, "\n"), 1, 2000).alias("t"))
-    return t.where(F.length("t") >= 200).select("doc_id", F.length("t").cast("long").alias("n_kept"), F.sha1("t").alias("sha"))
+    t = table(spark, d, "documents").select("doc_id", records.table_lines_gone(F.col("text")).alias("t")).where("t IS NOT NULL")
+    return t.select("doc_id", F.length("t").cast("long").alias("n_kept"), F.sha1("t").alias("sha"))
 
 
 @query("last_user_message", """WITH a AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY 1) SELECT c.conv_id, count(*) AS n_before, arg_max(text, turn) AS asked FROM conversations c JOIN a USING (conv_id) WHERE turn < t GROUP BY 1""")
@@ -347,17 +365,22 @@ def loose_and_exact_keys(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("leak_levels", """WITH t AS (SELECT DISTINCT l_partkey p, l_suppkey s FROM lineitem WHERE l_orderkey % 2 = 0), e AS (SELECT l_orderkey, l_linenumber, l_partkey p, l_suppkey s FROM lineitem WHERE l_orderkey % 10 = 1)
-SELECT l_orderkey, l_linenumber, CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.p = e.p AND t.s = e.s) THEN 'both' WHEN EXISTS (SELECT 1 FROM t WHERE t.p = e.p) THEN 'question' WHEN EXISTS (SELECT 1 FROM t WHERE t.s = e.s) THEN 'answer' ELSE 'clean' END AS level FROM e""")
+@query("leak_levels", """WITH t AS (SELECT l_partkey p, l_suppkey s FROM lineitem WHERE l_returnflag <> 'R'), e AS (SELECT l_orderkey, l_linenumber, l_partkey p, l_suppkey s FROM lineitem WHERE l_returnflag = 'R')
+SELECT l_orderkey, l_linenumber, CASE WHEN (p, s) IN (SELECT (p, s) FROM t) THEN 'both' WHEN p IN (SELECT p FROM t) THEN 'question' WHEN s IN (SELECT s FROM t) THEN 'answer' ELSE 'clean' END AS level FROM e""")
 def leak_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation rows by what of them the training rows hold: the pair, its first part, or its second."""
-    rows = table(spark, d, "lineitem")
-    known, eval_ = rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 10 = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    flagged = eval_
-    for name, key in (("both", ["l_partkey", "l_suppkey"]), ("question", ["l_partkey"]), ("answer", ["l_suppkey"])):
-        flagged = flagged.join(known.select(*key).distinct().withColumn(name, F.lit(1)), key, "left")
-    level = F.when(F.col("both") == 1, "both").when(F.col("question") == 1, "question").when(F.col("answer") == 1, "answer").otherwise("clean")
-    return flagged.select("l_orderkey", "l_linenumber", level.alias("level"))
+    """Evaluation rows (those returned) by what of them the training rows (all others) hold: the pair, its first part, or its second."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    known, eval_ = rows.where("l_returnflag <> 'R'"), rows.where("l_returnflag = 'R'")
+    keys = {"both": ["l_partkey", "l_suppkey"], "question": ["l_partkey"], "answer": ["l_suppkey"]}
+    return decontamination.leak_levels(eval_, known, keys, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "level")
+
+
+@query("text_leak_levels", r"""WITH n AS (SELECT doc_id AS id, lower(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS a, text FROM documents), e AS (SELECT item_id, lower(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS a, text FROM benchmark)
+SELECT item_id, CASE WHEN text IN (SELECT text FROM n) THEN 'exact' WHEN a IN (SELECT a FROM n) THEN 'normalised' ELSE 'clean' END AS level FROM e""")
+def text_leak_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items that are a training document word by word, or once case and all but letters are gone."""
+    keyed = lambda name, *c: table(spark, d, name).select(*c, F.sha1("text").alias("t"), F.sha1(F.lower(F.regexp_replace("text", "[^a-zA-Z]", ""))).alias("n"))
+    return decontamination.leak_levels(keyed("benchmark", "item_id"), keyed("documents"), {"exact": ["t"], "normalised": ["n"]}, ["item_id"]).select("item_id", "level")
 
 
 @query("dense_ceiling", """WITH r AS (SELECT o_custkey q, o_orderkey doc, o_orderpriority LIKE '1%' AS gold, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) k FROM orders)
@@ -391,12 +414,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY substr(sha1('de
 SELECT doc_id, stratum, n >= 2 AND k <= greatest(1, n // 10) AS dev FROM r""")
 def stratified_holdout(spark: SparkSession, d: str) -> DataFrame:
     """A tenth of each combination of labels by hash, one at least of two or more; rare combinations are one stratum."""
-    combo = Window.partitionBy("quality", "toxic")
-    s = table(spark, d, "labels").withColumn("n", F.count(F.lit(1)).over(combo))
-    s = s.select("doc_id", F.when(F.col("n") < 20, "__other__").otherwise(F.concat_ws("-", F.col("quality").cast("string"), F.col("toxic").cast("string"))).alias("stratum"))
-    w = Window.partitionBy("stratum")
-    n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(X.hash_order("dev", F.col("doc_id").cast("string"))))
-    return s.select("doc_id", "stratum", n.alias("n"), k.alias("k")).select("doc_id", "stratum", ((F.col("n") >= 2) & (F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10)))).alias("dev"))
+    return sampling.stratified_holdout(table(spark, d, "labels"), "doc_id", F.concat_ws("-", F.col("quality").cast("string"), F.col("toxic").cast("string")))
 
 
 @query("trace_rollup", """SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks, list_sort(list(value))[1 + count(*) // 2] AS p50 FROM events GROUP BY 1""")
@@ -410,7 +428,6 @@ def trace_rollup(spark: SparkSession, d: str) -> DataFrame:
 REGISTRY.sql("nested_key_profile", "SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN props LIKE '%\"k\"%' THEN 1 ELSE 0 END) AS BIGINT) AS with_k, CAST(min(length(props)) AS BIGINT) AS shortest, CAST(max(length(props)) AS BIGINT) AS longest FROM events GROUP BY event_type")
 REGISTRY.sql("backfill_attribute", "SELECT c.c_custkey, coalesce(CASE WHEN c.c_acctbal > 0 THEN c.c_mktsegment END, n.n_name) AS segment FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey")
 REGISTRY.sql("cross_tab_share", "SELECT lang, source, count(*) AS n, round(CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS pct FROM documents GROUP BY lang, source")
-REGISTRY.sql("winner_on_two_axes", "SELECT n_name, total, n FROM (SELECT n.n_name, round(sum(s.s_acctbal), 2) AS total, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, round(sum(s.s_acctbal), 2) DESC, n.n_name) AS k FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name) t WHERE k = 1")
 REGISTRY.sql("scoped_id_collisions", "SELECT turn, count(*) AS n, count(DISTINCT conv_id) AS ids FROM conversations GROUP BY turn HAVING count(*) > 1")
 REGISTRY.sql("label_sets_by_source", "SELECT d.source, count(*) AS n, avg(CAST(l.quality AS DOUBLE)) AS good, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unlabelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
 
@@ -433,20 +450,18 @@ def target_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("vector_threshold_join", """WITH q AS (SELECT vec_id q, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id, round(list_cosine_similarity(e, CAST(embedding AS DOUBLE[])), 6) AS cosine FROM q, embeddings WHERE vec_id <> q)
-SELECT q AS query_id, arg_max(vec_id, cosine * 1e9 - vec_id * 1e-6) AS doc_id, max(cosine) AS cosine FROM s GROUP BY 1 HAVING max(cosine) > 0.2""")
+SELECT q AS query_id, vec_id AS doc_id, cosine FROM s WHERE cosine > 0.2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, vec_id) = 1""")
 def vector_threshold_join(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest other vector of each query above a cosine. The queries are the stated set, sent along as one block."""
+    """The nearest other vector of each query above a cosine. The queries are the stated set, sent along in blocks."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), retrieval.normalised(F.col("embedding")).alias("v"))
     q = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    near = v.crossJoin(F.broadcast(q)).where("doc_id <> query_id").select("query_id", "doc_id", F.round(X.dot(F.col("v"), F.col("q")), 6).alias("cosine"))
-    best = near.groupBy("query_id").agg(F.max(F.struct("cosine", -F.col("doc_id"))).alias("x"), F.max("cosine").alias("cosine"))
-    return best.where("cosine > 0.2").select("query_id", (-F.col("x.col2")).alias("doc_id"), "cosine")
+    return retrieval.vector_search(v, q, 1, least=0.2, itself=False).select("query_id", "doc_id", F.col("score").alias("cosine"))
 
 
-@query("utilisation_mean", """SELECT label, i - 1 AS place, round(avg(embedding[i]), 6) AS mean FROM embeddings, range(1, 5) r(i) GROUP BY 1, 2""")
+@query("utilisation_mean", """SELECT label, i - 1 AS place, round(avg(embedding[i]), 6) AS mean FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding) GROUP BY 1, 2""")
 def utilisation_mean(spark: SparkSession, d: str) -> DataFrame:
-    """Element-wise means of vectors, here of their first four places."""
-    return table(spark, d, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 4)).alias("place", "x")).groupBy("label", F.col("place").cast("long").alias("place")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    """Element-wise means of vectors."""
+    return metrics.utilisation(table(spark, d, "embeddings"), ["label"], "embedding").withColumn("mean", F.round("mean", 6))
 
 
 @query("page_facts", """SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, len(regexp_extract_all(html, '<a ')) AS links, len(regexp_extract_all(html, '<p')) AS paragraphs FROM pages""")
@@ -455,9 +470,13 @@ def page_facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), n("<a ").alias("links"), n("<p").alias("paragraphs"))
 
 
-@query("judge_agreement", """WITH j AS (SELECT l_orderkey c, l_linenumber j, l_quantity s FROM lineitem WHERE l_linenumber <= 3) SELECT a.j AS a, b.j AS b, count(*) AS n, round(corr(a.s, b.s), 6) AS pearson FROM j a JOIN j b USING (c) WHERE a.j < b.j GROUP BY 1, 2""")
+@query("judge_agreement", """WITH j AS (SELECT l_orderkey c, l_linenumber j, avg(l_quantity) s FROM lineitem GROUP BY ALL), p AS (SELECT a.j AS a, b.j AS b, a.s x, b.s y FROM j a JOIN j b USING (c) WHERE a.j < b.j),
+r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM p)
+SELECT a, b, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1, 2""")
 def judge_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation of each pair of judges over the cases that both judged; a case has few judges."""
-    j = table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("c"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("s"))
-    pairs = j.alias("a").join(j.alias("b"), (F.col("a.c") == F.col("b.c")) & (F.col("a.j") < F.col("b.j")))
-    return pairs.groupBy(F.col("a.j").alias("a"), F.col("b.j").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("a.s", "b.s"), 6).alias("pearson"))
+    """Correlations of all pairs of judges over the cases that both judged."""
+    j = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.avg("l_quantity").alias("s"))
+    return metrics.agreement(j, "l_orderkey", "l_linenumber", "s").withColumn("pearson", F.round("pearson", 6)).withColumn("spearman", F.round("spearman", 6))
+
+
+from granary.plans import corpus, evaluation, graphs, indexes  # noqa: E402, F401  (they register their queries)

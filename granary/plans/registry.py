@@ -30,13 +30,7 @@ class Registry:
 
     def sql(self, name: str, text: str, oracle: str | None = None) -> None:
         """A query given as Spark SQL over the tables; oracle: the same in DuckDB, by default the very text."""
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
-        named = re.sub(r"\b(" + "|".join(used) + r")\b(?!\.)", lambda m: "{" + m[1] + "}", text)
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return spark.sql(named, **{t: table(spark, sf_dir, t) for t in used})
-
-        self.query(name, oracle or text)(run)
+        self.query(name, oracle or text)(lambda spark, sf_dir: rows_of(spark, sf_dir, text))
 
 
 TABLES = (
@@ -44,6 +38,19 @@ TABLES = (
 ).split()
 
 
+def rows_of(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Spark SQL over the input tables."""
+    # Text in quotes is no table's name.
+    words = re.compile(r"'[^']*'|\b(" + "|".join(TABLES) + r")\b(?!\.)")
+    used = {m[1] for m in words.finditer(text) if m[1]}
+    named = words.sub(lambda m: "{" + m[1] + "}" if m[1] else m[0].replace("{", "{{").replace("}", "}}"), text)
+    return spark.sql(named, **{t: table(spark, sf_dir, t) for t in used})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: All queries outside the llm subpackage.
+REGISTRY = Registry()
