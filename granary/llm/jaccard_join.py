@@ -455,10 +455,10 @@ def _join_groups(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "grp").sortWithinPartitions("grp", "ka").mapInArrow(run, "a long, b long")
 
 
-def _spread(rows: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+def _spread(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
     """rows (with ka) joined to a small table with a row for each key; a key's rows are spread over buckets, as one may have many."""
     bucket = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    return rows.withColumn("_b", F.pmod(F.xxhash64("ka"), F.lit(SPREAD)).cast("int")).join(table.withColumn("_b", bucket), [*key, "_b"]).drop("_b")
+    return rows.withColumn("_b", F.pmod(F.xxhash64("ka"), F.lit(SPREAD)).cast("int")).join(table.withColumn("_b", bucket), [*key, "_b"], how).drop("_b")
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,7 +530,7 @@ def _split_once(rows: DataFrame, level: int, group: int, parts: int) -> tuple[Da
     known = _spread(kept, told.where("NOT stuck").select("grp").join(sizes, "grp"), ["grp", "k"])
     further = known.select("grp", "ka", F.xxhash64("grp", "k", F.lit(level)).alias("next"), F.col("c").alias("m"), F.lit(False).alias("block"))
     # Of a group that is stuck, what a region still holds; of one without a pivot, all.
-    left = kept.select("grp", "ka").distinct().union(rows.join(chosen.where("_p IS NULL").select("grp"), "grp", "left_semi").select("grp", "ka"))
+    left = kept.select("grp", "ka").distinct().union(_spread(rows.select("grp", "ka"), chosen.where("_p IS NULL").select("grp"), ["grp"]).select("grp", "ka"))
     i, j = F.pmod(F.xxhash64("ka", F.lit("block")), F.col("blocks")), F.col("j")
     pairs = _spread(left, told.where("stuck").select("grp", "blocks"), ["grp"]).select("grp", "ka", i.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     block = pairs.select("grp", "ka", F.xxhash64("grp", F.least("i", j), F.greatest("i", j), F.lit(level), F.lit("block")).alias("next"), F.lit(0).cast("long").alias("m"), F.lit(True).alias("block"))
@@ -562,9 +562,11 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int = REGION
     large = regions.where(F.col("size") > region)
     least = large.groupBy("region").agg(F.min("ka").alias("a"))
     groups = components(edges.union(_spread(large, least, ["region"]).where("a <> ka").select("a", F.col("ka").alias("b"))))
-    # The sets of what has a candidate, each once, with the size of its group.
+    # The sets of what has a candidate, each once, with the size of its group if that is large.
     sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    wanted = classes.join(_spread(groups.withColumnRenamed("node", "ka"), sized, ["root"]), "ka").select("one.doc_id", "one.th", "ka", F.col("root").alias("grp"), "m")
+    large = sized.where(F.col("m") > group).checkpoint()
+    told = _spread(groups.withColumnRenamed("node", "ka"), large, ["root"], "left").select("ka", "root", F.coalesce("m", F.lit(0)).alias("m"))
+    wanted = classes.join(told, "ka").select("one.doc_id", "one.th", "ka", F.col("root").alias("grp"), "m")
     joined = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("grp", "ka", "m", "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -574,7 +576,7 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int = REGION
 
     sets = joined.mapInArrow(bags, "grp long, ka long, m long, bag binary").dropDuplicates(["grp", "ka", "bag"])
     links: list[DataFrame] = []
-    if not sized.where(F.col("m") > group).isEmpty():
+    if not large.isEmpty():
         sets = sets.checkpoint()
         todo, level, small = sets.where(F.col("m") > group), 0, [sets.where(F.col("m") <= group).select("grp", "ka", "bag")]
         while True:
