@@ -255,6 +255,11 @@ def statute_set(text: Column) -> Column:
     return F.array_distinct(cited(text, rf"《([^》\n]{{1,40}}?)》\s*第\s*([零一二三四五六七八九十百千0-9]+)\s*条"))
 
 
+def unique_citations(answer: Column) -> Column:
+    """Citations of an answer as (law, number as written), each once and in order, with blanks and either kind of quotes."""
+    return F.array_distinct(cited(answer, rf"(?U)[《〈]\\s*([^《》〈〉]{{2,80}}?)\\s*[》〉]\\s*第\\s*([{lexicon.NUMERALS}]+)\\s*条".replace("\\\\", "\\")))
+
+
 def cited(text: Column, pattern: str) -> Column:
     """All matches of a pattern with two groups, as (law, number)."""
     t = F.coalesce(text, F.lit(""))

@@ -333,8 +333,11 @@ def router_scores(rows: DataFrame, features: str, heads: dict[str, object]) -> D
     return rows.withColumn("score", F.array(*(one(h) for h in heads.values())))
 
 
-def min_max(value: str, group: list[str] | None = None) -> Column:
-    """Scaled to 0..1 within a group; a constant is 1, a null one half."""
-    w = Window.partitionBy(*(group or []))
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return F.when(F.col(value).isNull(), 0.5).when(hi == lo, 1.0).otherwise((F.col(value) - lo) / (hi - lo))
+def min_max(rows: DataFrame, group: list[str], value: str, name: str, by: list[str]) -> DataFrame:
+    """rows with a value scaled to 0..1 within its group; a constant is 1, a null one half. by: what tells rows of a group apart."""
+    from granary.operators.ranks import spread_join
+
+    ends = rows.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    x = spread_join(rows, ends, group, by)
+    scaled = F.when(F.col(value).isNull(), 0.5).when(F.col("_hi") == F.col("_lo"), 1.0).otherwise((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    return x.withColumn(name, scaled).drop("_lo", "_hi")

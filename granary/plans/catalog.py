@@ -259,7 +259,8 @@ def judge_rollup(spark: SparkSession, d: str) -> DataFrame:
 @query("min_max_columns", """SELECT s_suppkey, round(CASE WHEN max(s_acctbal) OVER w = min(s_acctbal) OVER w THEN 1.0 ELSE (s_acctbal - min(s_acctbal) OVER w) / (max(s_acctbal) OVER w - min(s_acctbal) OVER w) END, 9) AS scaled
   FROM supplier WINDOW w AS (PARTITION BY s_nationkey)""")
 def min_max_columns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select("s_suppkey", F.round(metrics.min_max("s_acctbal", ["s_nationkey"]), 9).alias("scaled"))
+    x = metrics.min_max(table(spark, d, "supplier"), ["s_nationkey"], "s_acctbal", "scaled", ["s_suppkey"])
+    return x.select("s_suppkey", F.round("scaled", 9).alias("scaled"))
 
 
 # ---- samples, labels, gates, packing
@@ -479,4 +480,4 @@ def judge_agreement(spark: SparkSession, d: str) -> DataFrame:
     return metrics.agreement(j, "l_orderkey", "l_linenumber", "s").withColumn("pearson", F.round("pearson", 6)).withColumn("spearman", F.round("spearman", 6))
 
 
-from granary.plans import corpus, evaluation, graphs, indexes  # noqa: E402, F401  (they register their queries)
+from granary.plans import corpus, evaluation, graphs, indexes, logs  # noqa: E402, F401  (they register their queries)
