@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from tempfile import gettempdir
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, as a class for Java's and DuckDB's regular expressions.
 SPACE = r"\x20\x09-\x0D"
+Worker = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,6 +54,24 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def tidy(run: Worker, *forget: Callable[[], object]) -> Worker:
+    """A worker's function that leaves nothing behind at the end of a partition: workers live on, several to an executor, and what each
+    keeps in caches and in freed but unreturned memory adds up."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def small_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
     """Keeps Arrow batches small, by rows and by bytes: what is in one batch sits in a Python worker together."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import free_name, shared
+from granary.llm.common import free_name, shared, tidy
 
 N, SCORE, BLOCK = 3, 0.42, 1_000_000
 MATCH, MISMATCH, GAP, PAD = 2, -1, -1, 12
@@ -198,7 +198,7 @@ def _passages(docs: DataFrame, block: Items, least: float) -> DataFrame:
 
     rows = docs.select(F.col("doc_id"), F.col("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, item_id long, k int, first int, words array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, item_id long, k int, first int, words array<int>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:
@@ -239,7 +239,7 @@ def _leaks(docs: DataFrame, block: Items, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, *found[1:]], ["doc_id", "item_id", *schema.names[1:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _passages(docs, block, least).mapInArrow(run, f"doc_id {kind}, item_id long, score double, n_equal int, first_word int, last_word int")
+    return _passages(docs, block, least).mapInArrow(tidy(run), f"doc_id {kind}, item_id long, score double, n_equal int, first_word int, last_word int")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import free_name, shared
+from granary.llm.common import free_name, shared, tidy
 
 WORDS, REGION, GROUP, PIVOTS, CANDIDATES = 5, 4000, 2000, 8, 32
 #: Buckets over which rows of one key are spread, and the share of all edges from which on a node counts as a hub.
@@ -51,7 +51,7 @@ class _Words(dict):
     """Word to hash, bounded by clearing."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -131,7 +131,7 @@ def _profile(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, ka long, kb long, n int, sketch binary, s long, c long")
+    return docs.mapInArrow(tidy(run, _words.clear), f"doc_id {kind}, th long, ka long, kb long, n int, sketch binary, s long, c long")
 
 
 def _memberships(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -146,7 +146,7 @@ def _memberships(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 ka = set_key(s)[0]
                 if not len(s) or ka in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(ka)
                 p = window(len(s))
@@ -159,7 +159,7 @@ def _memberships(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             if first:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(owner))], ["s", "ka"])
 
-    return docs.mapInArrow(run, "s long, ka long")
+    return docs.mapInArrow(tidy(run, _words.clear), "s long, ka long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def _regions(members: DataFrame, parts: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 name = _mix(np.add.reduceat(_mix(ka.view(np.uint64)), start) + size.astype(np.uint64)).view(np.int64)
             keep = size > 1
-            if len(done) > 500_000:
+            if len(done) > 200_000:
                 done.clear()
             if keep.any():
                 fresh = [n not in done and not done.add(n) for n in name[keep].tolist()]
@@ -215,7 +215,7 @@ def _regions(members: DataFrame, parts: int) -> DataFrame:
             if pick.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (np.repeat(name, size), ka, np.repeat(size, size))], ["region", "ka", "size"])
 
-    found = members.repartition(parts, "s").sortWithinPartitions("s", "ka").mapInArrow(run, "region long, ka long, size long")
+    found = members.repartition(parts, "s").sortWithinPartitions("s", "ka").mapInArrow(tidy(run), "region long, ka long, size long")
     return found.distinct()
 
 
@@ -293,7 +293,7 @@ def _candidate_edges(regions: DataFrame, sketches: DataFrame, parts: int) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     joined = regions.join(sketches, "ka").repartition(parts, "region").sortWithinPartitions("region", "ka")
-    return joined.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return joined.mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, kind: str = "long") -> DataFrame:
@@ -452,7 +452,7 @@ def _join_groups(rows: DataFrame, parts: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
 
-    return rows.repartition(parts, "grp").sortWithinPartitions("grp", "ka").mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, "grp").sortWithinPartitions("grp", "ka").mapInArrow(tidy(run), "a long, b long")
 
 
 def _spread(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
@@ -514,12 +514,12 @@ def _split_once(rows: DataFrame, level: int, group: int, parts: int) -> tuple[Da
     # Candidates for pivots: so many of each group on average. A group without one, if that should happen, is compared in blocks.
     drawn = F.pmod(F.xxhash64("ka", F.lit(level)), F.greatest(F.floor(F.col("m") / CANDIDATES), F.lit(1))) == 0
     some = rows.where(drawn).select("grp", "ka", "m", "bag")
-    pivots = some.repartition(parts, "grp").sortWithinPartitions("grp", "ka").mapInArrow(_pick, "grp long, k int, ka long, m long, bag binary").checkpoint()
+    pivots = some.repartition(parts, "grp").sortWithinPartitions("grp", "ka").mapInArrow(tidy(_pick), "grp long, k int, ka long, m long, bag binary").checkpoint()
     members = rows.select("grp", F.pmod(F.xxhash64("ka", F.lit("piece")), pieces).alias("i"), F.lit(None).cast("int").alias("k"), "ka", "bag")
     with_all = pivots.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("i"), "k", "ka", "bag")
     dealt = members.union(with_all).select(F.xxhash64("grp", "i").alias("piece"), "grp", "k", "ka", "bag")
     dealt = dealt.repartition(parts, "piece").sortWithinPartitions("piece", F.col("k").isNull(), "k", "ka")
-    measured = dealt.mapInArrow(_measure, "grp long, ka long, k int, p long, d double, link boolean, inside boolean").checkpoint()
+    measured = dealt.mapInArrow(tidy(_measure), "grp long, ka long, k int, p long, d double, link boolean, inside boolean").checkpoint()
     links = measured.where("link AND ka <> p").select(F.col("p").alias("a"), F.col("ka").alias("b"))
     outer = measured.where("inside AND NOT link").groupBy("grp", "k").agg(F.min("d").alias("least"))
     kept = _spread(measured.where("inside"), outer, ["grp", "k"]).where(F.expr(f"NOT link OR d >= least - {EPS} - 1e-9")).select("grp", "k", "ka").checkpoint()
@@ -574,7 +574,7 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int = REGION
             made = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "ka", "m")), pa.array(made, pa.binary())], ["grp", "ka", "m", "bag"])
 
-    sets = joined.mapInArrow(bags, "grp long, ka long, m long, bag binary").dropDuplicates(["grp", "ka", "bag"])
+    sets = joined.mapInArrow(tidy(bags, _words.clear), "grp long, ka long, m long, bag binary").dropDuplicates(["grp", "ka", "bag"])
     links: list[DataFrame] = []
     if not large.isEmpty():
         sets = sets.checkpoint()

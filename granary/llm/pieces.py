@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import tidy
+
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 #: Characters without a piece are symbols from here on.
@@ -30,7 +32,7 @@ SHIFT = 1 << 21
 #: The rank of pairs that are no piece.
 NONE = 1 << 40
 #: Segments in a worker's cache, characters in it, and characters encoded at a time.
-CACHE, CACHE_CHARS, AT_A_TIME = 400_000, 20_000_000, 4_000_000
+CACHE, CACHE_CHARS, AT_A_TIME = 200_000, 8_000_000, 1_000_000
 #: Characters from which on a segment is merged by itself.
 LONG = 1000
 
@@ -416,7 +418,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 at = to
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(run, lambda: load(where)._clear()), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import free_name
+from granary.llm.common import free_name, tidy
 
 PASSAGE, HASHED, HIDDEN, ATTENTION = 64, 256, 32, 16
 FIT_ROWS, FIT_PASSAGES, EPOCHS, STEPS, AT_A_TIME = 4000, 64, 14, 900, 1_000_000
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[part], "y": batch["y"].to_numpy()[part], "x": packed})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = texts.mapInPandas(run, f"doc_id {kind}, y int, x binary").collect()
+    got = texts.mapInPandas(tidy(run), f"doc_id {kind}, y int, x binary").collect()
     got = sorted(got, key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["x"], np.float16).astype(np.float32).reshape(-1, WIDTH) for r in got]
     begin = np.append(0, np.cumsum([len(b) for b in bags])).astype(np.int64)
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             column = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

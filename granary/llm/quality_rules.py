@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import LOWER, SPACE, UPPER, let
+from granary.llm.common import SPACE, UPPER, let
 
 #: Rules by bit: name and failure, from the measurements m. Integer arithmetic, so that every engine decides alike.
 RULES: tuple[tuple[str, str], ...] = (
