@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import lexicon
 from granary.functions import text as X
-from granary.operators import checks, decontamination, metrics, profiles, records, sampling, statutes
+from granary.operators import decontamination, profiles, records, sampling, statutes
 from granary.plans.registry import REGISTRY, rows_of, table
 from granary.sources import io
 
