@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.functions.columns import let
 from granary.functions.text import choice_letters, is_choice, statute_set, strip
 from granary.operators.ranks import running
 
@@ -72,19 +73,24 @@ def resampled(rows: DataFrame, group: list[str], key: str, iterations: int, seed
     """(group, iteration, w, sums of values) of resamples: in each iteration a row counts as often as a Poisson law has it, by the hash of
     seed, iteration and key. So rows need not meet: every task sums up its own, and any engine draws the same."""
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("iteration").cast("string"), F.col("_key"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    drawn = F.aggregate(F.array(*map(F.lit, _POISSON)), F.lit(0), lambda n, least: n + (F.col("_u") >= least).cast("int"))
+    drawn = let(number, lambda u: sum(((u >= least).cast("int") for least in _POISSON[1:]), (u >= _POISSON[0]).cast("int")))
     each = rows.select(*group, F.col(key).cast("string").alias("_key"), *(v.cast("double").alias(n) for n, v in values.items()))
-    each = each.select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")).withColumn("_u", number).withColumn("_w", drawn).where("_w > 0")
-    return each.groupBy(*group, "iteration").agg(F.sum("_w").alias("w"), *(F.sum(F.col("_w") * F.col(n)).alias(n) for n in values))
+    each = each.select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")).withColumn("_w", drawn)
+    return each.groupBy(*group, "iteration").agg(F.sum("_w").alias("w"), *(F.sum(F.col("_w") * F.col(n)).alias(n) for n in values)).where("w > 0")
+
+
+def _interval(means: DataFrame, group: list[str], level: float) -> DataFrame:
+    """(group, ci_lo, ci_hi) of resampled means, of which there are as many as iterations in each group."""
+    side = (1 - level) / 2
+    x = means.groupBy(*group).agg(F.percentile("m", [side, 1 - side]).alias("p"))
+    return x.select(*group, F.get("p", F.lit(0)).alias("ci_lo"), F.get("p", F.lit(1)).alias("ci_hi"))
 
 
 def bootstrap(rows: DataFrame, group: str, key: str, value: str, iterations: int = 10_000, level: float = 0.95, seed: str = "42") -> DataFrame:
     """(group, mean, ci_lo, ci_hi): percentile interval of the mean, over resamples."""
     some = rows.where(F.col(value).isNotNull())
     means = resampled(some, [group], key, iterations, seed, total=F.col(value)).select(group, (F.col("total") / F.col("w")).alias("m"))
-    side = (1 - level) / 2
-    interval = percentiles(means, [group], "m", {"ci_lo": side, "ci_hi": 1 - side})
-    return some.groupBy(group).agg(F.avg(value).alias("mean")).join(interval, group)
+    return some.groupBy(group).agg(F.avg(value).alias("mean")).join(_interval(means, [group], level), group)
 
 
 def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, iterations: int = 10_000, level: float = 0.95, seed: str = "42") -> DataFrame:
@@ -92,8 +98,7 @@ def paired_bootstrap(rows: DataFrame, key: str, a: str, b: str, iterations: int
     some = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, (F.col(b) - F.col(a)).alias("d"))
     counts = paired_counts(some.withColumn("_0", F.lit(0.0)), "d", "_0")
     drawn = resampled(some, [], key, iterations, seed, total=F.col("d")).select((F.col("total") / F.col("w")).alias("m"))
-    side = (1 - level) / 2
-    interval = percentiles(drawn, [], "m", {"ci_lo": side, "ci_hi": 1 - side})
+    interval = _interval(drawn, [], level)
     far = drawn.crossJoin(F.broadcast(counts.select("diff"))).agg((F.count_if(F.abs(F.col("m") - F.col("diff")) >= F.abs("diff")) + 1).alias("far"))  # one row is sent along
     return counts.crossJoin(F.broadcast(interval)).crossJoin(F.broadcast(far)).select(F.col("diff").alias("gain"), "ci_lo", "ci_hi", (F.col("far") / (iterations + 1)).alias("p"), "win", "tie", "loss")
 

@@ -274,11 +274,12 @@ def stratified_pick(spark: SparkSession, d: str) -> DataFrame:
     return sampling.pick_per_stratum(t, ["lang"], quota, "s", "doc_id")
 
 
-@query("quota_allocation")
+@query("quota_allocation", """WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), f AS (SELECT source, least(n, 5) AS f, CASE WHEN n > 5 THEN n - 5 ELSE 0 END AS w FROM c), t AS (SELECT (SELECT sum(n) // 2 FROM c) - sum(f) AS rest, sum(w) AS w FROM f),
+x AS (SELECT source, f, rest * f.w // t.w AS s, rest * f.w % t.w AS r, rest FROM f, t), k AS (SELECT *, row_number() OVER (ORDER BY r DESC, source) AS k, rest - sum(s) OVER () AS more FROM x) SELECT source, CAST(f + s + CASE WHEN k <= more THEN 1 ELSE 0 END AS BIGINT) AS quota FROM k""")
 def quota_allocation(spark: SparkSession, d: str) -> DataFrame:
-    n = {r["source"]: r["count"] for r in table(spark, d, "documents").groupBy("source").count().collect()}  # one row per source
-    got, _ = sampling.allocate(n, sum(n.values()) // 2, floor=5)
-    return spark.createDataFrame(sorted(got.items()), "source string, quota long")
+    """Half of the documents by source: a floor of five each, the rest in proportion to what is left."""
+    t = table(spark, d, "documents")
+    return sampling.mapped_quota(t, ["source"], t.count() // 2, floor=5)
 
 
 @query("build_splits", """WITH r AS (SELECT doc_id FROM documents ORDER BY substr(sha1('router' || chr(0) || doc_id), 1, 16) LIMIT 20), x AS (SELECT doc_id, lang, doc_id IN (SELECT doc_id FROM r) AS router FROM documents),
