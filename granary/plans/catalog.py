@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.operators import decontamination, fingerprints, gates, labels, metrics, packing, profiles, records, retrieval, sampling
-from granary.plans.catalog_sql import DRAWN, RESAMPLED
+from granary.plans.catalog_sql import DRAWN, RESAMPLED, simhash_sql
 from granary.plans.registry import REGISTRY, table
 
 query = REGISTRY.query
@@ -52,12 +52,17 @@ def tolerant_json(spark: SparkSession, d: str) -> DataFrame:
 # ---- fingerprints and joins
 
 
-@query("simhash_documents")
+@query("simhash_documents", f"SELECT doc_id, hash FROM {simhash_sql('documents', 'doc_id', 'text')}")
 def simhash_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", fingerprints.simhash(F.col("text")).alias("hash"))
 
 
-@query("near_dup_bench_join")
+BARE = r"regexp_replace(text, '[ \t\r\n　]', '', 'g')"
+
+
+@query("near_dup_bench_join", f"""WITH d AS (SELECT doc_id, {BARE} AS t FROM documents), i AS (SELECT item_id, {BARE} AS t FROM benchmark), a AS (SELECT * FROM {simhash_sql("(SELECT * FROM d WHERE length(t) >= 8)", "doc_id", "t")}),
+b AS (SELECT * FROM {simhash_sql("(SELECT * FROM i WHERE length(t) >= 8)", "item_id", "t")}), m AS (SELECT doc_id, item_id, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM a, b WHERE bit_count(xor(a.hash, b.hash)) <= 3)
+SELECT doc_id, item_id, distance FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, item_id) = 1""")
 def near_dup_bench_join(spark: SparkSession, d: str) -> DataFrame:
     hashed = lambda name, key: decontamination.fingerprinted(table(spark, d, name).select(key, "text"), "text").select(key, "hash")
     return fingerprints.near_pairs(hashed("documents", "doc_id"), hashed("benchmark", "item_id"), "doc_id", "item_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import lexicon
 from granary.functions import text as X
 from granary.operators import decontamination, profiles, records, sampling, statutes
+from granary.plans.catalog_sql import simhash_sql
 from granary.plans.registry import REGISTRY, rows_of, table
 from granary.sources import io
 
@@ -352,7 +353,12 @@ def exact_hits(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.hits(_sides(spark, d), _items(spark, d), "uid", near=None)
 
 
-@query("near_hits")
+NEAR_SQL = f"""{SQL_HITS}, r AS (SELECT uid || '/' || side AS r, uid, side, t FROM s WHERE length(t) >= 8 AND (uid, side) NOT IN (SELECT (uid, side) FROM h)), i AS (SELECT item_id, {BARE.format('text')} AS t FROM benchmark),
+a AS (SELECT * FROM {simhash_sql("r", "r", "t")}), b AS (SELECT * FROM {simhash_sql("(SELECT * FROM i WHERE length(t) >= 8)", "item_id", "t")}),
+m AS (SELECT r, item_id, CAST(bit_count(xor(a.hash, b.hash)) AS INT) AS distance FROM a, b WHERE bit_count(xor(a.hash, b.hash)) <= 3 QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, item_id) = 1)"""
+
+
+@query("near_hits", f"WITH {NEAR_SQL} SELECT uid, side, 'exact' AS kind, item_id, CAST(0 AS INT) AS distance FROM h UNION ALL SELECT uid, side, 'near', item_id, distance FROM m JOIN r USING (r)")
 def near_hits(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.hits(_sides(spark, d), _items(spark, d), "uid")
 
