@@ -15,6 +15,13 @@ def _equal(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
     return out
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows on as many partitions as there are cores, if they are on fewer: a file with a single row group is one task, which is too few
+    for work in Python. Tables of many files stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def spread_join(rows: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner", ways: int = WAYS) -> DataFrame:
     """rows joined to a table with one row for each key. A key may have most of all rows, so each key is dealt over `ways` tasks by the
     hash of `by`, and the table, which has a row for each key only, is copied to them."""
