@@ -4,18 +4,21 @@ Jaccard distance is a metric, so that pivots and the triangle inequality can spl
 shingle are at distance 1, and to nearly every document nearly all others are: document pivots alone would replicate everything
 everywhere. So there are two levels of pivots.
 
-1. Pivots are the shingles themselves (sets of one): a document's Voronoi region is that of its first shingle in one fixed order
-   (frequent ones last, then by hash), and its window has all regions in which a partner within the distance can have its own
-   first common shingle, that is its first n - ceil(3n/4) + 1 shingles. Regions with the same members are kept once. In a region
-   a sketch (counts of shingles by bucket; their L1 distance is no larger than the symmetric difference) tells what cannot be
-   close; what may be close is connected, and the connected groups go on.
+1. Pivots are pairs of shingles that stand beside each other in one fixed order (frequent ones last, then by hash): a document's
+   Voronoi region is that of its first pair, and its window has all regions in which a partner within the distance can have the
+   first pair that both hold. A shingle that only the document has parts two of its pairs, one that only the partner has parts one,
+   so that no more than 2x + y pairs are not held by both, with x + y <= (n - x) / 3: the window is the first n / 2 pairs or so. (Single
+   shingles would need n / 4 only, but those of frequent words meet by chance, and the more the larger the corpus; pairs hardly do,
+   so that what goes on grows with the near copies alone.) Regions with the same members are kept once. In a region a sketch
+   (counts of shingles by bucket; their L1 distance is no larger than the symmetric difference) tells what cannot be close; what may
+   be close is connected, and the connected groups go on.
 2. In a group pivots are documents. Distances to them are exact; a document within the radius of a pivot is linked with it, the
    pairs of what is linked to one pivot need no further look, and triangle windows decide what must still meet: regions by
    nearest pivot, boundary documents replicated, joined recursively. Only where the windows gain nothing (the squares of the regions'
    sizes do not halve) is a region compared in full, without what is connected already or what the distances exclude. Groups of more
    than `GROUP` members are split so by Spark first, level by level, in even pieces of which each meets the pivots; as the squares
    halve, there are at most 2 log2(members / GROUP) levels, and a group whose squares do not halve is compared in pairs of blocks of
-   half of `GROUP`. Smaller groups are split within a task. A region of one shingle with more than `REGION` members, too many to
+   half of `GROUP`. Smaller groups are split within a task. A region of one pair with more than `REGION` members, too many to
    compare sketches in a task, is connected as it stands: its members are one group, each once, and pivots part it.
 
 Documents with equal sets are one member throughout, so that copies cost nothing. Results are the connected components.
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import free_name, shared, tidy
+from granary.llm.common import forget_shuffles, free_name, shared, tidy
 
 WORDS, REGION, GROUP, PIVOTS, CANDIDATES = 5, 4000, 2000, 8, 32
 #: Buckets over which rows of one key are spread, and the share of all edges from which on a node counts as a hub.
@@ -43,6 +46,8 @@ SPREAD, HUB, HUB_LEAST = 32, 0.001, 200
 #: A shingle is frequent from this share of all rows on: there are at most mean set size / share of them, so they can be sent along.
 FREQUENT, BATCH_SHARE, BATCH_LEAST = 0.005, 0.02, 4
 LEAST_BUCKETS = 64
+#: Members that a task packs at a time; buckets of pairs to a partition; the bits of a set's key that a member has.
+PACKED, BUCKETS, SHORT = 500_000, 8, (1 << 40) - 1
 EPS = 0.25
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
@@ -92,8 +97,14 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def window(n: int) -> int:
-    """How many first shingles of n two sets at 0.75 or more must have one in common of."""
-    return n - (3 * n + 3) // 4 + 1 if n else 0
+    """How many first pairs of n shingles two different sets at 0.75 or more must have one in common of."""
+    return min(n - 1, n // 4 + (n - n // 4) // 3 + 1) if n > 2 else 0
+
+
+def pairs(s: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles that stand beside each other."""
+    with np.errstate(over="ignore"):
+        return _mix(_mix(s[:-1]) + s[1:] * _K[0])
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -134,32 +145,70 @@ def _profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(tidy(run, _words.clear), f"doc_id {kind}, th long, ka long, kb long, n int, sketch binary, s long, c long")
 
 
-def _memberships(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(s, ka): each set with the shingles of its window; copies within a task once."""
+def _memberships(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, raw): each set with the pairs of its window, by bucket of the pair; copies within a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        first, owner, held = [], [], 0
         for batch in batches:
-            first, owner = [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text)
-                ka = set_key(s)[0]
-                if not len(s) or ka in seen:
+                p = window(len(s))
+                if not p or (ka := set_key(s)[0]) in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(ka)
-                p = window(len(s))
                 if len(hot):
                     late = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                    if late[:p].any():
+                    if late[: p + 1].any():
                         s = np.concatenate([s[~late], s[late]])
-                first.append(s[:p])
+                first.append(pairs(s[: p + 1]))
                 owner.append(np.full(p, ka, np.int64))
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(owner))], ["s", "ka"])
-
-    return docs.mapInArrow(tidy(run, _words.clear), "s long, ka long")
+                held += p
+                if held >= PACKED:
+                    yield _pack(np.concatenate(first), np.concatenate(owner), buckets)
+                    first, owner, held = [], [], 0
+        if held:
+            yield _pack(np.concatenate(first), np.concatenate(owner), buckets)
+
+    return docs.mapInArrow(tidy(run, _words.clear), "bucket int, raw binary")
+
+
+def _pack(pair: np.ndarray, ka: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: four bytes of each member's pair, in order, and five of its key, each byte's place by itself. Members of
+    different pairs that meet so are a few in 100,000, and are told apart as all others that are not close."""
+    low = pair.astype(np.uint32)
+    bucket = ((pair >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | low)
+    low, bucket = low[order].view(np.uint8).reshape(-1, 4), bucket[order]
+    key = ka[order].view(np.uint8).reshape(-1, 8)[:, :5]
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    raw = [low[lo:hi].T.tobytes() + key[lo:hi].T.tobytes() for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(low)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(raw, pa.binary())], ["bucket", "raw"])
+
+
+def _unpack(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and short keys of the members of a bucket's rows, of pairs that two or more have, in order and each once."""
+    low, short = [], []
+    for x in raw:
+        planes = np.frombuffer(x.as_buffer(), np.uint8).reshape(9, -1)
+        low.append(np.ascontiguousarray(planes[:4].T).view(np.uint32).ravel())
+        wide = np.zeros((planes.shape[1], 8), np.uint8)
+        wide[:, :5] = planes[4:].T
+        short.append(wide.view(np.int64).ravel())
+    s, k = np.concatenate(low), np.concatenate(short)
+    order = np.argsort(s)
+    s = s[order]
+    same = s[1:] == s[:-1]
+    some = np.append(False, same) | np.append(same, False)
+    s, k = s[some], k[order[some]]
+    order = np.lexsort((k, s))
+    s, k = s[order], k[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])  # copies from several tasks
+    return s[new], k[new]
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -193,18 +242,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _regions(members: DataFrame, parts: int) -> DataFrame:
-    """(region, ka, size) of regions with two members or more; those with the same members have one name."""
+    """(region, short, size) of regions with two members or more; those with the same members have one name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        for batch in _runs(batches, "s"):
-            s, ka = batch.column("s").to_numpy(), batch.column("ka").to_numpy()
-            new = np.append(True, (s[1:] != s[:-1]) | (ka[1:] != ka[:-1]))  # copies from several tasks
-            s, ka = s[new], ka[new]
+        for batch in _runs(batches, "bucket"):
+            s, k = _unpack(batch.column("raw"))
+            if not len(s):
+                continue
             start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             size = np.diff(np.append(start, len(s)))
             with np.errstate(over="ignore"):
-                name = _mix(np.add.reduceat(_mix(ka.view(np.uint64)), start) + size.astype(np.uint64)).view(np.int64)
+                name = _mix(np.add.reduceat(_mix(k.view(np.uint64)), start) + size.astype(np.uint64)).view(np.int64)
             keep = size > 1
             if len(done) > 200_000:
                 done.clear()
@@ -213,9 +262,9 @@ def _regions(members: DataFrame, parts: int) -> DataFrame:
                 keep[np.flatnonzero(keep)[~np.array(fresh)]] = False
             pick = np.repeat(keep, size)
             if pick.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (np.repeat(name, size), ka, np.repeat(size, size))], ["region", "ka", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (np.repeat(name, size), k, np.repeat(size, size))], ["region", "short", "size"])
 
-    found = members.repartition(parts, "s").sortWithinPartitions("s", "ka").mapInArrow(tidy(run), "region long, ka long, size long")
+    found = members.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "region long, short long, size long")
     return found.distinct()
 
 
@@ -292,7 +341,7 @@ def _candidate_edges(regions: DataFrame, sketches: DataFrame, parts: int) -> Dat
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    joined = regions.join(sketches, "ka").repartition(parts, "region").sortWithinPartitions("region", "ka")
+    joined = regions.join(sketches, "short").drop("short").repartition(parts, "region").sortWithinPartitions("region", "ka")
     return joined.mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
 
@@ -556,10 +605,11 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int = REGION
     hot = np.sort(np.array([r["s"] for r in often.where(F.col("c") >= many).select("s").collect()], np.int64).view(np.uint64))
     # One row for each different set; its key's first half names it in what follows, the second half tells twins apart.
     classes = rows.where("n > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    regions = _regions(_memberships(texts.select("text"), hot), parts)
-    regions = regions.checkpoint()
-    edges = _candidate_edges(regions.where(F.col("size") <= region).select("region", "ka"), classes.select("ka", "n", "sketch"), parts)
-    large = regions.where(F.col("size") > region)
+    regions = _regions(_memberships(texts.select("text"), hot, BUCKETS * parts), parts).checkpoint()
+    forget_shuffles(spark)
+    short = F.col("ka").bitwiseAND(F.lit(SHORT)).alias("short")
+    edges = _candidate_edges(regions.where(F.col("size") <= region).select("region", "short"), classes.select(short, "ka", "n", "sketch"), parts)
+    large = regions.where(F.col("size") > region).join(classes.select(short, "ka"), "short").select("region", "ka")
     least = large.groupBy("region").agg(F.min("ka").alias("a"))
     groups = components(edges.union(_spread(large, least, ["region"]).where("a <> ka").select("a", F.col("ka").alias("b"))))
     # The sets of what has a candidate, each once, with the size of its group if that is large.

@@ -337,6 +337,35 @@ def test_jaccard_join(spark, docs, rows, region, group):
     assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == sorted(components(rows + more), key=repr)
 
 
+def test_windows_hold_a_common_pair():
+    """Sets at 0.75 or more, also with all that differs in front and dealt so as to part most pairs, share a pair within both windows."""
+    r = random.Random(12)
+    pair_set = lambda s: set(jaccard_join.pairs(s[: jaccard_join.window(len(s)) + 1]).tolist()) if jaccard_join.window(len(s)) else set()
+    for o in [*range(3, 60), 200, 1000]:
+        for trial in range(12):
+            only = o // 3 if trial % 3 else r.randrange(1, o // 3 + 1)
+            of_a = [only, 0, only // 2, r.randrange(only + 1)][trial % 4]
+            # Common shingles have even places; what differs stands between them, from the front or anywhere.
+            places = list(range(1, 2 * o, 2))[:only] if trial % 2 else r.sample(range(1, 2 * o, 2), only)
+            r.shuffle(places)
+            common = set(range(0, 2 * o, 2))
+            a, b = (np.array(sorted(common | set(x)), np.uint64) for x in (places[:of_a], places[of_a:]))
+            assert pair_set(a) & pair_set(b), (o, only, of_a, trial)
+
+
+def test_chance_meetings_make_no_regions(spark, monkeypatch):
+    """Texts of few words share shingles by chance, the more the larger the table; what goes on must grow with near copies only."""
+    r = random.Random(13)
+    words = ["the", "of", "and", "to", "in", "is", "on", "it"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(100, 160)))) for i in range(600)]
+    rows += [(1000 + i, t[: t.rfind(" ")] + " end") for i, t in rows[:20]]
+    met, real = [], jaccard_join._candidate_edges
+    monkeypatch.setattr(jaccard_join, "_candidate_edges", lambda regions, *a: (met.append(regions.count()), real(regions, *a))[1])
+    got = jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted_rows(got, "doc_id", "n_shingles", "component_id") == sorted(components(rows), key=repr)
+    assert 40 <= met[0] < 400
+
+
 def chain(n, step=2, length=20, seed=3):
     """Texts that each link with the next only: windows over one long row of words."""
     r = random.Random(seed)
