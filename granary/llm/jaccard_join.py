@@ -362,6 +362,7 @@ def components(edges: DataFrame, kind: str = "long") -> DataFrame:
         now = small.checkpoint()
         same = edges.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(edges, ["a", "b"], "left_anti").isEmpty()
         edges = now
+        forget_shuffles(edges.sparkSession)  # what earlier rounds wrote goes
         if same:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
@@ -628,12 +629,15 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, region: int = REGION
     links: list[DataFrame] = []
     if not large.isEmpty():
         sets = sets.checkpoint()
+        forget_shuffles(spark)  # the texts' shuffle goes
         todo, level, small = sets.where(F.col("m") > group), 0, [sets.where(F.col("m") <= group).select("grp", "ka", "bag")]
         while True:
             found, further, blocks = _split_once(todo, level, group, parts)
             links.append(found)
             small += [blocks, further.where(F.col("m") <= group).select("grp", "ka", "bag")]
             todo, level = further.where(F.col("m") > group), level + 1
+            del found, further, blocks
+            forget_shuffles(spark)
             if todo.isEmpty():
                 break
         sets = small[0]

@@ -2,10 +2,11 @@
 
 import hashlib
 import random
+import time
 
 import corpus_pipeline
 import pytest
-from granary.llm import decontaminate, jaccard_join, pieces
+from granary.llm import common, decontaminate, jaccard_join, pieces
 from pyspark.sql import functions as F
 
 
@@ -72,3 +73,20 @@ def test_run(spark, folder):
     key = lambda df: sorted((r["doc_id"], r["ids_sha256"]) for r in df.collect())
     got = key(corpus_pipeline.run(spark, folder))
     assert got == key(docs) and 90_002 not in {i for i, _ in got} and 90_006 not in {i for i, _ in got}
+
+
+def test_near_duplicates_forget_their_shuffles(spark, small, monkeypatch):
+    """Shuffle files of what is written go while the stage runs, not at its end."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: manager.getAllFiles().length()
+    fell = []
+
+    def counted(session):
+        had = files()
+        common.forget_shuffles(session)
+        time.sleep(0.5)
+        fell.append(had - files())
+
+    monkeypatch.setattr(jaccard_join, "forget_shuffles", counted)
+    corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{small}/documents.parquet"), small).count()
+    assert len(fell) >= 3 and max(fell) > 0
