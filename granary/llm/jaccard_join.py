@@ -8,8 +8,7 @@ everywhere. So there are two levels of pivots.
    Voronoi region is that of its first pair, and its window has all regions in which a partner within the distance can have the
    first pair that both hold. A shingle that only the document has parts two of its pairs, one that only the partner has parts one,
    so that no more than 2x + y pairs are not held by both, with x + y <= (n - x) / 3: the window is the first n / 2 pairs or so. (Single
-   shingles would need n / 4 only, but those of frequent words meet by chance, and the more the larger the corpus; pairs hardly do,
-   so that what goes on grows with the near copies alone.) Regions with the same members are kept once. In a region a sketch
+   shingles would need n / 4 only, but those of frequent words meet by chance more often.) Regions with the same members are kept once. In a region a sketch
    (counts of shingles by bucket; their L1 distance is no larger than the symmetric difference) tells what cannot be close; what may
    be close is connected, and the connected groups go on.
 2. In a group pivots are documents. Distances to them are exact; a document within the radius of a pivot is linked with it, the

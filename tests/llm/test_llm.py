@@ -354,7 +354,7 @@ def test_windows_hold_a_common_pair():
 
 
 def test_chance_meetings_make_no_regions(spark, monkeypatch):
-    """Texts of few words share shingles by chance, the more the larger the table; what goes on must grow with near copies only."""
+    """Texts of few words share shingles by chance; few of these meetings may go on."""
     r = random.Random(13)
     words = ["the", "of", "and", "to", "in", "is", "on", "it"]
     rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(100, 160)))) for i in range(600)]
