@@ -4,17 +4,23 @@ Ids. A text is the subword ids of its words (A-Z lower-cased), each word's first
 once and writes them; training and scoring read ids only. A word is named by a 64-bit hash of its ids, which are different for
 different words.
 
-Counts, all of them over every training document and none cut off: words; ids that begin words; and, for each of these, a hashed
-profile of the ids that begin the words beside it. Of the words, those that are frequent in all documents together (`KNOWN` at
-most) are sent along; the counts of the others are joined to the documents that hold them, so that no table grows with the corpus.
-The other tables have a size that the vocabulary of subwords sets.
-
-Model. First ids are clustered by their profiles into classes. The probability of a word is that of its first id's class given the
-context, times the word's share of its class: its count and a tenth, where unseen words are one more word of each class. The
-class comes from self-attention over the words before: blocks of `BLOCK` words, each with the block before it as context, so that
-windows overlap and every word is scored once, all blocks of a batch at a time under one causal mask; a word enters as the
-vectors of its first id's cluster and of its last id's last byte. The end is a class of its own. All factors sum to one. Every
-training document is trained on, each task's from the same start; the parameters are averaged by words seen, in a tree.
+Counts, all of them over every training document and none cut off: words; ids that begin words and ids inside words; and, for each
+of these, a hashed profile of the ids beside it (of the neighbouring words' first ids; inside words, of the ids before and after).
+Word counts give the base score. Of the words, those that are frequent in all documents together (`KNOWN` at most) are sent along;
+the counts of the others are joined to the documents that hold them, so that no table grows with the corpus. The other tables have
+a size that the vocabulary of subwords sets.
+
+Model (`IdModel`). What is read and predicted are events: an id that begins a word, an id inside a word, the end. Events are
+clustered by their profiles into classes; attention predicts the class of the next event and then, by a binary tree over the class's
+events (Huffman's), which of them it is: each choice on the way is made by what attention gives. Untrained, all this is the events'
+smoothed counts. Attention is over the events before: blocks of `BLOCK` events, each with the block before it as context, so that
+windows overlap and every event is scored once, all blocks of a batch at a time under one causal mask; an event enters as the vectors
+of its cluster, of its last byte and of its own. All factors sum to one, so that the score is a text's probability among all
+sequences of ids. Every training document is trained on, each task's from the same start; the parameters are averaged by events
+seen, in a tree.
+
+`Model` is the same attention over words (a word enters by its first id's cluster and its last byte, only the class of the next first
+id is predicted, the word's share of its class comes from its count). `IdModel` builds on it; `score` and the query use `IdModel`.
 
 Cases: null and empty texts are one end; repeated rows score alike; documents without an id count as held out or not by the
 empty id; without training documents counts are zero and all classes are alike; an empty table gives no rows;
@@ -23,6 +29,7 @@ of the input only id and text are read. A long text is scored in blocks; a worke
 
 from __future__ import annotations
 
+import heapq
 import pickle
 import uuid
 from collections.abc import Iterator
@@ -43,7 +50,7 @@ BLOCK, WIDTH, CLASSES, CLUSTERS, BYTES, PROFILE = 8, 12, 40, 256, 128, 32
 LITTLE, CHUNK, MANY = 0.1, 6_000_000, 1_000_000
 #: The bit of a stored id that marks a word's first one; ids are below it.
 FIRST = 1 << 15
-WORD, BEGIN, BESIDE = range(3)
+WORD, BEGIN, BESIDE, INNER, AMONG = range(5)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -127,6 +134,7 @@ def tokenised(docs: DataFrame, path: str, folder: str) -> DataFrame:
         model = subwords.load(path)
         size = model.size
         hashed, beside, begins = _hashed(size), np.zeros(size * 2 * PROFILE, np.int64), np.zeros(size, np.int64)
+        inners, among = np.zeros(size, np.int64), np.zeros(size * 2 * PROFILE, np.int64)
         seen: list[tuple[np.ndarray, ...]] = []
         batch = None
         for batch in _chunks(batches, "text", CHUNK):
@@ -139,6 +147,13 @@ def tokenised(docs: DataFrame, path: str, folder: str) -> DataFrame:
             total, train = np.bincount(index, minlength=len(word_at) - 1), np.bincount(index[learned], minlength=len(word_at) - 1)
             wide = ids_of.astype(np.int64)
             begins += np.bincount(wide[word_at[:-1]], weights=train, minlength=size).astype(np.int64)
+            inside = np.ones(len(wide) + 1, bool)
+            inside[word_at] = False
+            k = np.flatnonzero(inside[:-1])
+            times, after = np.repeat(train, np.diff(word_at))[k], np.where(inside[k + 1], hashed[wide[np.minimum(k + 1, len(wide) - 1)]], 0)
+            inners += np.bincount(wide[k], weights=times, minlength=size).astype(np.int64)
+            cell = wide[k] * 2 * PROFILE
+            among += np.bincount(np.concatenate([cell + after, cell + PROFILE + hashed[wide[k - 1]]]), weights=np.tile(times, 2), minlength=len(among)).astype(np.int64)
             seen.append((names(wide, word_at[:-1]), wide[word_at[:-1]], train, total))
             if sum(len(x[0]) for x in seen) > MANY:
                 seen = [_merged(seen)]
@@ -156,7 +171,7 @@ def tokenised(docs: DataFrame, path: str, folder: str) -> DataFrame:
         if batch is not None:
             if seen:
                 yield from _typed(_counts(WORD, *_merged(seen)), batch)
-            for kind, cells in ((BEGIN, begins), (BESIDE, beside)):
+            for kind, cells in ((BEGIN, begins), (BESIDE, beside), (INNER, inners), (AMONG, among)):
                 key = np.flatnonzero(cells)
                 yield from _typed(_counts(kind, key, np.zeros(len(key)), cells[key], cells[key]), batch)
 
@@ -231,6 +246,9 @@ def clusters(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12) -> np.
 class Model:
     """What the counts say, and attention parameters p. Ids: those of the subwords; `size` stands for a word's end."""
 
+    #: Rows of a training step.
+    step_rows = 256
+
     def __init__(self, last: np.ndarray, begins: np.ndarray, different: np.ndarray, beside: np.ndarray, n_ends: int) -> None:
         """last: code of each id's last byte; begins: of words, by first id; different: how many words, by first id; beside: profiles
         by id; n_ends: of texts."""
@@ -262,25 +280,52 @@ class Model:
     def blocks(self, first: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For texts of n words with these first ids and last ids: the words before (two rows of E each), classes of the next ones (-1:
         none), as rows of BLOCK, which rows are a text's first, and where each text's words begin in the flat order, ends included."""
+        return self._laid(np.stack([self.cluster[first], CLUSTERS + 1 + self.last[last]], axis=1), self.cls[first], n)
+
+    def _laid(self, rows_of: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         rows = n // BLOCK + 1
         start = np.cumsum(rows) - rows
         total = int(rows.sum())
-        ctx = np.full((total * BLOCK, 2), self.start, np.int64)
+        ctx = np.full((total * BLOCK, rows_of.shape[1]), self.start, np.int64)
         nxt = np.full(total * BLOCK, -1, np.int64)
-        spot = np.repeat(start * BLOCK - (np.cumsum(n) - n), n) + np.arange(len(first))
-        nxt[spot] = self.cls[first]
+        spot = np.repeat(start * BLOCK - (np.cumsum(n) - n), n) + np.arange(len(code))
+        nxt[spot] = code
         nxt[start * BLOCK + n] = 0
-        # A word is context for the next one; that of a full row's last word is the next row's first place.
-        ctx[spot + 1, 0], ctx[spot + 1, 1] = self.cluster[first], CLUSTERS + 1 + self.last[last]
+        # What is read is context for the next one; that of a full row's last one is the next row's first place.
+        ctx[spot + 1] = rows_of
         is_first = np.zeros(total, bool)
         is_first[start] = True
-        return ctx.reshape(-1, BLOCK, 2), nxt.reshape(-1, BLOCK), is_first, start * BLOCK
+        return ctx.reshape(-1, BLOCK, rows_of.shape[1]), nxt.reshape(-1, BLOCK), is_first, start * BLOCK
+
+    def texts(self, ids: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks of texts of n words, words beginning in ids at begin."""
+        return self.blocks(ids[begin], ids[np.append(begin, len(ids))[1:] - 1], n)
+
+    def class_of(self, nxt: np.ndarray) -> np.ndarray:
+        return nxt
+
+    def rest(self, u: np.ndarray, nxt: np.ndarray) -> np.ndarray | float:
+        """ln of the probability of what comes next given its class, as far as attention gives it."""
+        return 0.0
+
+    def rest_gradient(self, u: np.ndarray, nxt: np.ndarray, g: dict) -> np.ndarray | float:
+        """Of the mean loss by u; puts that by the rest's parameters into g."""
+        return 0.0
+
+    def rows_gradient(self, where: np.ndarray, value: np.ndarray) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+        """Of E: the sums of value (a row for each column of E) by row of E."""
+        return np.stack([np.bincount(where, weights=row, minlength=len(self.p["E"])) for row in value], axis=1).astype(np.float32)
+
+    def entered(self, ctx: np.ndarray) -> np.ndarray:
+        x = self.p["E"][ctx[..., 0]]
+        for j in range(1, ctx.shape[-1]):
+            x += self.p["E"][ctx[..., j]]
+        return x
 
     def forward(self, ctx: np.ndarray, is_first: np.ndarray) -> dict[str, np.ndarray]:
         """Logits of classes for rows 1.. of ctx; each has the row before it as context, if it is not a text's first."""
         p = self.p
-        x = p["E"][ctx[..., 0]]
-        x += p["E"][ctx[..., 1]]
+        whole = x = self.entered(ctx)
         k, v = x @ p["K"], x @ p["V"]
         x = x[1:]
         q = x @ (p["Q"] * np.float32(1 / np.sqrt(WIDTH)))
@@ -297,33 +342,35 @@ class Model:
         np.tanh(u, out=u)
         logits = u @ p["O"]
         logits += self.prior
-        return {"x": x, "q": q, "kk": kk, "vv": vv, "s": s, "h": h, "u": u, "logits": logits}
+        return {"whole": whole, "x": x, "q": q, "kk": kk, "vv": vv, "s": s, "h": h, "u": u, "logits": logits}
 
     def log_class(self, ctx: np.ndarray, nxt: np.ndarray, is_first: np.ndarray, at_a_time: int = 1024) -> np.ndarray:
-        """log10 of the probability of each next word's class (0 where there is none), float64."""
+        """log10 of the probability of each next word's class (0 where there is none), float64; of each next event in an `IdModel`."""
         out = np.zeros(nxt.shape)
         for lo in range(0, len(ctx), at_a_time):
             rows = slice(lo, min(len(ctx), lo + at_a_time))
             before = np.r_[max(lo - 1, 0), np.arange(lo, rows.stop)]
-            z = self.forward(ctx[before], is_first[before])["logits"]
-            own = np.take_along_axis(z, np.maximum(nxt[rows], 0)[..., None], 2)[..., 0]
+            f = self.forward(ctx[before], is_first[before])
+            z = f["logits"]
+            own = np.take_along_axis(z, np.maximum(self.class_of(nxt[rows]), 0)[..., None], 2)[..., 0]
             np.minimum(z, 60, out=z)
-            out[rows] = own - np.log(np.exp(z, out=z).sum(axis=2))
+            out[rows] = own - np.log(np.exp(z, out=z).sum(axis=2)) + self.rest(f["u"], nxt[rows])
         return np.where(nxt >= 0, out / np.log(10), 0)
 
     def gradient(self, ctx: np.ndarray, nxt: np.ndarray, is_first: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over the next words of rows 1.. ; row 0 is context only."""
         p, f, nxt = self.p, self.forward(ctx, is_first), nxt[1:]
         z = f["logits"]
-        z -= z.max(axis=2, keepdims=True)
+        np.minimum(z, 60, out=z)
         np.exp(z, out=z)
         live = nxt >= 0
         z *= (live / (max(1, live.sum()) * z.sum(axis=2)))[..., None].astype(np.float32)
         rows, cols = np.nonzero(live)
-        z[rows, cols, nxt[rows, cols]] -= np.float32(1 / max(1, len(rows)))
+        z[rows, cols, self.class_of(nxt[rows, cols])] -= np.float32(1 / max(1, len(rows)))
         flat = lambda a: a.reshape(-1, a.shape[-1])
         g = {"O": flat(f["u"]).T @ flat(z)}
         d = z @ p["O"].T
+        d += self.rest_gradient(f["u"], nxt, g)
         d *= 1 - f["u"] ** 2
         g["H"], g["X"] = flat(f["h"]).T @ flat(d), flat(f["x"]).T @ flat(d)
         dh = d @ p["H"].T
@@ -338,34 +385,158 @@ class Model:
         # Keys and values of a row come from it and, as those before, from the next one.
         both = lambda a: np.concatenate([a[:1, :BLOCK], a[:-1, BLOCK:] + a[1:, :BLOCK], a[-1:, BLOCK:]])
         dk, dv = both(dk), both(dv)
-        x = p["E"][ctx[..., 0]] + p["E"][ctx[..., 1]]
+        x = f["whole"]
         g["Q"], g["K"], g["V"] = flat(f["x"]).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
         dx = dk @ p["K"].T
         dx += dv @ p["V"].T
         dx[1:] += d @ p["X"].T
         dx[1:] += dq @ p["Q"].T
-        where, value = np.concatenate([ctx[..., 0].ravel(), ctx[..., 1].ravel()]), flat(dx).T
-        g["E"] = np.stack([np.bincount(where, weights=np.concatenate([row, row]), minlength=len(p["E"])) for row in value], axis=1).astype(np.float32)
+        columns = ctx.shape[-1]
+        g["E"] = self.rows_gradient(np.concatenate([ctx[..., j].ravel() for j in range(columns)]), np.tile(flat(dx).T, columns))
         return g
 
 
+def trees(cls: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman's tree over the events of each class: where each event's choices begin (with the end), the choices' nodes, which way they
+    go (1 or -1), and for each node ln of the weight on the side of 1 over that on the other."""
+    parent, way, odds = np.full(2 * len(cls), -1), np.ones(2 * len(cls), np.float32), []
+    for members in np.split(np.argsort(cls, kind="stable"), np.cumsum(np.bincount(cls))[:-1]):
+        heap = list(zip(weight[members].tolist(), members.tolist(), strict=True))
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+            node = len(cls) + len(odds)
+            parent[left] = parent[right] = node
+            way[right] = -1
+            odds.append(np.log(a / b))
+            heapq.heappush(heap, (a + b, node))
+    event, at, found = np.arange(len(cls)), np.arange(len(cls)), []
+    while True:
+        some = parent[at] >= 0
+        event, at = event[some], at[some]
+        if not len(at):
+            break
+        found.append((event, parent[at] - len(cls), way[at]))
+        at = parent[at]
+    event, node, side = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+    order = np.argsort(event, kind="stable")
+    return np.append(0, np.cumsum(np.bincount(event, minlength=len(cls)))), node[order].astype(np.int32), side[order].astype(np.float32), np.array(odds, np.float32)
+
+
+class IdModel(Model):
+    """Attention over events: 0 is the end, 1 + id an id that begins a word, 1 + size + id one inside a word."""
+
+    step_rows = 512
+
+    def __init__(self, last: np.ndarray, begins: np.ndarray, inner: np.ndarray, beside: np.ndarray, among: np.ndarray, n_ends: int) -> None:
+        """last: code of each id's last byte; begins, inner: of ids that begin words and inside words; beside, among: their profiles;
+        n_ends: of texts."""
+        self.size, halves = len(last), []
+        for count, profile in ((begins, beside), (inner, among)):
+            x = np.sqrt(profile / np.maximum(profile.reshape(self.size, 2, PROFILE).sum(axis=2), 1).repeat(PROFILE, axis=1)).astype(np.float64)
+            weight = np.sqrt(count.astype(np.float64))
+            halves.append((clusters(x, weight, CLASSES // 2), clusters(x, weight, CLUSTERS // 2)))
+        self.k = 2 * (CLASSES // 2) + 1
+        self.cls = np.concatenate([[0], 1 + halves[0][0], 1 + CLASSES // 2 + halves[1][0]])
+        weight = np.concatenate([[n_ends], begins, inner]) + LITTLE
+        mass = np.bincount(self.cls, weights=weight, minlength=self.k)
+        with np.errstate(divide="ignore"):
+            self.prior = np.maximum(np.log(mass / mass.sum()), -1e9).astype(np.float32)  # a class may have no event
+        self.path_at, self.node, self.way, self.odds = trees(self.cls, weight)
+        self.path_len = np.diff(self.path_at)
+        r, d = np.random.default_rng(11), WIDTH
+        init = lambda a, b: (r.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
+        # Rows of E: clusters, the start, last bytes, and one for each event (0 at first).
+        start, own = CLUSTERS, CLUSTERS + 1 + BYTES
+        self.start = 0  # the end is never read; in its place stands the start
+        cluster = np.concatenate([halves[0][1], CLUSTERS // 2 + halves[1][1]])
+        self.rows_of = np.stack([np.append(start, cluster), np.append(start, CLUSTERS + 1 + np.tile(last, 2)), own + np.arange(2 * self.size + 1)])
+        self.p = {
+            "E": np.concatenate([init(own, d) * np.float32(12), np.zeros((2 * self.size + 1, d), np.float32)]), "Q": init(d, d), "K": init(d, d), "V": init(d, d),
+            "B": np.zeros((1, 2 * BLOCK), np.float32), "H": init(d, d), "X": init(d, d), "O": np.zeros((d, self.k), np.float32), "T": np.zeros((len(self.odds), d), np.float32),
+        }
+        at, key_at = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None]
+        self.mask = np.where(key_at <= at, 0, -1e9).astype(np.float32)
+        self.back = np.clip(at - key_at, 0, 2 * BLOCK - 1)
+
+    def texts(self, ids: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks of the events of texts of n words; the next ones are events here, not classes."""
+        event = ids + (1 + self.size)
+        event[begin] -= self.size
+        return self._laid(event[:, None], event, self.lengths(ids, begin, n))
+
+    @staticmethod
+    def lengths(ids: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many ids texts of n words have."""
+        return np.diff(np.append(begin, len(ids))[np.append(0, np.cumsum(n))])
+
+    def class_of(self, nxt: np.ndarray) -> np.ndarray:
+        return self.cls[np.maximum(nxt, 0)]
+
+    def _choices(self, u: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For all choices on the ways to the next events: the place in nxt, node, way, vectors of node and place, and the way's logit."""
+        event = np.maximum(nxt.ravel(), 0)  # the end is alone in its class, which leaves no choice
+        n = self.path_len[event]
+        place = np.repeat(np.arange(len(event)), n)
+        at = np.arange(len(place)) + np.repeat(self.path_at[event] - (np.cumsum(n) - n), n)
+        node, way = self.node[at], self.way[at]
+        t, own = self.p["T"].take(node, axis=0), u.reshape(-1, u.shape[-1]).take(place, axis=0)
+        return place, node, way, t, own, way * (np.einsum("nd,nd->n", t, own) + self.odds[node])
+
+    def rest(self, u: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+        place, _, _, _, _, z = self._choices(u, nxt)
+        return -np.bincount(place, weights=np.log1p(np.exp(np.minimum(-z, 80))), minlength=nxt.size).reshape(nxt.shape)
+
+    def rest_gradient(self, u: np.ndarray, nxt: np.ndarray, g: dict) -> np.ndarray:
+        place, node, way, t, own, z = self._choices(u, nxt)
+        dz = -way / (1 + np.exp(np.minimum(z, 60))) / max(1, int((nxt >= 0).sum()))
+        g["T"] = _sums(node, own.T * dz, len(self.p["T"]))
+        t *= dz[:, None]
+        return np.stack([np.bincount(place, weights=x, minlength=nxt.size) for x in t.T], axis=1).astype(u.dtype).reshape(u.shape)
+
+    def entered(self, ctx: np.ndarray) -> np.ndarray:
+        x = self.p["E"].take(self.rows_of[0].take(ctx[..., 0]), axis=0)
+        for rows in self.rows_of[1:]:
+            x += self.p["E"].take(rows.take(ctx[..., 0]), axis=0)
+        return x
+
+    def rows_gradient(self, where: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        event, by_event = _sums(where, value, self.rows_of.shape[1])
+        return _sums(self.rows_of[:, event].ravel(), np.tile(by_event.T, len(self.rows_of)), len(self.p["E"]))
+
+
+def _sums(where: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (below size) that occur, and for each the sums of value (a row for each column)."""
+    there = np.zeros(size, bool)
+    there[where] = True
+    rows = np.flatnonzero(there)
+    place = np.empty(size, np.int64)
+    place[rows] = np.arange(len(rows))
+    at = place[where]
+    return rows, np.stack([np.bincount(at, weights=x, minlength=len(rows)) for x in value], axis=1).astype(np.float32)
+
+
 class Trainer:
-    """Adam over blocks, in the order in which they come."""
+    """Adam over blocks, in the order in which they come; of tables whose gradient names rows, only these move."""
 
     def __init__(self, model: Model, rate: float = 6e-3) -> None:
         self.model, self.rate, self.step = model, rate, 0
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.p.items()}
 
-    def feed(self, ctx: np.ndarray, nxt: np.ndarray, is_first: np.ndarray, size: int = 256) -> None:
+    def feed(self, ctx: np.ndarray, nxt: np.ndarray, is_first: np.ndarray) -> None:
+        size = self.model.step_rows
         for lo in range(0, len(ctx), size):
             part = np.r_[max(lo - 1, 0), np.arange(lo, min(len(ctx), lo + size))]
             self.step += 1
-            rate = self.rate / np.sqrt(1 + self.step / 100)
+            rate = float(self.rate / np.sqrt(1 + self.step / 100))
             for k, g in self.model.gradient(ctx[part], nxt[part], is_first[part]).items():
-                self.m[k] += 0.1 * (g - self.m[k])
-                self.v[k] += 0.01 * (g * g - self.v[k])
-                self.model.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+                at, g = g if isinstance(g, tuple) else (..., g)
+                m, v = self.m[k][at], self.v[k][at]
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                self.m[k][at], self.v[k][at] = m, v
+                self.model.p[k][at] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
 
 
 def _averaged(trained: DataFrame) -> dict[str, np.ndarray] | None:
@@ -414,7 +585,7 @@ def train(rows: DataFrame, model: Model) -> Model:
         for batch in batches:
             for part in _texts(batch.column("ids")):
                 ids, begin, n = _unpacked(batch.column("ids").slice(part.start, part.stop - part.start))
-                ctx, nxt, first, _ = model.blocks(ids[begin], ids[np.append(begin, len(ids))[1:] - 1], n)
+                ctx, nxt, first, _ = model.texts(ids, begin, n)
                 trainer.feed(ctx, nxt, first)
                 seen += int((nxt >= 0).sum())
         if seen:
@@ -446,19 +617,35 @@ class Corpus:
         self.n, self.v = (sum(self.different.column(x).to_pylist()) + more for x, more in (("c", self.ends), ("v", 1 if self.ends else 0)))
 
     def model(self) -> Model:
-        """The model that the counts give, not yet trained. The tables have size, and 2 * PROFILE * size cells at most."""
+        """The model of words that the counts give, not yet trained."""
         last = last_bytes(self.path)
-        table = self.tables.toArrow()
-        kind, key, c = (table.column(x).to_numpy() for x in ("kind", "key", "c"))
-        begins, different, beside = np.zeros(len(last)), np.zeros(len(last)), np.zeros(len(last) * 2 * PROFILE)
-        begins[key[kind == BEGIN]] = c[kind == BEGIN]
-        beside[key[kind == BESIDE]] = c[kind == BESIDE]
+        different = np.zeros(len(last))
         different[self.different.column("first").to_numpy()] = self.different.column("v").to_numpy()
-        return Model(last, begins, different, beside.reshape(len(last), -1), self.ends)
+        begins, beside = self._tables(len(last), BEGIN, BESIDE)
+        return Model(last, begins, different, beside, self.ends)
+
+    def id_model(self) -> IdModel:
+        """The model of ids that the counts give, not yet trained."""
+        last = last_bytes(self.path)
+        begins, beside, inner, among = self._tables(len(last), BEGIN, BESIDE, INNER, AMONG)
+        return IdModel(last, begins, inner, beside, among, self.ends)
+
+    def _tables(self, size: int, *kinds: int) -> list[np.ndarray]:
+        """Counts by id and profiles, as arrays of size, and of 2 * PROFILE * size cells."""
+        table = self.tables.where(F.col("kind").isin(list(kinds))).toArrow()
+        kind, key, c = (table.column(x).to_numpy() for x in ("kind", "key", "c"))
+        found = []
+        for k in kinds:
+            cells = np.zeros(size if k in (BEGIN, INNER) else size * 2 * PROFILE)
+            cells[key[kind == k]] = c[kind == k]
+            found.append(cells if k in (BEGIN, INNER) else cells.reshape(size, -1))
+        return found
 
 
 def apply(corpus: Corpus, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the whole text), a row for each document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the whole text), a row for each document. With
+    an `IdModel` the score is made by attention alone, all ids of a text and its end; with a `Model` words' shares come from counts."""
+    by_count = not isinstance(model, IdModel)
     spark, n, ends = corpus.spark, corpus.n, corpus.ends
     least = _at_most(corpus.words, "n", KNOWN)
     table = corpus.words.where(F.col("n") >= least).select("key", "c").toArrow()  # at most KNOWN rows
@@ -474,21 +661,22 @@ def apply(corpus: Corpus, model: Model) -> DataFrame:
             for part in _texts(batch.column("ids")):
                 rows = part.stop - part.start
                 ids, begin, m = _unpacked(batch.column("ids").slice(part.start, rows))
-                name, first = names(ids, begin), ids[begin]
-                ctx, nxt, is_first, text_at = lm.blocks(first, ids[np.append(begin, len(ids))[1:] - 1], m)
-                lp = lm.log_class(ctx, nxt, is_first).ravel()
-                text_of = np.repeat(np.arange(rows), m)
-                of_class = lp[np.arange(len(first)) + np.repeat(text_at - (np.cumsum(m) - m), m)] - lm.whole[lm.cls[first]]
+                name, text_of = names(ids, begin), np.repeat(np.arange(rows), m)
+                ctx, nxt, is_first, text_at = lm.texts(ids, begin, m)
+                lp = lm.log_class(ctx, nxt, is_first)
+                by_model = np.add.reduceat(lp.sum(axis=1), text_at // BLOCK)
                 at = np.minimum(np.searchsorted(key, name), max(len(key) - 1, 0))
                 found = key[at] == name if len(key) else np.zeros(len(name), bool)
                 at, own = at[found], text_of[found]
                 counted = np.bincount(own, weights=log_count[at], minlength=rows)
+                if by_count:
+                    by_model += counted - np.bincount(text_of, weights=lm.whole[lm.cls[ids[begin]]], minlength=rows)
                 rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(text_of[~found], minlength=rows))), pa.int32()), pa.array(name[~found]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(part.start, rows), batch.column("held").slice(part.start, rows), pa.array(m + 1, pa.int64()),
                         pa.array(np.bincount(own[count[at] > 0], minlength=rows) + (1 if ends else 0), pa.int64()), pa.array(counted - m * whole + end_base, pa.float64()),
-                        pa.array(counted + np.bincount(text_of, weights=of_class, minlength=rows) + lp[text_at + m], pa.float64()), rare,
+                        pa.array(by_model, pa.float64()), rare,
                     ],
                     ["doc_id", "held", "n_tokens", "met", "base", "score", "rare"],
                 )
@@ -506,11 +694,11 @@ def apply(corpus: Corpus, model: Model) -> DataFrame:
         (F.col("met") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0)) if by_count else F.col("score")).alias("score"),
     )
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """The scores of all documents by a model of those that are not held out; see `apply`."""
     corpus = Corpus(docs, doc_id, text, path or subwords.model_path())
-    return apply(corpus, train(corpus.rows.where("NOT held").select("ids"), corpus.model()))
+    return apply(corpus, train(corpus.rows.where("NOT held").select("ids"), corpus.id_model()))
