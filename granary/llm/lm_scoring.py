@@ -46,8 +46,11 @@ from granary.llm.quality_mil import held_out
 
 HELD_PARTS, KNOWN = 10, 600_000
 BLOCK, WIDTH, CLASSES, CLUSTERS, BYTES, PROFILE = 8, 12, 40, 256, 128, 32
-#: What is added to every count; bytes of text that a worker encodes at a time, and different words that it holds counts of.
-LITTLE, CHUNK, MANY = 0.1, 6_000_000, 1_000_000
+#: What is added to every count; bytes of text that a worker encodes at a time, and different words and bytes of them from which on it
+#: hands over its counts and begins anew.
+LITTLE, CHUNK, MANY, MOST_BYTES = 0.1, 6_000_000, 1_000_000, 32_000_000
+#: Nodes of a class's tree whose choices are worked out at once, and for how many events of the class at a time.
+HEAVY, SIDE = 16, 32
 #: The bit of a stored id that marks a word's first one; ids are below it.
 FIRST = 1 << 15
 WORD, BEGIN, BESIDE, INNER, AMONG = range(5)
@@ -93,19 +96,39 @@ def _hashed(n: int) -> np.ndarray:
     return (mixed(np.arange(n, dtype=np.uint64) + np.uint64(77)) % np.uint64(PROFILE)).astype(np.int64)
 
 
-def encoded(texts: pa.Array, model: subwords.Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different words' ids in one array and where each begins (with the end); which one each word of the texts is, and how many
-    words each text has."""
-    flat, n = words_of(texts)
-    coded = flat.dictionary_encode()
-    different = coded.dictionary.to_pylist()
-    order = np.argsort(pc.binary_length(coded.dictionary).to_numpy(), kind="stable") if different else np.zeros(0, np.int64)
-    # In slices, as merging takes many times the memory of what is merged.
-    merged = [model.merge([subwords.SPACE + different[i] for i in order[at : at + 50_000].tolist()]) for at in range(0, max(len(order), 1), 50_000)]
-    ids, lens = (np.concatenate(x) for x in zip(*merged, strict=True))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return ids.astype(np.uint16), np.append(0, np.cumsum(lens)), place[coded.indices.to_numpy()], n
+class Words:
+    """The different words so far: the ids of each, and how often it came in training documents and in all."""
+
+    def __init__(self, model: subwords.Pieces) -> None:
+        self.model, self.known = model, None
+        self.ids, self.at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.train, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def full(self) -> bool:
+        return len(self.total) > MANY or self.known is not None and self.known.nbytes > MOST_BYTES
+
+    def index(self, flat: pa.Array) -> np.ndarray:
+        """Which one each of some words is; new ones are encoded and put behind the others."""
+        coded = flat.dictionary_encode()
+        if self.known is None:
+            self.known = coded.dictionary.slice(0, 0)
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(place.is_null())
+        at = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        different, order = new.to_pylist(), np.argsort(pc.binary_length(new).to_numpy(), kind="stable")
+        # In slices, as merging takes many times the memory of what is merged.
+        merged = [self.model.merge([subwords.SPACE + different[i] for i in order[lo : lo + 20_000].tolist()]) for lo in range(0, max(len(order), 1), 20_000)]
+        ids, lens = (np.concatenate(x) for x in zip(*merged, strict=True))
+        begin, n = np.cumsum(lens) - lens, np.empty(len(order), np.int64)
+        n[order], from_ = lens, np.empty(len(order), np.int64)
+        from_[order] = begin
+        self.ids = np.append(self.ids, subwords.gather(ids.astype(np.uint16), from_, n))
+        self.at = np.append(self.at, self.at[-1] + np.cumsum(n))
+        self.known = pa.concat_arrays([self.known, new])
+        more = np.zeros(len(new), np.int64)
+        self.train, self.total = np.append(self.train, more), np.append(self.total, more)
+        return at[coded.indices.to_numpy()]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -135,31 +158,31 @@ def tokenised(docs: DataFrame, path: str, folder: str) -> DataFrame:
         size = model.size
         hashed, beside, begins = _hashed(size), np.zeros(size * 2 * PROFILE, np.int64), np.zeros(size, np.int64)
         inners, among = np.zeros(size, np.int64), np.zeros(size * 2 * PROFILE, np.int64)
-        seen: list[tuple[np.ndarray, ...]] = []
-        batch = None
-        for batch in _chunks(batches, "text", CHUNK):
-            ids_of, word_at, index, n = encoded(batch.column("text"), model)
-            held = batch.column("held")
-            lens = word_at[index + 1] - word_at[index]
-            ids = subwords.gather(ids_of, word_at[index], lens)
-            begin = np.cumsum(lens) - lens
-            learned = np.repeat(~held.to_numpy(zero_copy_only=False), n)
-            total, train = np.bincount(index, minlength=len(word_at) - 1), np.bincount(index[learned], minlength=len(word_at) - 1)
-            wide = ids_of.astype(np.int64)
-            begins += np.bincount(wide[word_at[:-1]], weights=train, minlength=size).astype(np.int64)
+        words, batch = Words(model), None
+
+        def counted() -> pa.RecordBatch:
+            """The words' counts; those of their ids are added up."""
+            nonlocal begins, inners, among
+            wide, first = words.ids.astype(np.int64), words.ids[words.at[:-1]].astype(np.int64)
+            begins += np.bincount(first, weights=words.train, minlength=size).astype(np.int64)
             inside = np.ones(len(wide) + 1, bool)
-            inside[word_at] = False
+            inside[words.at] = False
             k = np.flatnonzero(inside[:-1])
-            times, after = np.repeat(train, np.diff(word_at))[k], np.where(inside[k + 1], hashed[wide[np.minimum(k + 1, len(wide) - 1)]], 0)
+            times, after = np.repeat(words.train, np.diff(words.at))[k], np.where(inside[k + 1], hashed[wide[np.minimum(k + 1, len(wide) - 1)]], 0)
             inners += np.bincount(wide[k], weights=times, minlength=size).astype(np.int64)
             cell = wide[k] * 2 * PROFILE
             among += np.bincount(np.concatenate([cell + after, cell + PROFILE + hashed[wide[k - 1]]]), weights=np.tile(times, 2), minlength=len(among)).astype(np.int64)
-            seen.append((names(wide, word_at[:-1]), wide[word_at[:-1]], train, total))
-            if sum(len(x[0]) for x in seen) > MANY:
-                seen = [_merged(seen)]
-                if len(seen[0][0]) > MANY:
-                    yield from _typed(_counts(WORD, *seen[0]), batch)
-                    seen = []
+            return _counts(WORD, names(wide, words.at[:-1]), first, words.train, words.total)
+
+        for batch in _chunks(batches, "text", CHUNK):
+            flat, n = words_of(batch.column("text"))
+            index, held = words.index(flat), batch.column("held")
+            learned = np.repeat(~held.to_numpy(zero_copy_only=False), n)
+            words.total += np.bincount(index, minlength=len(words.total))
+            words.train += np.bincount(index[learned], minlength=len(words.total))
+            lens = words.at[index + 1] - words.at[index]
+            ids = subwords.gather(words.ids, words.at[index], lens)
+            begin = np.cumsum(lens) - lens
             first, owner = ids[begin].astype(np.int64), np.repeat(np.arange(len(n)), n)
             k = np.flatnonzero(learned[:-1] & (owner[1:] == owner[:-1]))
             cell = np.concatenate([first[k] * 2 * PROFILE + hashed[first[k + 1]], (first[k + 1] * 2 + 1) * PROFILE + hashed[first[k]]])
@@ -168,9 +191,11 @@ def tokenised(docs: DataFrame, path: str, folder: str) -> DataFrame:
             ends = np.append(begin, len(ids))[np.append(0, np.cumsum(n))]
             raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held, raw, *(pa.nulls(len(n), t) for t in COUNTS.types)], ["doc_id", "held", "ids", *COUNTS.names])
+            if words.full():
+                yield from _typed(counted(), batch)
+                words = Words(model)
         if batch is not None:
-            if seen:
-                yield from _typed(_counts(WORD, *_merged(seen)), batch)
+            yield from _typed(counted(), batch)
             for kind, cells in ((BEGIN, begins), (BESIDE, beside), (INNER, inners), (AMONG, among)):
                 key = np.flatnonzero(cells)
                 yield from _typed(_counts(kind, key, np.zeros(len(key)), cells[key], cells[key]), batch)
@@ -180,17 +205,6 @@ def tokenised(docs: DataFrame, path: str, folder: str) -> DataFrame:
     return docs.sparkSession.read.parquet(folder)
 
 
-def _merged(seen: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Sums of counts (key, first, c, n) by key."""
-    key, first, c, n = (np.concatenate(x) for x in zip(*seen, strict=True))
-    order = np.argsort(key, kind="stable")
-    key, first, c, n = key[order], first[order], c[order], n[order]
-    if not len(key):
-        return key, first, c, n
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[start], first[start], np.add.reduceat(c, start), np.add.reduceat(n, start)
-
-
 COUNTS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("first", pa.int32()), ("c", pa.int64()), ("n", pa.int64())])
 
 
@@ -312,90 +326,146 @@ class Model:
         """Of the mean loss by u; puts that by the rest's parameters into g."""
         return 0.0
 
-    def rows_gradient(self, where: np.ndarray, value: np.ndarray) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
-        """Of E: the sums of value (a row for each column of E) by row of E."""
-        return np.stack([np.bincount(where, weights=row, minlength=len(self.p["E"])) for row in value], axis=1).astype(np.float32)
+    def rows_gradient(self, ctx: np.ndarray, value: np.ndarray) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+        """Of E: the sums of value (a row for each place of ctx) by row of E."""
+        total = np.zeros_like(self.p["E"])
+        for j in range(ctx.shape[-1]):
+            _add_rows(total, ctx[..., j].ravel(), value)
+        return total
 
     def entered(self, ctx: np.ndarray) -> np.ndarray:
-        x = self.p["E"][ctx[..., 0]]
+        x = self.p["E"].take(ctx[..., 0], axis=0)
         for j in range(1, ctx.shape[-1]):
-            x += self.p["E"][ctx[..., j]]
+            x += self.p["E"].take(ctx[..., j], axis=0)
         return x
 
-    def forward(self, ctx: np.ndarray, is_first: np.ndarray) -> dict[str, np.ndarray]:
-        """Logits of classes for rows 1.. of ctx; each has the row before it as context, if it is not a text's first."""
+    def entries(self) -> np.ndarray:
+        """The vector of each value that a column of ctx can have."""
+        return self.p["E"]
+
+    def tables(self) -> np.ndarray:
+        """The entries' products with K, V, Q and X: for scoring, where they stay as they are."""
         p = self.p
-        whole = x = self.entered(ctx)
-        k, v = x @ p["K"], x @ p["V"]
-        x = x[1:]
-        q = x @ (p["Q"] * np.float32(1 / np.sqrt(WIDTH)))
-        kk, vv = np.concatenate([k[:-1], k[1:]], axis=1), np.concatenate([v[:-1], v[1:]], axis=1)
-        s = q @ kk.transpose(0, 2, 1)
+        return self.entries() @ np.concatenate([p["K"], p["V"], p["Q"] * np.float32(1 / np.sqrt(WIDTH)), p["X"]], axis=1)
+
+    def forward(self, ctx: np.ndarray, is_first: np.ndarray, tables: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of rows 1.. of ctx, place by place, exp of the classes' logits (up to 60) without their prior, and the sums with it; each row has
+        the row before it as context, if it is not a text's first."""
+        p, rows, d = self.p, len(ctx) - 1, WIDTH
+        # Products of tables with all places at once; only what a block's places have with each other goes by rows.
+        if tables is None:
+            whole = self.entered(ctx).reshape(-1, d)
+            k, v, x = whole @ p["K"], whole @ p["V"], whole[BLOCK:]
+            q, straight = x @ (p["Q"] * np.float32(1 / np.sqrt(d))), x @ p["X"]
+        else:
+            whole = x = None
+            looked_up = tables.take(ctx[..., 0].ravel(), axis=0)
+            for j in range(1, ctx.shape[-1]):
+                looked_up += tables.take(ctx[..., j].ravel(), axis=0)
+            k, v, q, straight = looked_up[:, :d], looked_up[:, d : 2 * d], looked_up[BLOCK:, 2 * d : 3 * d], looked_up[BLOCK:, 3 * d :]
+        q, vv = q.reshape(rows, BLOCK, d), _with_row_before(v)
+        s = q @ _columns_with_row_before(k)
         s += p["B"][0][self.back] + self.mask
         s[is_first[1:], :, :BLOCK] = -1e9
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
-        s /= np.maximum(s.sum(axis=2, keepdims=True), 1e-30)
-        h = s @ vv
+        # Weights stay as they are; what they make is divided by their sum.
+        share = 1 / np.maximum(s.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, s.dtype), 1e-30)[:, None]
+        h = (s @ vv).reshape(-1, d)
+        h *= share
         u = h @ p["H"]
-        u += x @ p["X"]
+        u += straight
         np.tanh(u, out=u)
-        logits = u @ p["O"]
-        logits += self.prior
-        return {"whole": whole, "x": x, "q": q, "kk": kk, "vv": vv, "s": s, "h": h, "u": u, "logits": logits}
+        z = u @ p["O"]
+        if np.abs(p["O"]).sum(axis=0).max() > 60:
+            np.minimum(z, 60, out=z)
+        np.exp(z, out=z)
+        return {"whole": whole, "x": x, "q": q, "k": k, "v": v, "s": s, "share": share, "h": h, "u": u, "exp": z, "total": z @ np.exp(self.prior).astype(z.dtype)}
 
-    def log_class(self, ctx: np.ndarray, nxt: np.ndarray, is_first: np.ndarray, at_a_time: int = 1024) -> np.ndarray:
+    def log_class(self, ctx: np.ndarray, nxt: np.ndarray, is_first: np.ndarray, tables: np.ndarray | None = None, at_a_time: int = 1024) -> np.ndarray:
         """log10 of the probability of each next word's class (0 where there is none), float64; of each next event in an `IdModel`."""
         out = np.zeros(nxt.shape)
+        tables = self.tables() if tables is None else tables
+        o, prior = np.ascontiguousarray(self.p["O"].T), self.prior
         for lo in range(0, len(ctx), at_a_time):
             rows = slice(lo, min(len(ctx), lo + at_a_time))
-            before = np.r_[max(lo - 1, 0), np.arange(lo, rows.stop)]
-            f = self.forward(ctx[before], is_first[before])
-            z = f["logits"]
-            own = np.take_along_axis(z, np.maximum(self.class_of(nxt[rows]), 0)[..., None], 2)[..., 0]
-            np.minimum(z, 60, out=z)
-            out[rows] = own - np.log(np.exp(z, out=z).sum(axis=2)) + self.rest(f["u"], nxt[rows])
-        return np.where(nxt >= 0, out / np.log(10), 0)
+            before = slice(lo - 1, rows.stop) if lo else np.r_[0, : rows.stop]
+            f = self.forward(ctx[before], is_first[before], tables)
+            own = np.maximum(self.class_of(nxt[rows].ravel()), 0)
+            lp = _dots(f["u"], o.take(own, axis=0)) + prior[own] - np.log(f["total"]) + self.rest(f["u"], nxt[rows].ravel())
+            out[rows] = lp.reshape(-1, BLOCK)
+        out /= np.log(10)
+        out[nxt < 0] = 0
+        return out
 
     def gradient(self, ctx: np.ndarray, nxt: np.ndarray, is_first: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over the next words of rows 1.. ; row 0 is context only."""
-        p, f, nxt = self.p, self.forward(ctx, is_first), nxt[1:]
-        z = f["logits"]
-        np.minimum(z, 60, out=z)
-        np.exp(z, out=z)
+        p, f, nxt, rows = self.p, self.forward(ctx, is_first), nxt[1:].ravel(), len(ctx) - 1
+        u, x, s, z, total = f["u"], f["x"], f["s"], f["exp"], f["total"]
         live = nxt >= 0
-        z *= (live / (max(1, live.sum()) * z.sum(axis=2)))[..., None].astype(np.float32)
-        rows, cols = np.nonzero(live)
-        z[rows, cols, self.class_of(nxt[rows, cols])] -= np.float32(1 / max(1, len(rows)))
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"O": flat(f["u"]).T @ flat(z)}
-        d = z @ p["O"].T
-        d += self.rest_gradient(f["u"], nxt, g)
-        d *= 1 - f["u"] ** 2
-        g["H"], g["X"] = flat(f["h"]).T @ flat(d), flat(f["x"]).T @ flat(d)
+        # By logits it is (exp * prior - total where it is the next one's) * scale; the factors go where the arrays are small.
+        own, prior = np.maximum(self.class_of(nxt), 0), np.exp(self.prior).astype(u.dtype)
+        z.reshape(-1)[np.arange(len(nxt)) * self.k + own] -= total / prior[own]
+        scale = (live / (max(1, live.sum()) * total)).astype(u.dtype)[:, None]
+        g = {"O": (u * scale).T @ z * prior}
+        d = z @ (p["O"] * prior).T
+        d *= scale
+        d += self.rest_gradient(u, nxt, g)
+        d *= 1 - u * u
+        g["H"], g["X"] = f["h"].T @ d, x.T @ d
         dh = d @ p["H"].T
-        dv = f["s"].transpose(0, 2, 1) @ dh
-        ds = dh @ f["vv"].transpose(0, 2, 1)
-        ds -= (ds * f["s"]).sum(axis=2, keepdims=True)
-        ds *= f["s"]
+        dh *= f["share"]
+        by_row = dh.reshape(rows, BLOCK, -1)
+        dv = s.transpose(0, 2, 1) @ by_row
+        ds = by_row @ _columns_with_row_before(f["v"])
+        ds -= _dots(dh, f["h"]).reshape(rows, BLOCK, 1)
+        ds *= s
         g["B"] = np.bincount(self.back.ravel(), weights=ds.sum(axis=0).ravel(), minlength=2 * BLOCK)[None].astype(np.float32)
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        dq, dk = ds @ f["kk"], ds.transpose(0, 2, 1) @ f["q"]
-        dq *= scale
-        # Keys and values of a row come from it and, as those before, from the next one.
-        both = lambda a: np.concatenate([a[:1, :BLOCK], a[:-1, BLOCK:] + a[1:, :BLOCK], a[-1:, BLOCK:]])
-        dk, dv = both(dk), both(dv)
-        x = f["whole"]
-        g["Q"], g["K"], g["V"] = flat(f["x"]).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+        dq, dk = (ds @ _with_row_before(f["k"])).reshape(len(x), -1), ds.transpose(0, 2, 1) @ f["q"]
+        dq *= np.float32(1 / np.sqrt(WIDTH))
+        dk, dv = _to_both_rows(dk), _to_both_rows(dv)
+        g["Q"], g["K"], g["V"] = x.T @ dq, f["whole"].T @ dk, f["whole"].T @ dv
         dx = dk @ p["K"].T
         dx += dv @ p["V"].T
-        dx[1:] += d @ p["X"].T
-        dx[1:] += dq @ p["Q"].T
-        columns = ctx.shape[-1]
-        g["E"] = self.rows_gradient(np.concatenate([ctx[..., j].ravel() for j in range(columns)]), np.tile(flat(dx).T, columns))
+        dx[BLOCK:] += d @ p["X"].T
+        dx[BLOCK:] += dq @ p["Q"].T
+        g["E"] = self.rows_gradient(ctx, dx)
         return g
 
 
+def _with_row_before(a: np.ndarray) -> np.ndarray:
+    """For each row but the first its places after those of the row before, as a view."""
+    n, d = a.shape
+    return np.lib.stride_tricks.as_strided(a, (n // BLOCK - 1, 2 * BLOCK, d), (BLOCK * a.strides[0], *a.strides), writeable=False)
+
+
+def _columns_with_row_before(a: np.ndarray) -> np.ndarray:
+    """The same with places as columns, which small products take faster than the other's transposed view."""
+    n, d = a.shape
+    a = np.ascontiguousarray(a.T)
+    return np.lib.stride_tricks.as_strided(a, (n // BLOCK - 1, d, 2 * BLOCK), (BLOCK * a.strides[1], *a.strides), writeable=False)
+
+
+def _to_both_rows(a: np.ndarray) -> np.ndarray:
+    """The sums, place by place, of what a row gives to the row before and to itself."""
+    out = np.empty((len(a) + 1, BLOCK, a.shape[2]), a.dtype)
+    out[0], out[1:] = 0, a[:, BLOCK:]
+    out[:-1] += a[:, :BLOCK]
+    return out.reshape(-1, a.shape[2])
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * b) @ np.ones(a.shape[1], a.dtype)
+
+
+def _add_rows(total: np.ndarray, where: np.ndarray, value: np.ndarray) -> None:
+    """Adds each row of value to the row of total that where names. Two columns at a time, as complex numbers."""
+    kind = np.complex64 if value.dtype == np.float32 else np.complex128
+    to, more = total.view(kind), value.view(kind)
+    for j in range(to.shape[1]):
+        np.add.at(to[:, j], where, more[:, j])
+
+
 def trees(cls: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Huffman's tree over the events of each class: where each event's choices begin (with the end), the choices' nodes, which way they
     go (1 or -1), and for each node ln of the weight on the side of 1 over that on the other."""
@@ -443,7 +513,19 @@ class IdModel(Model):
         with np.errstate(divide="ignore"):
             self.prior = np.maximum(np.log(mass / mass.sum()), -1e9).astype(np.float32)  # a class may have no event
         self.path_at, self.node, self.way, self.odds = trees(self.cls, weight)
-        self.path_len = np.diff(self.path_at)
+        # A class's heaviest nodes are the last ones made, a way goes from light ones to heavy ones. Places that a class lacks name any
+        # node, no way goes there.
+        last_node = np.cumsum(np.maximum(np.bincount(self.cls, minlength=self.k) - 1, 0))
+        first_node = np.append(0, last_node[:-1])
+        heavy = last_node[:, None] - HEAVY + np.arange(HEAVY)
+        event = np.repeat(np.arange(len(self.cls)), np.diff(self.path_at))
+        place = self.node - heavy[self.cls[event], 0]
+        self.light_len = np.bincount(event[place < 0], minlength=len(self.cls))
+        self.heavy_way = np.zeros((len(self.cls), HEAVY), np.int8)
+        self.heavy_way[event[place >= 0], place[place >= 0]] = self.way[place >= 0]
+        there = heavy >= first_node[:, None]
+        self.heavy = np.where(there, heavy, 0)
+        self.heavy_odds = np.where(there, self.odds[self.heavy] if len(self.odds) else 0, 0).astype(np.float32)
         r, d = np.random.default_rng(11), WIDTH
         init = lambda a, b: (r.standard_normal((a, b)) / np.sqrt(a)).astype(np.float32)
         # Rows of E: clusters, the start, last bytes, and one for each event (0 at first).
@@ -453,7 +535,7 @@ class IdModel(Model):
         self.rows_of = np.stack([np.append(start, cluster), np.append(start, CLUSTERS + 1 + np.tile(last, 2)), own + np.arange(2 * self.size + 1)])
         self.p = {
             "E": np.concatenate([init(own, d) * np.float32(12), np.zeros((2 * self.size + 1, d), np.float32)]), "Q": init(d, d), "K": init(d, d), "V": init(d, d),
-            "B": np.zeros((1, 2 * BLOCK), np.float32), "H": init(d, d), "X": init(d, d), "O": np.zeros((d, self.k), np.float32), "T": np.zeros((len(self.odds), d), np.float32),
+            "B": np.zeros((1, 2 * BLOCK), np.float32), "H": init(d, d), "X": init(d, d), "O": np.zeros((d, self.k), np.float32), "T": np.zeros((max(1, len(self.odds)), d), np.float32),
         }
         at, key_at = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None]
         self.mask = np.where(key_at <= at, 0, -1e9).astype(np.float32)
@@ -473,26 +555,64 @@ class IdModel(Model):
     def class_of(self, nxt: np.ndarray) -> np.ndarray:
         return self.cls[np.maximum(nxt, 0)]
 
-    def _choices(self, u: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For all choices on the ways to the next events: the place in nxt, node, way, vectors of node and place, and the way's logit."""
-        event = np.maximum(nxt.ravel(), 0)  # the end is alone in its class, which leaves no choice
-        n = self.path_len[event]
-        place = np.repeat(np.arange(len(event)), n)
-        at = np.arange(len(place)) + np.repeat(self.path_at[event] - (np.cumsum(n) - n), n)
-        node, way = self.node[at], self.way[at]
-        t, own = self.p["T"].take(node, axis=0), u.reshape(-1, u.shape[-1]).take(place, axis=0)
-        return place, node, way, t, own, way * (np.einsum("nd,nd->n", t, own) + self.odds[node])
+    def _heavy(self, u: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Choices at the heaviest nodes of each class, for blocks of `SIDE` places of one class as products with all of these: where each
+        place of nxt is, the blocks' classes, vectors of the nodes and of the places, ways (0: not on an event's way), and the ways' logits."""
+        cls = self.cls.take(nxt)
+        n = np.bincount(cls, minlength=self.k)
+        blocks = -(-n // SIDE)
+        at = np.empty(len(nxt), np.intp)
+        at[np.argsort(cls.astype(np.uint8), kind="stable")] = np.arange(len(nxt)) + np.repeat(SIDE * (np.cumsum(blocks) - blocks) - (np.cumsum(n) - n), n)  # there are few classes
+        of = np.repeat(np.arange(self.k), blocks)
+        place, event = np.zeros((2, SIDE * len(of)), np.intp)  # what is left free is an end, which has no choice
+        place[at], event[at] = np.arange(len(nxt)), nxt
+        t = self.p["T"].take(self.heavy, axis=0)
+        own, way = u.take(place, axis=0).reshape(len(of), SIDE, -1), self.heavy_way.take(event, axis=0).astype(u.dtype).reshape(len(of), SIDE, -1)
+        z = own @ np.ascontiguousarray(t.transpose(0, 2, 1)).take(of, axis=0)
+        z += self.heavy_odds.take(of, axis=0)[:, None]
+        z *= way
+        return at, of, t, own, way, z
+
+    def _light(self, u: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For all other choices on the ways to the next events: the place in nxt, node, way, vectors of node and place, and the way's logit."""
+        n = self.light_len.take(nxt)
+        some = np.flatnonzero(n)
+        n = n.take(some)
+        place = np.repeat(some, n)
+        at = np.arange(len(place)) + np.repeat(self.path_at.take(nxt.take(some)) - (np.cumsum(n) - n), n)
+        node, way = self.node.take(at), self.way.take(at)
+        t, own = self.p["T"].take(node, axis=0), u.take(place, axis=0)
+        return place, node, way, t, own, way * (_dots(t, own) + self.odds.take(node))
 
     def rest(self, u: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-        place, _, _, _, _, z = self._choices(u, nxt)
-        return -np.bincount(place, weights=np.log1p(np.exp(np.minimum(-z, 80))), minlength=nxt.size).reshape(nxt.shape)
+        nxt = np.maximum(nxt, 0)
+        at, _, _, _, way, z = self._heavy(u, nxt)
+        np.exp(np.minimum(np.negative(z, out=z), 80, out=z), out=z)
+        z *= np.abs(way, out=way)
+        out = (np.log1p(z, out=z) @ np.ones(HEAVY, z.dtype)).ravel().take(at)
+        place, _, _, _, _, z = self._light(u, nxt)
+        return -out - np.bincount(place, weights=np.log1p(np.exp(np.minimum(-z, 80))), minlength=len(nxt))
 
     def rest_gradient(self, u: np.ndarray, nxt: np.ndarray, g: dict) -> np.ndarray:
-        place, node, way, t, own, z = self._choices(u, nxt)
-        dz = -way / (1 + np.exp(np.minimum(z, 60))) / max(1, int((nxt >= 0).sum()))
-        g["T"] = _sums(node, own.T * dz, len(self.p["T"]))
-        t *= dz[:, None]
-        return np.stack([np.bincount(place, weights=x, minlength=nxt.size) for x in t.T], axis=1).astype(u.dtype).reshape(u.shape)
+        scale, nxt = u.dtype.type(-1 / max(1, int((nxt >= 0).sum()))), np.maximum(nxt, 0)
+        at, of, t, own, way, z = self._heavy(u, nxt)
+        np.exp(np.minimum(z, 60, out=z), out=z)
+        z += 1
+        way *= scale
+        way /= z
+        out = (way @ t.take(of, axis=0)).reshape(-1, u.shape[1]).take(at, axis=0)
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        by_node = np.add.reduceat(way.transpose(0, 2, 1) @ own, first).reshape(-1, u.shape[1])
+        met = np.flatnonzero(by_node.any(axis=1))
+        heavy = self.heavy[of[first]].ravel()
+        place, node, way, t, own, z = self._light(u, nxt)
+        dz = (way * scale / (1 + np.exp(np.minimum(z, 60))))[:, None].astype(u.dtype)
+        own *= dz
+        rows, sums = _sums(node, own, len(self.p["T"]))
+        g["T"] = np.concatenate([heavy[met], rows]), np.concatenate([by_node[met], sums])
+        t *= dz
+        _add_rows(out, place, t)
+        return out
 
     def entered(self, ctx: np.ndarray) -> np.ndarray:
         x = self.p["E"].take(self.rows_of[0].take(ctx[..., 0]), axis=0)
@@ -500,20 +620,29 @@ class IdModel(Model):
             x += self.p["E"].take(rows.take(ctx[..., 0]), axis=0)
         return x
 
-    def rows_gradient(self, where: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        event, by_event = _sums(where, value, self.rows_of.shape[1])
-        return _sums(self.rows_of[:, event].ravel(), np.tile(by_event.T, len(self.rows_of)), len(self.p["E"]))
+    def entries(self) -> np.ndarray:
+        return self.entered(np.arange(self.rows_of.shape[1])[:, None])
+
+    def rows_gradient(self, ctx: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        event, by_event = _sums(ctx.ravel(), value, self.rows_of.shape[1])
+        # Each event's own row is its alone; clusters and last bytes are few.
+        common = np.zeros((CLUSTERS + 1 + BYTES, value.shape[1]), value.dtype)
+        for rows in self.rows_of[:-1]:
+            _add_rows(common, rows.take(event), by_event)
+        met = np.flatnonzero(common.any(axis=1))
+        return np.concatenate([met, self.rows_of[-1].take(event)]), np.concatenate([common[met], by_event])
 
 
 def _sums(where: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (below size) that occur, and for each the sums of value (a row for each column)."""
+    """Rows (below size) that occur, and for each the sums of value (a row for each of where)."""
     there = np.zeros(size, bool)
     there[where] = True
     rows = np.flatnonzero(there)
-    place = np.empty(size, np.int64)
+    place = np.empty(size, np.intp)
     place[rows] = np.arange(len(rows))
-    at = place[where]
-    return rows, np.stack([np.bincount(at, weights=x, minlength=len(rows)) for x in value], axis=1).astype(np.float32)
+    total = np.zeros((len(rows), value.shape[1]), value.dtype)
+    _add_rows(total, place.take(where), value)
+    return rows, total
 
 
 class Trainer:
@@ -527,16 +656,31 @@ class Trainer:
     def feed(self, ctx: np.ndarray, nxt: np.ndarray, is_first: np.ndarray) -> None:
         size = self.model.step_rows
         for lo in range(0, len(ctx), size):
-            part = np.r_[max(lo - 1, 0), np.arange(lo, min(len(ctx), lo + size))]
+            part = slice(lo - 1, lo + size) if lo else np.r_[0, : min(len(ctx), size)]
             self.step += 1
             rate = float(self.rate / np.sqrt(1 + self.step / 100))
+            # m and v are held without the factors 0.1 and 0.01 of what is new.
+            whole = np.sqrt(0.01 / (1 - 0.99**self.step))
+            little, rate = np.float32(1e-8 / whole), np.float32(rate * 0.1 / (1 - 0.9**self.step) / whole)
             for k, g in self.model.gradient(ctx[part], nxt[part], is_first[part]).items():
-                at, g = g if isinstance(g, tuple) else (..., g)
-                m, v = self.m[k][at], self.v[k][at]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                self.m[k][at], self.v[k][at] = m, v
-                self.model.p[k][at] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+                p, m, v, at = self.model.p[k], self.m[k], self.v[k], None
+                if isinstance(g, tuple):
+                    at, g = g
+                    m, v = m.take(at, axis=0), v.take(at, axis=0)
+                m *= np.float32(0.9)
+                m += g
+                g *= g
+                v *= np.float32(0.99)
+                v += g
+                by = np.sqrt(v)
+                by += little
+                np.divide(m, by, out=by)
+                by *= rate
+                if at is None:
+                    p -= by
+                else:
+                    self.m[k][at], self.v[k][at] = m, v
+                    p[at] = p.take(at, axis=0) - by
 
 
 def _averaged(trained: DataFrame) -> dict[str, np.ndarray] | None:
@@ -598,6 +742,33 @@ def train(rows: DataFrame, model: Model) -> Model:
     return model
 
 
+class Slots:
+    """Where different keys (hashes, long) are, in an open table with a quarter of its slots taken at most."""
+
+    def __init__(self, key: np.ndarray) -> None:
+        self.key, self.mask = np.append(key, 0), (1 << max(4, int(4 * len(key) - 1).bit_length())) - 1  # the last one is where an empty slot points
+        self.slot = np.full(self.mask + 1, len(key), np.int32)
+        left, self.probes = np.arange(len(key), dtype=np.int32), 0
+        while len(left):
+            slot = (key[left] + self.probes) & self.mask
+            free = self.slot[slot] == len(key)
+            self.slot[slot[free]] = left[free]  # of several the last one gets it
+            left, self.probes = left[self.slot[slot] != left], self.probes + 1
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key among those given, or -1."""
+        at = self.slot.take(key & self.mask)
+        past = len(self.key) - 1
+        found = (self.key.take(at) == key) & (at < past)
+        out, left = np.where(found, at, -1), np.flatnonzero(~found & (at < past))
+        for probe in range(1, self.probes):
+            at = self.slot.take((key[left] + probe) & self.mask)
+            found = (self.key.take(at) == key[left]) & (at < past)
+            out[left[found]] = at[found]
+            left = left[~found & (at < past)]
+        return out
+
+
 class Corpus:
     """What is gathered from the documents: their ids, counts, and totals."""
 
@@ -649,24 +820,23 @@ def apply(corpus: Corpus, model: Model) -> DataFrame:
     spark, n, ends = corpus.spark, corpus.n, corpus.ends
     least = _at_most(corpus.words, "n", KNOWN)
     table = corpus.words.where(F.col("n") >= least).select("key", "c").toArrow()  # at most KNOWN rows
-    order = np.argsort(table.column("key").to_numpy())
     whole = float(np.log10(n + LITTLE * (corpus.v + 1)))
     end_base = float(np.log10(ends + LITTLE) - whole)
-    sent = spark.sparkContext.broadcast((table.column("key").to_numpy()[order], table.column("c").to_numpy()[order], model))
+    sent = spark.sparkContext.broadcast((table.column("key").to_numpy(), table.column("c").to_numpy(), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, count, lm = sent.value
-        log_count = np.log10(count + LITTLE)
+        slots, log_count, tables = Slots(key), np.log10(count + LITTLE), lm.tables()
         for batch in batches:
             for part in _texts(batch.column("ids")):
                 rows = part.stop - part.start
                 ids, begin, m = _unpacked(batch.column("ids").slice(part.start, rows))
                 name, text_of = names(ids, begin), np.repeat(np.arange(rows), m)
                 ctx, nxt, is_first, text_at = lm.texts(ids, begin, m)
-                lp = lm.log_class(ctx, nxt, is_first)
+                lp = lm.log_class(ctx, nxt, is_first, tables)
                 by_model = np.add.reduceat(lp.sum(axis=1), text_at // BLOCK)
-                at = np.minimum(np.searchsorted(key, name), max(len(key) - 1, 0))
-                found = key[at] == name if len(key) else np.zeros(len(name), bool)
+                at = slots.find(name)
+                found = at >= 0
                 at, own = at[found], text_of[found]
                 counted = np.bincount(own, weights=log_count[at], minlength=rows)
                 if by_count:
