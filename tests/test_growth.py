@@ -2,7 +2,7 @@
 
 import random
 
-from granary.operators import statutes
+from granary.operators import checks, statutes
 from pyspark.sql import functions as F
 
 CITED = "start string, law_id string, no int, evidence string, kind string"
@@ -24,3 +24,14 @@ def test_edges_are_summed_up_without_being_made(spark):
     many = spark.range(20_000).select(F.concat(F.lit("p"), "id").alias("start"), F.lit("A").alias("law_id"), F.lit(1).alias("no"), F.lit("e").alias("evidence"), F.lit("self").alias("kind"))
     got = statutes.edge_summary(many, many.select("law_id", "no", F.col("start").alias("end"))).collect()
     assert [tuple(r) for r in got] == [("self", 20_000 * 19_999, 20_000, 20_000, 1)]
+
+
+def test_edge_checks_of_groups_are_those_of_edges(spark):
+    for seed in range(2):
+        starts, ends, edges = grouped_edges(spark, seed)
+        provisions = spark.createDataFrame([(f"p{i}", "A") for i in range(3, 12)], "provision_id string, law_id string")
+        next_ = spark.createDataFrame([("p3", "p4")], "start string, end string")
+        laws = spark.createDataFrame([("A",)], "law_id string")
+        made = spark.createDataFrame(sorted(edges), "start string, end string, kind string, evidence string")
+        told = lambda cites: [tuple(r) for r in checks.edge_checks(provisions, next_, cites, laws).collect()]  # noqa: B023, E731
+        assert told((starts, ends)) == told(made) and told(made)[2][2] > 0
