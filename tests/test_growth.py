@@ -35,3 +35,16 @@ def test_edge_checks_of_groups_are_those_of_edges(spark):
         made = spark.createDataFrame(sorted(edges), "start string, end string, kind string, evidence string")
         told = lambda cites: [tuple(r) for r in checks.edge_checks(provisions, next_, cites, laws).collect()]  # noqa: B023, E731
         assert told((starts, ends)) == told(made) and told(made)[2][2] > 0
+
+
+def test_contexts_by_groups_give_the_same_verdicts(spark):
+    r = random.Random(1)
+    rows = lambda x, names: spark.createDataFrame(x, names)
+    cites = rows([(f"q{r.randrange(9)}", r.choice(["甲法典", "乙法典", "无此法"]), r.randrange(4)) for _ in range(40)], "query_id string, law string, no int")
+    provisions = rows([(f"v{i}", r.choice(["甲法典", "乙法典"]), r.randrange(3)) for i in range(12)], "provision_id string, law_id string, article_no int")
+    laws = rows([("甲法典", "甲法典"), ("乙法典", "乙法典")], "law_id string, law_name string")
+    groups = rows([(f"q{r.randrange(9)}", r.choice("ab")) for _ in range(8)], "query_id string, g string")
+    members = rows([(r.choice("ab"), f"v{r.randrange(12)}") for _ in range(10)], "g string, provision_id string")
+    told = lambda *context: sorted(tuple(x) for x in statutes.verified(cites, provisions, laws, *context).fillna("-").collect())
+    got = told(groups, members)
+    assert got == told(groups.join(members, "g")) and {x[3] for x in got} == {"found", "out_of_ctx", "missing", "law_unresolved"}
