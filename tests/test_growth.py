@@ -62,3 +62,24 @@ def test_ordered_contexts_beyond_a_million_keys(spark, tmp_path):
     want = con.sql(catalog.REGISTRY.oracles["ordered_contexts"]).df()[["query_id", "doc_id", "place"]]
     got = catalog.REGISTRY.queries["ordered_contexts"](spark, str(tmp_path)).toPandas()
     assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist()))
+
+
+def test_gold_sets_of_several_numbers(spark):
+    r = random.Random(2)
+    say = lambda: "".join(f"见《{r.choice(['甲法典', '乙法典', '无此法'])}》第{r.randrange(5)}条" for _ in range(r.randrange(4)))
+    rows = [(f"u{i % 35}", say(), say(), r.choice(["问", " "])) for i in range(40)]
+    has = {("甲法典", 1): ["v2", "v9"], ("甲法典", 2): ["v3"], ("乙法典", 1): ["v2", "v5"], ("乙法典", 4): ["v1"]}
+    provisions = spark.createDataFrame([(v, law, no) for (law, no), vs in has.items() for v in vs], "provision_id string, law_id string, article_no int")
+    laws = spark.createDataFrame([("甲法典", "甲法典"), ("乙法典", "乙法典")], "law_id string, law_name string")
+    cites = lambda uid, side: {(law, no) for row in rows if row[0] == uid for law in ("甲法典", "乙法典") for no in range(5) if f"《{law}》第{no}条" in row[side]}
+    want = []
+    for uid, _, _, asked in rows:
+        keys = [cites(uid, 1), cites(uid, 2)]
+        sets = [sorted({v for k in ks for v in has.get(k, [])}) for ks in (*keys, keys[0] | keys[1])]
+        want.append((uid, asked, *sets, *(len(ks - set(has)) for ks in keys), "no_gold" if not sets[2] else "empty_query" if not asked.strip() else "-"))
+    table = spark.createDataFrame(rows, "uid string, system string, output string, input string")
+    got = statutes.gold_sets(table, provisions, laws)
+    assert sorted(tuple(x) for x in got.fillna("-", ["reason"]).collect()) == sorted(want)
+    told = statutes.gold_account(statutes.gold_keys(table, provisions, laws)).head()
+    kept = [w for w in want if w[7] == "-"]
+    assert tuple(told) == (40, len(kept), *(sum(w[7] == x for w in want) for x in ("no_gold", "empty_query")), *(sum(bool(w[i]) for w in kept) for i in (2, 3)), *(sum(w[i] for w in want) for i in (5, 6)))
