@@ -83,3 +83,8 @@ def test_gold_sets_of_several_numbers(spark):
     told = statutes.gold_account(statutes.gold_keys(table, provisions, laws)).head()
     kept = [w for w in want if w[7] == "-"]
     assert tuple(told) == (40, len(kept), *(sum(w[7] == x for w in want) for x in ("no_gold", "empty_query")), *(sum(bool(w[i]) for w in kept) for i in (2, 3)), *(sum(w[i] for w in want) for i in (5, 6)))
+
+
+def test_gold_account_makes_no_lists(spark, small):
+    plan = catalog.REGISTRY.queries["gold_account"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
