@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.functions.columns import let
 from granary.functions.text import choice_letters, is_choice, statute_set, strip
-from granary.operators.ranks import running
+from granary.operators.ranks import dealt, running
+from granary.operators.resampling import drawn
 
 
 def nearest_rank(rows: DataFrame, group: list[str], value: str, shares: dict[str, float], rule: str = "n") -> DataFrame:
@@ -65,18 +67,50 @@ def summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     )
 
 
-#: Shares of a Poisson law of mean one: a row is drawn once, twice, ... where its number is at or over them.
-_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402)
+#: Sums that a task holds before it hands them on.
+HELD = 4_000_000
 
 
 def resampled(rows: DataFrame, group: list[str], key: str, iterations: int, seed: str, **values: Column) -> DataFrame:
     """(group, iteration, w, sums of values) of resamples: in each iteration a row counts as often as a Poisson law has it, by the hash of
-    seed, iteration and key. So rows need not meet: every task sums up its own, and any engine draws the same."""
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("iteration").cast("string"), F.col("_key"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    drawn = let(number, lambda u: sum(((u >= least).cast("int") for least in _POISSON[1:]), (u >= _POISSON[0]).cast("int")))
-    each = rows.select(*group, F.col(key).cast("string").alias("_key"), *(v.cast("double").alias(n) for n, v in values.items()))
-    each = each.select("*", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("iteration")).withColumn("_w", drawn)
-    return each.groupBy(*group, "iteration").agg(F.sum("_w").alias("w"), *(F.sum(F.col("_w") * F.col(n)).alias(n) for n in values)).where("w > 0")
+    seed, iteration and key. So rows need not meet: every task sums up its own, and any engine draws the same. Hashes are made in
+    arrays: as expressions, each costs ten times as much. Values are not null."""
+    names = list(values)
+    each = dealt(rows.select(*group, F.col(key).cast("string").alias("_key"), *(v.cast("double").alias(n) for n, v in values.items())))
+    schema = T.StructType([*(each.schema[g] for g in group), T.StructField("iteration", T.IntegerType()), T.StructField("w", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for g, x in sums.items():
+                columns = [pa.array([v] * iterations, kind) for v, kind in zip(g, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(1, iterations + 1, dtype=np.int32)), pa.array(x[0].astype(np.int64)), *(pa.array(y) for y in x[1:])], [*group, "iteration", "w", *names])
+
+        for batch in batches:
+            kinds = [batch.schema.field(g).type for g in group]
+            groups = list(zip(*(batch.column(g).to_pylist() for g in group), strict=True)) or [()] * batch.num_rows
+            numbers = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+            order = sorted(set(groups), key=repr)
+            most = max(1, HELD // (iterations * (1 + len(names))))
+            for first in range(0, len(order), most):
+                now = set(order[first : first + most])
+                if len(now | sums.keys()) > most:
+                    yield from told()
+                    sums.clear()
+                for g in now - sums.keys():
+                    sums[g] = np.zeros((1 + len(names), iterations))
+                places = [i for i, g in enumerate(groups) if g in now]
+                keys = batch.column("_key").take(pa.array(places)).to_pylist()
+                for at, start, counts in drawn(seed, keys, iterations):
+                    x, i = sums[groups[places[at]]], places[at]
+                    x[0, start : start + len(counts)] += counts
+                    for k, n in enumerate(numbers, 1):
+                        x[k, start : start + len(counts)] += counts * n[i]
+        yield from told()
+
+    return each.mapInArrow(run, schema).groupBy(*group, "iteration").agg(F.sum("w").alias("w"), *(F.sum(n).alias(n) for n in names)).where("w > 0")
 
 
 def _interval(means: DataFrame, group: list[str], level: float) -> DataFrame:

@@ -1,10 +1,12 @@
 """Work that grows with the input and not with its square: results by groups against results with all pairs."""
 
+import hashlib
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
-from granary.operators import checks, statutes
+from granary.operators import checks, metrics, resampling, statutes
 from granary.plans import catalog
 from pyspark.sql import functions as F
 
@@ -88,3 +90,23 @@ def test_gold_sets_of_several_numbers(spark):
 def test_gold_account_makes_no_lists(spark, small):
     plan = catalog.REGISTRY.queries["gold_account"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan
+
+
+def test_resamples_draw_by_md5():
+    keys = ["7", "123", None, "äx", "k" * 60]
+    got = np.zeros((len(keys), 120), int)
+    for at, first, row in resampling.drawn("42", keys, 120):
+        got[at, first : first + len(row)] += row
+    for k, row in zip(keys, got, strict=True):
+        for i, n in enumerate(row, 1):
+            u = int(hashlib.md5((f"42|{i}" + ("" if k is None else "|" + k)).encode()).hexdigest()[:8], 16) / 2**32
+            assert n == sum(u >= x for x in resampling.POISSON)
+
+
+def test_resamples_are_dealt_out_and_held_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7, i, float(i)) for i in range(200)], "g int, k int, x double").coalesce(1)
+    sums = lambda: sorted(map(tuple, metrics.resampled(rows, ["g"], "k", 20, "s", total=F.col("x")).collect()))
+    want = sums()
+    monkeypatch.setattr(metrics, "HELD", 90)  # two groups at a time
+    assert sums() == want and len(want) == 140
+    assert metrics.resampled(rows, ["g"], "k", 20, "s", total=F.col("x"))._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
