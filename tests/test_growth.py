@@ -110,3 +110,30 @@ def test_resamples_are_dealt_out_and_held_in_parts(spark, monkeypatch):
     monkeypatch.setattr(metrics, "HELD", 90)  # two groups at a time
     assert sums() == want and len(want) == 140
     assert metrics.resampled(rows, ["g"], "k", 20, "s", total=F.col("x"))._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
+
+
+def test_fingerprints_of_many_at_once():
+    from granary.operators import fingerprints
+    import zlib
+
+    def slow(text):
+        grams = [text[k : k + 3] for k in range(len(text) - 2)] if len(text) > 3 else [text]
+        crcs = [zlib.crc32(g.encode("utf-8", "replace")) for g in grams]
+        return sum(1 << b for b in range(32) if 2 * sum(c >> b & 1 for c in crcs) > len(crcs))
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("abc é好😀ß\ud800 ，") for _ in range(r.choice([0, 1, 3, 4, 5, 90]))) for _ in range(200)]
+    assert fingerprints._majorities(texts * 2).tolist() == [slow(t) for t in texts * 2]
+
+
+def test_exact_hits_need_no_grams(spark, small):
+    plan = lambda name: catalog.REGISTRY.queries[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "simhash" not in plan("exact_hits") and "simhash" in plan("near_hits")
+
+
+def test_ascii_texts_stay_out_of_python(spark):
+    from granary.functions import text as X
+
+    x = spark.createDataFrame([("plain",), ("ｗｉｄｅ　",), (None,)], "t string").select(X.nfkc(F.col("t")).alias("t"))
+    assert [r[0] for r in x.collect()] == ["plain", "wide ", None]
+    assert "octet_length" in x._jdf.queryExecution().optimizedPlan().toString()
