@@ -137,3 +137,16 @@ def test_ascii_texts_stay_out_of_python(spark):
     x = spark.createDataFrame([("plain",), ("ｗｉｄｅ　",), (None,)], "t string").select(X.nfkc(F.col("t")).alias("t"))
     assert [r[0] for r in x.collect()] == ["plain", "wide ", None]
     assert "octet_length" in x._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_are_held_against_queries_in_parts(spark, monkeypatch):
+    from granary.operators import retrieval
+
+    r = np.random.default_rng(3)
+    v = r.integers(0, 3, (300, 4)).astype(float)  # many ties
+    index = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, v array<double>")
+    queries = index.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "v AS q")
+    want = sorted((q, d, rank) for q in range(0, 300, 20) for rank, (_, d) in enumerate(sorted((-round(float(v[q] @ v[i]), 6), i) for i in range(300) if i != q)[:5], 1))
+    monkeypatch.setattr(retrieval, "AT_ONCE", 7)
+    got = retrieval.vector_search(index.repartition(3, "doc_id"), queries, 5, itself=False)
+    assert sorted((x["query_id"], x["doc_id"], x["rank"]) for x in got.collect()) == want
